@@ -1,7 +1,6 @@
-"""Strict-as-a-whole, lax-per-field validation of a model's JSON answer.
+"""Lax reading of one member of a model's JSON answer.
 
-One field that cannot be coerced rejects the whole record; unknown keys are ignored; a missing key is NULL.  The JSON
-is parsed once into a VARIANT and each field is judged by the type it has there.
+A member is judged by the type it has in the parsed VARIANT (``kind``); its reading is NULL if it cannot be coerced.
 """
 
 from __future__ import annotations
@@ -10,8 +9,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hearthline import schemas
-
 # Texts accepted as booleans, in any case.
 TRUE_WORDS = ("1", "on", "t", "true", "y", "yes")
 FALSE_WORDS = ("0", "off", "f", "false", "n", "no")
@@ -23,94 +20,58 @@ _REAL_TEXT = (
 )
 
 
-class _Field:
-    """One member of the parsed object: its JSON type and its typed readings."""
+def member(document: Column, name: str) -> Column:
+    return F.try_variant_get(document, f"$.{name}", "variant")
+
 
-    def __init__(self, document: Column, name: str):
-        self._member = F.try_variant_get(document, f"$.{name}", "variant")
-        kind = F.schema_of_variant(self._member)
-        self.absent = F.coalesce(kind == "VOID", F.lit(True))
-        self.is_text = kind == "STRING"
-        self.is_flag = kind == "BOOLEAN"
-        self.is_number = kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
+def _is_number(kind: Column) -> Column:
+    return kind.isin("BIGINT", "DOUBLE", "FLOAT") | kind.startswith("DECIMAL")
 
-    def as_(self, type_name: str) -> Column:
-        return F.try_variant_get(self._member, "$", type_name)
 
-    @property
-    def text(self) -> Column:
-        return self.as_("string")
+def _as(value: Column, type_name: str) -> Column:
+    return F.try_variant_get(value, "$", type_name)
 
-    @property
-    def compact(self) -> Column:
-        """The text without blanks and digit-group underscores."""
-        return F.regexp_replace(self.text, r"(?U)[\s_]", "")
 
+def _compact(value: Column) -> Column:
+    """Text without blanks and digit-group underscores."""
+    return F.regexp_replace(_as(value, "string"), r"(?U)[\s_]", "")
 
-def _text(field: _Field) -> tuple[Column, Column]:
-    return field.is_text, field.text
 
+def text(value: Column, kind: Column) -> Column:
+    return F.when(kind == "STRING", _as(value, "string"))
 
-def _flag(field: _Field) -> tuple[Column, Column]:
-    number, word = field.as_("double"), F.lower(field.text)
-    value = (
-        F.when(field.is_flag, field.as_("boolean"))
-        .when(field.is_number & number.isin(0.0, 1.0), number == 1.0)
-        .when(field.is_text & word.isin(*TRUE_WORDS), True)
-        .when(field.is_text & word.isin(*FALSE_WORDS), False)
+
+def flag(value: Column, kind: Column) -> Column:
+    number, word = _as(value, "double"), F.lower(_as(value, "string"))
+    return (
+        F.when(kind == "BOOLEAN", _as(value, "boolean"))
+        .when(_is_number(kind) & number.isin(0.0, 1.0), number == 1.0)
+        .when((kind == "STRING") & word.isin(*TRUE_WORDS), True)
+        .when((kind == "STRING") & word.isin(*FALSE_WORDS), False)
     )
-    return value.isNotNull(), value
 
 
-def _whole(field: _Field) -> tuple[Column, Column]:
-    number = field.as_("double")
-    value = (
-        F.when(field.is_flag, field.as_("boolean").cast("bigint"))
-        .when(field.is_number & (number == F.floor(number)), field.as_("bigint"))
+def whole(value: Column, kind: Column) -> Column:
+    number = _as(value, "double")
+    return (
+        F.when(kind == "BOOLEAN", _as(value, "boolean").cast("bigint"))
+        .when(_is_number(kind) & (number == F.floor(number)), _as(value, "bigint"))
         .when(
-            field.is_text & field.text.rlike(_WHOLE_TEXT),
-            F.regexp_replace(field.compact, r"\.0*\z", "").try_cast("bigint"),
+            (kind == "STRING") & _as(value, "string").rlike(_WHOLE_TEXT),
+            F.regexp_replace(_compact(value), r"\.0*\z", "").try_cast("bigint"),
         )
     )
-    return value.isNotNull(), value
 
 
-def _real(field: _Field) -> tuple[Column, Column]:
-    value = (
-        F.when(field.is_flag, field.as_("boolean").cast("double"))
-        .when(field.is_number, field.as_("double"))
-        .when(field.is_text & field.text.rlike(_REAL_TEXT), field.compact.try_cast("double"))
-    )
-    return value.isNotNull(), value
-
-
-_READERS = {T.StringType(): _text, T.BooleanType(): _flag, T.LongType(): _whole, T.DoubleType(): _real}
-
-
-def read_record(response: Column, schema: T.StructType = schemas.RECORD) -> Column:
-    """struct(answered, record): ``answered`` is false for no or unreadable JSON, ``record`` NULL if it is invalid."""
-    document = F.try_parse_json(response)
-    shape = F.schema_of_variant(document)
-    valid = shape.startswith("OBJECT")
-    members = []
-    for column in schema.fields:
-        field = _Field(document, column.name)
-        ok, value = _READERS[column.dataType](field)
-        valid = valid & (field.absent | ok)
-        members.append(F.when(~field.absent, value).cast(column.dataType).alias(column.name))
-    return F.struct(
-        F.coalesce(shape != "VOID", F.lit(False)).alias("answered"),
-        F.when(valid, F.struct(*members)).alias("record"),
+def real(value: Column, kind: Column) -> Column:
+    return (
+        F.when(kind == "BOOLEAN", _as(value, "boolean").cast("double"))
+        .when(_is_number(kind), _as(value, "double"))
+        .when((kind == "STRING") & _as(value, "string").rlike(_REAL_TEXT), _compact(value).try_cast("double"))
     )
 
 
-def first_valid_record(responses: Column, tries: int = 2) -> Column:
-    """The first valid record of an array of answers; an invalid one is retried, a missing one ends the search."""
-    result = F.lit(None).cast(schemas.RECORD)
-    for attempt in reversed(range(tries)):
-        read = read_record(F.get(responses, F.lit(attempt)))
-        result = F.when(read["record"].isNotNull(), read["record"]).when(read["answered"], result)
-    return result
+READERS = {T.StringType(): text, T.BooleanType(): flag, T.LongType(): whole, T.DoubleType(): real}
 
 
 def record_json(record: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hearthline import params as P
@@ -15,20 +15,55 @@ def with_prompt(feed: DataFrame, params: P.ScreenParams, column: str = "text") -
     return feed.withColumn("prompt", text.prompt(F.col(column), params))
 
 
-def with_record(rows: DataFrame, params: P.ScreenParams, responses: str = "responses") -> DataFrame:
-    """Add ``record``, read from the ordered array of a post's answers; NULL if no answer is valid."""
-    return rows.withColumn("record", lax.first_valid_record(F.col(responses), params.response_tries))
-
+def validated(
+    rows: DataFrame, response: Column | str = "response_json", answered: str = "answered", record: str = "record"
+) -> DataFrame:
+    """Add ``answered`` (readable JSON at all) and ``record`` (NULL if one field is invalid).
 
-def validated(responses: DataFrame, column: str = "response_json") -> DataFrame:
-    """Add ``answered`` and ``record`` to a table with one answer per row."""
-    return (
-        responses.withColumn("_read", lax.read_record(F.col(column)))
-        .withColumns({"answered": F.col("_read.answered"), "record": F.col("_read.record")})
-        .drop("_read")
+    The record is strict as a whole and lax per field: unknown keys are ignored, a missing key is NULL.  Each step is
+    a projection of its own, so that the text is parsed once and every member is read once.
+    """
+    fields = schemas.RECORD.fields
+    kept = rows.columns
+    parsed = rows.withColumn("_document", F.try_parse_json(response))
+    shape = F.schema_of_variant(F.col("_document"))
+    members = parsed.withColumns(
+        {"_shape": shape, **{f"_at_{f.name}": lax.member(F.col("_document"), f.name) for f in fields}}
+    )
+    kinds = members.withColumns({f"_kind_{f.name}": F.schema_of_variant(F.col(f"_at_{f.name}")) for f in fields})
+    read = kinds.withColumns(
+        {
+            f"_is_{f.name}": lax.READERS[f.dataType](F.col(f"_at_{f.name}"), F.col(f"_kind_{f.name}"))
+            for f in fields
+        }
+    )
+    valid = F.col("_shape").startswith("OBJECT")
+    for f in fields:
+        absent = F.coalesce(F.col(f"_kind_{f.name}") == "VOID", F.lit(True))
+        valid = valid & (absent | F.col(f"_is_{f.name}").isNotNull())
+    return read.select(
+        *kept,
+        F.coalesce(F.col("_shape") != "VOID", F.lit(False)).alias(answered),
+        F.when(valid, F.struct(*[F.col(f"_is_{f.name}").alias(f.name) for f in fields])).alias(record),
     )
 
 
+def with_record(rows: DataFrame, params: P.ScreenParams, responses: str = "responses") -> DataFrame:
+    """Add ``record``, the first valid one of a post's ordered array of answers.
+
+    An invalid answer is followed by the next try, a missing or unreadable one ends the search; a try that is not
+    needed is not parsed.
+    """
+    kept = [c for c in rows.columns if c != "record"]
+    searching, found = F.lit(True), []
+    for n in range(params.response_tries):
+        answer = F.when(searching, F.get(responses, F.lit(n)))
+        rows = validated(rows, answer, f"_answered{n}", f"_record{n}")
+        found.append(F.col(f"_record{n}"))
+        searching = F.col(f"_answered{n}") & F.col(f"_record{n}").isNull()
+    return rows.select(*kept, F.coalesce(*found).alias("record"))
+
+
 def first_valid_response(
     responses: DataFrame, params: P.ScreenParams, key: str = "url", order: str = "response_no"
 ) -> DataFrame:

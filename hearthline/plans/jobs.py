@@ -13,14 +13,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hearthline import params as P
+from hearthline import schemas
 from hearthline.functions import dates, lax, text
 from hearthline.operators import addresses, dedupe, extraction, judging, screening, state as history
-from hearthline.sources.tables import written
 
 # Adds ``responses array<string>``, the answers of an extraction model in the order of its tries, to rows of
 # (url, text, ...); usually a mapInPandas over ``prompt``.
 Extractor = Callable[[DataFrame], DataFrame]
-# Makes a result safe to use twice; ``hearthline.sources.tables.written`` in production.
+# Makes a result safe to use twice: ``hearthline.sources.tables.Scratch``.
 Stage = Callable[[DataFrame, str], DataFrame]
 
 
@@ -33,31 +33,19 @@ class Lookups:
     routes: DataFrame
 
 
-def _extracted(rows: DataFrame, extractor: Extractor, params: P.ScreenParams, stage: Stage | None) -> DataFrame:
-    """Rows with their answers.
-
-    With a stage the screened rows are written once and only the open ones are shown to the extractor; without one the
-    extractor sees every row and the answers of stopped rows are ignored, which suits native expressions.
-    """
-    if stage is None:
-        return extractor(rows)
-    staged = stage(rows, "screened")
-    stopped = staged.filter(F.col("verdict").isNotNull())
-    return extractor(staged.filter(F.col("verdict").isNull())).unionByName(stopped, allowMissingColumns=True)
-
-
 def _settled(
-    rows: DataFrame,
-    extractor: Extractor,
-    lookups: Lookups,
-    params: P.ScreenParams,
-    stage: Stage | None,
+    ruled: DataFrame, extractor: Extractor, lookups: Lookups, params: P.ScreenParams, stage: Stage
 ) -> DataFrame:
-    """Extraction, judgement, distance and the final verdict of screened rows."""
-    answered = _extracted(rows, extractor, params, stage)
-    judged = judging.judge(extraction.with_record(answered, params).drop("responses"), params)
-    if stage is not None:
-        judged = stage(judged, "judged")
+    """Extraction, judgement, distance and the final verdict of rows that have passed the rules.
+
+    Two results are written on the way: the ruled rows, so that only open ones reach the extractor, and the judged
+    rows, so that the model is asked once although both the address lookup and the records need its answers.
+    """
+    ruled = stage(ruled, "ruled")
+    open_rows = extraction.with_prompt(ruled.filter(F.col("verdict").isNull()), params)
+    answered = extraction.with_record(extractor(open_rows), params).drop("responses", "prompt")
+    stopped = ruled.filter(F.col("verdict").isNotNull()).withColumn("record", F.lit(None).cast(schemas.RECORD))
+    judged = stage(judging.judge(answered.unionByName(stopped), params), "judged")
     placed = addresses.with_distance(judged, lookups.cache, lookups.geocodes, lookups.routes, params)
     final = judging.file_reason(judging.limit_distance(placed, params))
     sent = F.col("record").isNotNull()
@@ -82,8 +70,8 @@ def screen(
     extractor: Extractor,
     lookups: Lookups,
     as_of: datetime,
+    stage: Stage,
     params: P.ScreenParams = P.ScreenParams(),
-    stage: Stage | None = written,
 ) -> DataFrame:
     """One record per new post of a feed, with its final verdict.
 
@@ -114,9 +102,9 @@ def reprocess(
     extractor: Extractor,
     lookups: Lookups,
     as_of: datetime,
+    stage: Stage,
     params: P.ScreenParams = P.ScreenParams(),
     verdicts=P.RETRY_VERDICTS,
-    stage: Stage | None = written,
 ) -> DataFrame:
     """New records for stored posts that were rejected or failed; no text rule is applied."""
     candidates = screening.with_text(history.retry_candidates(state, verdicts))
@@ -132,8 +120,8 @@ def replay(
     extractor: Extractor,
     lookups: Lookups,
     as_of: datetime,
+    stage: Stage,
     params: P.ScreenParams = P.ScreenParams(),
-    stage: Stage | None = written,
 ) -> DataFrame:
     """New records for every stored post that still has its text, under the present rules but without the age rule."""
     rows = _from_state(screening.with_text(state), as_of).withColumn("text", text.post_text(F.col("text")))

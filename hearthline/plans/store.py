@@ -72,14 +72,21 @@ class Store:
         lookups: jobs.Lookups,
         as_of: datetime,
         params: P.ScreenParams = P.ScreenParams(),
-    ) -> DataFrame:
+    ) -> None:
         """Screen a feed against everything recorded before this run, and record the outcome."""
+        scratch = tables.Scratch(self.spark, f"screen-{batch_id}")
         records = jobs.screen(
-            posts_in, self.narrow_state(batch_id), self.listings(batch_id).select("url"), extractor, lookups, as_of, params
+            posts_in,
+            self.narrow_state(batch_id),
+            self.listings(batch_id).select("url"),
+            extractor,
+            lookups,
+            as_of,
+            scratch,
+            params,
         )
-        records = tables.written(records, f"records-{batch_id}")
-        self.record(batch_id, records, as_of)
-        return records
+        self.record(batch_id, scratch(records, "records"), as_of)
+        scratch.drop()
 
     def compact(self, up_to: int) -> None:
         """Fold the changes of finished runs into a new base version."""

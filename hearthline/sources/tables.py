@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_POINTER = "_CURRENT"
+_POINTER = "current.txt"
 
 
 class SchemaMismatch(ValueError):
@@ -58,14 +58,26 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/hearthline/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows read back from a scratch table.
+class Scratch:
+    """Scratch tables of one run, for results that are used more than once.
 
-    For results that are used more than once and cost too much to compute again, such as model answers.
+    ``scratch(df, name)`` writes a frame and gives the same rows read back.  That cuts the plan, keeps a costly result
+    (model answers above all) from being computed twice, and survives the loss of executors.
     """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession, name: str = "run"):
+        self.spark = spark
+        self.root = scratch_path(spark, name)
+
+    def __call__(self, df: DataFrame, name: str) -> DataFrame:
+        path = f"{self.root}/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        """Remove the run's scratch tables once its results are stored."""
+        path, fs = _hadoop_path(self.spark, self.root)
+        fs.delete(path, True)
 
 
 def _hadoop_path(spark: SparkSession, path: str):

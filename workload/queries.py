@@ -769,11 +769,18 @@ def _extractor(rows):
     )
 
 
-def _screen(spark, sf_dir, stage=None):
+def _screen(spark, sf_dir):
     old = _posts_state(spark, sf_dir).filter("first_seen < timestamp_ntz '1996-01-01 00:00:00'").select("url", "verdict", "attempts")
     listed = _published(spark, sf_dir).filter("batch = 'copy' and address is null").select("url")
     return jobs.screen(
-        _feed(spark, sf_dir), old, listed, _extractor, _lookups(spark, sf_dir), POSTS_CLOCK, PARAMS, stage
+        _feed(spark, sf_dir),
+        old,
+        listed,
+        _extractor,
+        _lookups(spark, sf_dir),
+        POSTS_CLOCK,
+        tables.Scratch(spark, "screen"),
+        PARAMS,
     )
 
 
@@ -787,8 +794,8 @@ def screen(spark, sf_dir):
 
 @query
 def screen_listings(spark, sf_dir):
-    """The published rows of a screening run, written and read between the steps."""
-    rows = jobs.new_listings(_screen(spark, sf_dir, tables.written), POSTS_CLOCK)
+    """The published rows of a screening run."""
+    rows = jobs.new_listings(_screen(spark, sf_dir), POSTS_CLOCK)
     return rows.select(
         "url", "price", "rooms", "entry_date", "floor", "elevator", "parking", "arnona", "vaad", "shelter",
         "is_agent", "post_date", "address", "scanned_at",
@@ -817,7 +824,13 @@ def reprocess(spark, sf_dir):
     """L6."""
     listed = _published(spark, sf_dir).filter("batch = 'copy' and address is null").select("url")
     done = jobs.reprocess(
-        _posts_state(spark, sf_dir), listed, _extractor, _lookups(spark, sf_dir), POSTS_CLOCK, PARAMS, stage=None
+        _posts_state(spark, sf_dir),
+        listed,
+        _extractor,
+        _lookups(spark, sf_dir),
+        POSTS_CLOCK,
+        tables.Scratch(spark, "reprocess"),
+        PARAMS,
     )
     return done.select("url", "verdict", "price_val", "rooms_val", "distance_meters")
 
@@ -825,7 +838,14 @@ def reprocess(spark, sf_dir):
 @query
 def replay(spark, sf_dir):
     """L7."""
-    done = jobs.replay(_posts_state(spark, sf_dir), _extractor, _lookups(spark, sf_dir), POSTS_CLOCK, PARAMS, stage=None)
+    done = jobs.replay(
+        _posts_state(spark, sf_dir),
+        _extractor,
+        _lookups(spark, sf_dir),
+        POSTS_CLOCK,
+        tables.Scratch(spark, "replay"),
+        PARAMS,
+    )
     return done.select("url", "verdict", "reject_reason", "price_val", "rooms_val", "distance_meters")
 
 
