@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthline import params as P
@@ -37,22 +37,24 @@ def price_candidates(text: Column) -> Column:
     return F.transform(near, lambda m: F.regexp_replace(m, "[^0-9]", "").cast("int"))
 
 
-def repaired_price(price: Column, text: Column, params: P.ScreenParams) -> Column:
-    """The model's price, or a number of the text where the model's is missing or absurd."""
-    value = number_or_zero(price)
+def with_repaired_price(
+    rows: DataFrame, price: Column, text: Column, params: P.ScreenParams, out: str = "price_val"
+) -> DataFrame:
+    """Add the model's price, or a number of the text where the model's is missing or absurd.
+
+    The patterns run once, and only for prices outside the range.
+    """
+    value, candidates = F.col("_value"), F.col("_candidates")
     fits = in_range(value, params.min_price, params.max_price)
-    # The patterns run only for prices outside the range.
-    candidates = F.when(~fits, price_candidates(text))
     first = F.get(candidates, F.lit(0)).cast("double")
-    first_fit = F.get(
-        F.filter(candidates, lambda c: c.between(params.min_price, params.max_price)), F.lit(0)
-    ).cast("double")
+    first_fit = F.get(F.filter(candidates, lambda c: c.between(params.min_price, params.max_price)), F.lit(0))
     absurd = (value < params.absurd_price_low) | (value > params.absurd_price_high)
+    repaired = F.when(F.col("_missing"), first_fit.cast("double"))
     return (
-        F.when(fits, value)
-        .when(is_missing(price) & first_fit.isNotNull(), first_fit)
-        .when(absurd & first.isNotNull(), first)
-        .otherwise(value)
+        rows.withColumns({"_value": number_or_zero(price), "_missing": is_missing(price)})
+        .withColumn("_candidates", F.when(~fits, price_candidates(text)))
+        .withColumn(out, F.coalesce(repaired, F.when(absurd, first), value))
+        .drop("_value", "_missing", "_candidates")
     )
 
 
@@ -62,14 +64,14 @@ def rooms_mentions(text: Column) -> Column:
     return F.transform(found, lambda m: m.cast("double"))
 
 
-def repaired_rooms(rooms: Column, text: Column, params: P.ScreenParams) -> Column:
-    """The model's room count; only where it is missing, the first mention within the limits."""
-    value = number_or_zero(rooms)
-    mention = F.when(
-        is_missing(rooms),
-        F.get(F.filter(rooms_mentions(text), lambda r: in_range(r, params.min_rooms, params.max_rooms)), F.lit(0)),
+def with_repaired_rooms(
+    rows: DataFrame, rooms: Column, text: Column, params: P.ScreenParams, out: str = "rooms_val"
+) -> DataFrame:
+    """Add the model's room count; only where it is missing, the first mention within the limits."""
+    fitting = F.filter(rooms_mentions(text), lambda r: in_range(r, params.min_rooms, params.max_rooms))
+    return rows.withColumn(
+        out, F.coalesce(rooms.try_cast("double"), F.when(is_missing(rooms), F.get(fitting, F.lit(0))), F.lit(0.0))
     )
-    return F.when(in_range(value, params.min_rooms, params.max_rooms), value).otherwise(F.coalesce(mention, value))
 
 
 def bimonthly_fee(raw: Column) -> Column:

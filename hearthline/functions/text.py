@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hearthline import params as P
 
-_BLANK = r"[\s\x1c-\x1f]"
+# Every character that counts as a blank, as a pattern class and as plain characters.
+_BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 # Short task statements put before the post text of a batch-inference input row.
 PROMPT_HEADS = {
@@ -23,7 +25,7 @@ PROMPT_TAIL = "\n---\n"
 
 def strip(col: Column) -> Column:
     """Remove blanks of every kind (tabs, newlines, no-break spaces) from both ends."""
-    return F.regexp_replace(col, rf"(?U)^{_BLANK}+|{_BLANK}+\z", "")
+    return F.btrim(col, F.lit(_BLANKS))
 
 
 def any_contains(col: Column, words) -> Column:
@@ -34,15 +36,15 @@ def drop_direction_marks(col: Column) -> Column:
     return F.regexp_replace(col, P.DIRECTION_MARKS, "")
 
 
-def cut_comments(col: Column) -> Column:
-    """Text before the first comment-section marker, stripped; unmarked text is left as it is."""
-    head = F.regexp_replace(col, rf"(?s)(?:{P.COMMENT_MARKERS}).*", "")
-    return F.when(F.length(head) < F.length(col), strip(head)).otherwise(col)
-
-
-def post_text(col: Column) -> Column:
-    """The form of a post's text that every rule sees."""
-    return cut_comments(drop_direction_marks(col))
+def with_post_text(rows: DataFrame, column: str, out: str | None = None) -> DataFrame:
+    """The form of a post's text that every rule sees: no direction marks, no comment section."""
+    kept = [c for c in rows.columns if c != (out or column)]
+    unmarked, head = F.col("_unmarked"), F.col("_head")
+    return (
+        rows.withColumn("_unmarked", drop_direction_marks(F.col(column)))
+        .withColumn("_head", F.regexp_replace(unmarked, rf"(?s)(?:{P.COMMENT_MARKERS}).*", ""))
+        .select(*kept, F.when(F.length(head) < F.length(unmarked), strip(head)).otherwise(unmarked).alias(out or column))
+    )
 
 
 def long_enough(col: Column, min_chars: int) -> Column:
@@ -51,7 +53,7 @@ def long_enough(col: Column, min_chars: int) -> Column:
 
 def model_input(col: Column) -> Column:
     """Post text as handed to an extraction model: no links, no blank lines, single blanks."""
-    no_links = F.regexp_replace(col, rf"(?U){P.LINKS}", "")
+    no_links = F.regexp_replace(col, P.LINKS.replace(r"\S", _BLANK.replace("[", "[^")), "")
     no_blank_lines = F.regexp_replace(no_links, r"\n{2,}", "\n")
     return strip(F.regexp_replace(no_blank_lines, r"[ \t]{2,}", " "))
 
@@ -70,20 +72,20 @@ def snippet(col: Column, chars: int = 100) -> Column:
 def hebrew_only(col: Column) -> Column:
     """Keep Hebrew, digits, blanks and common punctuation; single blanks; no punctuation at the edges."""
     kept = F.regexp_replace(col, P.NOT_HEBREW, "")
-    return F.btrim(F.regexp_replace(kept, rf"(?U){_BLANK}{{2,}}", " "), F.lit(P.EDGE_PUNCTUATION))
+    return F.btrim(F.regexp_replace(kept, rf"{_BLANK}{{2,}}", " "), F.lit(P.EDGE_PUNCTUATION))
 
 
 def address_key(col: Column) -> Column:
     """City-free form of an address under which cross-posts meet; '' if there is none."""
     no_city = F.regexp_replace(col, P.CITY_TOKENS, "")
     no_punctuation = F.regexp_replace(no_city, P.ADDRESS_PUNCTUATION, " ")
-    key = F.trim(F.regexp_replace(no_punctuation, rf"(?U){_BLANK}+", " "))
+    key = F.trim(F.regexp_replace(no_punctuation, rf"{_BLANK}+", " "))
     return F.when(col.isNull() | (col == P.ADDRESS_UNSTATED), "").otherwise(key)
 
 
 def cache_key(col: Column) -> Column:
     """Lookup key of an address: lower case, single blanks; NULL if nothing is left."""
-    key = F.trim(F.regexp_replace(F.lower(col), rf"(?U){_BLANK}+", " "))
+    key = F.trim(F.regexp_replace(F.lower(col), rf"{_BLANK}+", " "))
     return F.nullif(key, F.lit(""))
 
 

@@ -332,21 +332,22 @@ def repair_addresses(
         rows = rows.withColumn("_ask", key).join(answer, F.col("_ask") == F.col(f"_key{n}"), "left").drop(
             "_ask", f"_key{n}"
         )
-    may_retry = ~_names_home(F.col("_results0"), params) & ~text.any_contains(F.col("_clean"), params.home_cities)
+    rows = rows.withColumns({f"_home{n}": _names_home(F.col(f"_results{n}"), params) for n in range(len(queries))})
+    may_retry = ~F.col("_home0") & ~text.any_contains(F.col("_clean"), params.home_cities)
     chosen = F.col("_results0")
     for n in reversed(range(1, len(queries))):
-        chosen = F.when(may_retry & _names_home(F.col(f"_results{n}"), params), F.col(f"_results{n}")).otherwise(chosen)
+        chosen = F.when(may_retry & F.col(f"_home{n}"), F.col(f"_results{n}")).otherwise(chosen)
     # A failed call leaves the row alone, but only if the search got as far as making it.
     failed, still_searching = F.coalesce(F.col("_failed0"), F.lit(False)), may_retry
     for n in range(1, len(queries)):
         failed = failed | (still_searching & F.coalesce(F.col(f"_failed{n}"), F.lit(False)))
-        still_searching = still_searching & ~_names_home(F.col(f"_results{n}"), params)
+        still_searching = still_searching & ~F.col(f"_home{n}")
     rows = rows.withColumn("_best", F.get(chosen, F.lit(0)))
-    precise = has_street(F.col("_best"), P.STREET_LEVEL_TYPES, P.STREET_LEVEL_TYPES)
+    rows = rows.withColumn("_precise", has_street(F.col("_best"), P.STREET_LEVEL_TYPES, P.STREET_LEVEL_TYPES))
     rows = rows.withColumns(
         {
-            "_canonical": F.when(precise, F.col("_best.formatted_address")),
-            "_found_city": F.when(precise, _city_of(F.col("_best"))),
+            "_canonical": F.when(F.col("_precise"), F.col("_best.formatted_address")),
+            "_found_city": F.when(F.col("_precise"), _city_of(F.col("_best"))),
             "_failed": failed,
         }
     )

@@ -68,7 +68,7 @@ def deduplicated(listings: DataFrame, order: str = "ord") -> DataFrame:
     return best_per_listing(best_per_url(listings, order))
 
 
-def flag_stale(listings: DataFrame, as_of: datetime | Column, params: P.ScreenParams) -> DataFrame:
+def flag_stale(listings: DataFrame, as_of: datetime, params: P.ScreenParams) -> DataFrame:
     return listings.withColumn(
         "stale", ~dates.is_recent(F.col("post_date"), as_of, params.max_age_days)
     )
@@ -79,14 +79,14 @@ def newest_first(listings: DataFrame) -> DataFrame:
     return listings.orderBy(F.col("post_date").desc_nulls_last(), F.col("pos"))
 
 
-def publish(listings: DataFrame, as_of: datetime | Column, params: P.ScreenParams, order: str = "ord") -> DataFrame:
+def publish(listings: DataFrame, as_of: datetime, params: P.ScreenParams, order: str = "ord") -> DataFrame:
     """The published table: deduplicated by URL, then by listing, without stale rows, newest first."""
     flagged = flag_stale(deduplicated(listings, order), as_of, params)
     return newest_first(flagged.filter(~F.col("stale"))).drop("stale", "copies")
 
 
 def publish_report(
-    listings: DataFrame, as_of: datetime | Column, params: P.ScreenParams, order: str = "ord"
+    listings: DataFrame, as_of: datetime, params: P.ScreenParams, order: str = "ord"
 ) -> DataFrame:
     """Rows removed as duplicates, removed as stale, and kept."""
     return flag_stale(deduplicated(listings, order), as_of, params).agg(

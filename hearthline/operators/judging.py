@@ -26,14 +26,15 @@ def price_rooms_verdict(price: Column, price_missing: Column, rooms: Column, par
 
 def judge(rows: DataFrame, params: P.ScreenParams) -> DataFrame:
     """Judge rows of (text, record).  A row that already has a verdict keeps it; one without a record has failed."""
-    post, record = F.col("text"), F.col("record")
+    post, record = F.col("_post"), F.col("record")
     open_row = F.col("verdict").isNull()
     has_record = open_row & record.isNotNull()
-    repaired = rows.withColumns(
-        {
-            "price_val": F.when(has_record, fields.repaired_price(record["price"], post, params)),
-            "rooms_val": F.when(has_record, fields.repaired_rooms(record["rooms"], post, params)),
-        }
+    # Only rows that are judged here show their text to the patterns.
+    repaired = rows.withColumn("_post", F.when(has_record, F.col("text")))
+    repaired = fields.with_repaired_price(repaired, record["price"], post, params)
+    repaired = fields.with_repaired_rooms(repaired, record["rooms"], post, params)
+    repaired = repaired.withColumns(
+        {c: F.when(has_record, F.col(c)) for c in ("price_val", "rooms_val")}
     )
     verdict = (
         F.when(~open_row, F.col("verdict"))
@@ -53,12 +54,11 @@ def judge(rows: DataFrame, params: P.ScreenParams) -> DataFrame:
         "elevator": record["elevator"],
         "shelter": record["shelter"],
     }
-    kept = has_record & (F.col("verdict") == P.ADDED)
     return (
         repaired.withColumn("_open", has_record)
         .withColumn("verdict", verdict)
         .withColumns({name: F.when(F.col("_open") & (F.col("verdict") == P.ADDED), normal[name]) for name in FIELDS})
-        .drop("_open")
+        .drop("_open", "_post")
     )
 
 

@@ -63,7 +63,7 @@ def first_reason(rules: list[Rule]) -> Column:
     return reason
 
 
-def age_rule(post_date: Column, as_of: datetime | Column, max_age_days: int) -> Rule:
+def age_rule(post_date: Column, as_of: datetime, max_age_days: int) -> Rule:
     return Rule(
         "too_old", ~dates.is_recent(post_date, as_of, max_age_days), F.lit(f"older_than_{max_age_days}_days")
     )
@@ -76,9 +76,8 @@ def found_rooms(post: Column, rules: P.RulePack) -> Column:
 
 def prepare_feed(posts_in: DataFrame, params: P.ScreenParams) -> DataFrame:
     """Posts with a link and more than a few characters, their text cleaned for the rules."""
-    return posts_in.filter(F.col("url").isNotNull() & text.long_enough(F.col("text"), params.min_chars)).withColumn(
-        "text", text.post_text(F.col("text"))
-    )
+    real = posts_in.filter(F.col("url").isNotNull() & text.long_enough(F.col("text"), params.min_chars))
+    return text.with_post_text(real, "text")
 
 
 def first_per_url(feed: DataFrame, key: str = "url", order: str = "ord") -> DataFrame:
@@ -91,14 +90,7 @@ def first_per_url(feed: DataFrame, key: str = "url", order: str = "ord") -> Data
     return feed.withColumn("_rank", F.row_number().over(first)).filter("_rank = 1").drop("_rank")
 
 
-def with_post_date(feed: DataFrame, as_of: datetime | Column, raw: str = "post_date_text") -> DataFrame:
-    """Add the displayed DD/MM date and the inferred full date."""
-    return feed.withColumn("post_date", dates.display_date(F.col(raw), as_of)).withColumn(
-        "posted_on", dates.infer_date(F.col("post_date"), as_of)
-    )
-
-
-def apply_rules(feed: DataFrame, params: P.ScreenParams, as_of: datetime | Column | None = None) -> DataFrame:
+def apply_rules(feed: DataFrame, params: P.ScreenParams, as_of: datetime | None = None) -> DataFrame:
     """Add ``reject_reason`` and ``verdict`` ('prefiltered' or NULL).  With a clock the age rule comes first."""
     rules = text_rules(F.col("text"), params.rules)
     if as_of is not None:

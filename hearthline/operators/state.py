@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -59,7 +59,7 @@ def fold_updates(records: DataFrame, order: str = "ord") -> DataFrame:
     )
 
 
-def upsert_posts(state: DataFrame, records: DataFrame, now: datetime | Column, order: str = "ord") -> DataFrame:
+def upsert_posts(state: DataFrame, records: DataFrame, now: datetime, order: str = "ord") -> DataFrame:
     """The state after a run.
 
     ``first_seen`` is kept, ``attempts`` grows by failed parses only, every other column is replaced, by NULL too.
@@ -87,7 +87,7 @@ def upsert_posts(state: DataFrame, records: DataFrame, now: datetime | Column, o
     return known.select(*columns).unionByName(new.select(*columns))
 
 
-def changes(records: DataFrame, now: datetime | Column, order: str = "ord") -> DataFrame:
+def changes(records: DataFrame, now: datetime, order: str = "ord") -> DataFrame:
     """A run's rows for the append-only change table: ``attempts`` holds the run's own failures."""
     at = clock(now)
     columns = [f.name for f in schemas.POSTS.fields]
@@ -139,11 +139,11 @@ def upsert_usage(usage: DataFrame, calls: DataFrame, ts: str = "ts") -> DataFram
 
 
 # ---------------------------------------------------------------------------------------------- forgetting
-def _expired(as_of: datetime | Column, max_age_days: int) -> Column:
-    return F.col("first_seen") < clock(as_of) - F.make_dt_interval(F.lit(max_age_days))
+def _expired(as_of: datetime, max_age_days: int) -> Column:
+    return F.col("first_seen") < clock(as_of - timedelta(days=max_age_days))
 
 
-def retain(state: DataFrame, as_of: datetime | Column, params: P.ScreenParams) -> DataFrame:
+def retain(state: DataFrame, as_of: datetime, params: P.ScreenParams) -> DataFrame:
     """Drop the payload of old rows; key, verdict and analysis stay, so nothing is ever processed twice."""
     old = _expired(as_of, params.max_age_days)
     return state.withColumns(
@@ -151,7 +151,7 @@ def retain(state: DataFrame, as_of: datetime | Column, params: P.ScreenParams) -
     )
 
 
-def retention_report(state: DataFrame, as_of: datetime | Column, params: P.ScreenParams) -> DataFrame:
+def retention_report(state: DataFrame, as_of: datetime, params: P.ScreenParams) -> DataFrame:
     """Rows that ``retain`` would lighten."""
     old = _expired(as_of, params.max_age_days)
     return state.agg(F.count_if(old & F.col("raw_text").isNotNull()).alias("lightened"), F.count("*").alias("rows_kept"))

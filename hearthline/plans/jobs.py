@@ -79,7 +79,7 @@ def screen(
     """
     feed = screening.first_per_url(screening.prepare_feed(posts_in, params))
     new = history.skip_published(history.skip_processed(feed, state, params), published)
-    ruled = screening.apply_rules(screening.with_post_date(new, as_of), params, as_of)
+    ruled = screening.apply_rules(dates.with_post_date(new, as_of), params, as_of)
     return _settled(ruled, extractor, lookups, params, stage)
 
 
@@ -124,7 +124,7 @@ def replay(
     params: P.ScreenParams = P.ScreenParams(),
 ) -> DataFrame:
     """New records for every stored post that still has its text, under the present rules but without the age rule."""
-    rows = _from_state(screening.with_text(state), as_of).withColumn("text", text.post_text(F.col("text")))
+    rows = text.with_post_text(_from_state(screening.with_text(state), as_of), "text")
     rows = rows.withColumn("raw_text", F.col("text"))
     return _settled(screening.apply_rules(rows, params), extractor, lookups, params, stage)
 

@@ -12,6 +12,7 @@ from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearthline import params as P
 from hearthline import schemas
@@ -33,7 +34,7 @@ class Store:
         path, fs = tables._hadoop_path(self.spark, folder)
         if not fs.exists(path):
             return self.spark.createDataFrame([], schema).withColumn("batch_id", F.lit(0).cast("bigint"))
-        full = schema.add("batch_id", "bigint") if "batch_id" not in schema.names else schema
+        full = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
         return self.spark.read.schema(full).parquet(folder).filter(F.col("batch_id") < before)
 
     def _folded_up_to(self) -> int:
@@ -43,7 +44,7 @@ class Store:
     def changes(self, before: int = _LAST_BATCH) -> DataFrame:
         """Base and later changes, one schema; partition pruning skips what the base holds."""
         done = self._folded_up_to()
-        later = self._batches("changes", _copy(schemas.POSTS), before).filter(F.col("batch_id") > done)
+        later = self._batches("changes", schemas.POSTS, before).filter(F.col("batch_id") > done)
         if done < 0:
             return later
         base = tables.read(self.spark, f"{self.root}/base", schemas.POSTS)
@@ -56,7 +57,7 @@ class Store:
         return history.narrow_state(self.changes(before))
 
     def listings(self, before: int = _LAST_BATCH) -> DataFrame:
-        return self._batches("listings", _copy(schemas.LISTINGS), before)
+        return self._batches("listings", schemas.LISTINGS, before)
 
     # ------------------------------------------------------------------------------------------ writing
     def record(self, batch_id: int, records: DataFrame, at: datetime) -> None:
@@ -101,6 +102,3 @@ class Store:
         tables.rewrite(view.select(*schemas.LISTINGS.names), f"{self.root}/published")
         return tables.read(self.spark, f"{self.root}/published", schemas.LISTINGS)
 
-
-def _copy(schema):
-    return type(schema)(list(schema.fields))

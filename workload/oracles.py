@@ -362,7 +362,8 @@ READ = f"""(select *, (rt is null or rt = 'NULL' or rooms is not null) and (pt i
 ORACLES["json_validate"] = f"""
 select post_no, valid, case when valid then cast(rooms as double) end as rooms, case when valid then price end as price,
  case when valid then shelter end as shelter, case when valid then floor end as floor from {READ}"""
-ORACLES["record_json"] = f"select post_no, cast(rooms as double) as rooms, floor from {READ} where valid"
+ORACLES["record_json"] = f"""
+select post_no, valid as answered, case when valid then cast(rooms as double) end as rooms, case when valid then floor end as floor from {READ}"""
 ORACLES["first_valid"] = """
 select conv_id, price, case when price is null then 'parse_failed' end as verdict from (
  select conv_id, case when n1 % 4 >= 2 then n1 when n1 % 4 = 0 and n2 % 4 >= 2 then n2 end as price from (

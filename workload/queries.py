@@ -42,8 +42,7 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 def clean_documents(spark, sf_dir):
     """B1 B2 B3 B5 C1."""
     docs = view(spark, sf_dir, V.NOISY_DOCUMENTS).filter(text.long_enough(F.col("raw"), PARAMS.min_chars))
-    post = docs.withColumn("post", text.post_text(F.col("raw")))
-    return post.select(
+    return text.with_post_text(docs, "raw", "post").select(
         "doc_id",
         "post",
         text.model_input(F.col("post")).alias("model_input"),
@@ -104,7 +103,7 @@ def rule_hits(spark, sf_dir):
 def cascade_with_age(spark, sf_dir):
     """C5 before the text rules; counts per reason."""
     feed = view(spark, sf_dir, V.FIELDS).withColumnRenamed("date_txt", "post_date_text")
-    ruled = screening.apply_rules(screening.with_post_date(feed, POSTS_CLOCK), PARAMS, POSTS_CLOCK)
+    ruled = screening.apply_rules(dates.with_post_date(feed, POSTS_CLOCK), PARAMS, POSTS_CLOCK)
     return ruled.groupBy(F.coalesce("reject_reason", F.lit("pass")).alias("reason")).agg(F.count("*").alias("posts"))
 
 
@@ -113,11 +112,11 @@ def cascade_with_age(spark, sf_dir):
 def price_repair(spark, sf_dir):
     """E1-E4."""
     posts = view(spark, sf_dir, V.POSTS)
-    return posts.select(
+    return fields.with_repaired_price(posts, F.col("model_price"), F.col("text"), PARAMS, "price").select(
         "post_no",
         fields.is_missing(F.col("model_price")).alias("price_missing"),
         F.array_join(fields.price_candidates(F.col("text")).cast("array<string>"), ",").alias("candidates"),
-        fields.repaired_price(F.col("model_price"), F.col("text"), PARAMS).alias("price"),
+        "price",
     )
 
 
@@ -125,10 +124,10 @@ def price_repair(spark, sf_dir):
 def rooms_repair(spark, sf_dir):
     """E5."""
     posts = view(spark, sf_dir, V.POSTS)
-    return posts.select(
+    return fields.with_repaired_rooms(posts, F.col("model_rooms"), F.col("text"), PARAMS, "rooms").select(
         "post_no",
         F.array_join(fields.rooms_mentions(F.col("text")).cast("array<string>"), ",").alias("mentions"),
-        fields.repaired_rooms(F.col("model_rooms"), F.col("text"), PARAMS).alias("rooms"),
+        "rooms",
     )
 
 
@@ -240,18 +239,12 @@ def distances_checked(spark, sf_dir):
 @query
 def post_dates(spark, sf_dir):
     """E15 E16 E17 E18 C5."""
-    raw = F.col("date_txt")
-    return (
-        view(spark, sf_dir, V.FIELDS)
-        .withColumn("shown", dates.display_date(raw, POSTS_CLOCK))
-        .withColumn("posted_on", dates.infer_date(F.col("shown"), POSTS_CLOCK))
-        .select(
-            "post_no",
-            "shown",
-            "posted_on",
-            dates.is_unparsed_date(raw, POSTS_CLOCK).alias("unparsed"),
-            dates.is_recent(F.col("posted_on"), POSTS_CLOCK, PARAMS.max_age_days).alias("recent"),
-        )
+    return dates.with_post_date(view(spark, sf_dir, V.FIELDS), POSTS_CLOCK, "date_txt").select(
+        "post_no",
+        F.col("post_date").alias("shown"),
+        "posted_on",
+        F.col("unparsed_date").alias("unparsed"),
+        dates.is_recent(F.col("posted_on"), POSTS_CLOCK, PARAMS.max_age_days).alias("recent"),
     )
 
 
@@ -306,9 +299,11 @@ def first_valid(spark, sf_dir):
 def record_json(spark, sf_dir):
     """A validated record written and read again is the same record."""
     read = extraction.validated(view(spark, sf_dir, V.RESPONSES))
-    again = read.filter(F.col("record").isNotNull()).withColumn("parsed_json", lax.record_json(F.col("record")))
-    back = extraction.validated(again.drop("record", "answered"), "parsed_json")
-    return back.select("post_no", F.col("record.rooms").alias("rooms"), F.col("record.floor").alias("floor"))
+    again = read.withColumn("parsed_json", lax.record_json(F.col("record"))).drop("record", "answered")
+    back = extraction.validated(again, "parsed_json")
+    return back.select(
+        "post_no", "answered", F.col("record.rooms").alias("rooms"), F.col("record.floor").alias("floor")
+    )
 
 
 @query
