@@ -306,6 +306,29 @@ def _names_home(results: Column, params: P.ScreenParams) -> Column:
     )
 
 
+def _repair_answers(geocodes: DataFrame, params: P.ScreenParams) -> DataFrame:
+    """Each geocode answer judged once, as a few scalars, however many listings share its address."""
+    best = F.col("_best")
+    return (
+        geocodes.select(
+            "address_key",
+            F.coalesce("failed", F.lit(False)).alias("failed"),
+            _names_home(F.col("results"), params).alias("home"),
+            F.get("results", F.lit(0)).alias("_best"),
+        )
+        .withColumn("_precise", has_street(best, P.STREET_LEVEL_TYPES, P.STREET_LEVEL_TYPES))
+        .select(
+            "address_key",
+            F.struct(
+                "failed",
+                "home",
+                F.when(F.col("_precise"), best["formatted_address"]).alias("canonical"),
+                F.when(F.col("_precise"), _city_of(best)).alias("city"),
+            ).alias("answer"),
+        )
+    )
+
+
 def repair_addresses(
     listings: DataFrame, geocodes: DataFrame, routes: DataFrame, params: P.ScreenParams
 ) -> DataFrame:
@@ -314,42 +337,33 @@ def repair_addresses(
     The action column is the dry run: unchanged, blanked, unresolved, updated, dropped, other_city.  ``apply_repair``
     carries it out.
     """
-    known = geocodes.select(
-        "address_key", F.coalesce("failed", F.lit(False)).alias("failed"), F.coalesce("results", F.array()).alias("results")
-    )
+    answers = _repair_answers(geocodes, params)
     rows = listings.withColumn("_raw", text.strip(F.coalesce("address", F.lit("")))).withColumn(
         "_clean", text.repair_spelling(F.col("_raw"))
     )
     queries = [F.col("_clean")] + [F.concat(F.col("_clean"), F.lit(f", {city}")) for city in params.home_cities]
     for n, query in enumerate(queries):
-        answer = known.select(
-            F.col("address_key").alias(f"_key{n}"),
-            F.col("failed").alias(f"_failed{n}"),
-            F.col("results").alias(f"_results{n}"),
-        )
         scattered = F.concat(F.lit("\x00"), F.xxhash64("url").cast("string"))
-        key = F.coalesce(F.when(F.col("_clean") != "", text.cache_key(query)), scattered)
-        rows = rows.withColumn("_ask", key).join(answer, F.col("_ask") == F.col(f"_key{n}"), "left").drop(
-            "_ask", f"_key{n}"
+        rows = rows.withColumn(
+            "_ask", F.coalesce(F.when(F.col("_clean") != "", text.cache_key(query)), scattered)
         )
-    rows = rows.withColumns({f"_home{n}": _names_home(F.col(f"_results{n}"), params) for n in range(len(queries))})
-    may_retry = ~F.col("_home0") & ~text.any_contains(F.col("_clean"), params.home_cities)
-    chosen = F.col("_results0")
+        answer = answers.select(F.col("address_key").alias("_ask"), F.col("answer").alias(f"_answer{n}"))
+        rows = rows.join(answer, "_ask", "left").drop("_ask")
+
+    def home(n: int) -> Column:
+        return F.coalesce(F.col(f"_answer{n}.home"), F.lit(False))
+
+    may_retry = ~home(0) & ~text.any_contains(F.col("_clean"), params.home_cities)
+    chosen = F.col("_answer0")
     for n in reversed(range(1, len(queries))):
-        chosen = F.when(may_retry & F.col(f"_home{n}"), F.col(f"_results{n}")).otherwise(chosen)
+        chosen = F.when(may_retry & home(n), F.col(f"_answer{n}")).otherwise(chosen)
     # A failed call leaves the row alone, but only if the search got as far as making it.
-    failed, still_searching = F.coalesce(F.col("_failed0"), F.lit(False)), may_retry
+    failed, still_searching = F.coalesce(F.col("_answer0.failed"), F.lit(False)), may_retry
     for n in range(1, len(queries)):
-        failed = failed | (still_searching & F.coalesce(F.col(f"_failed{n}"), F.lit(False)))
-        still_searching = still_searching & ~F.col(f"_home{n}")
-    rows = rows.withColumn("_best", F.get(chosen, F.lit(0)))
-    rows = rows.withColumn("_precise", has_street(F.col("_best"), P.STREET_LEVEL_TYPES, P.STREET_LEVEL_TYPES))
-    rows = rows.withColumns(
-        {
-            "_canonical": F.when(F.col("_precise"), F.col("_best.formatted_address")),
-            "_found_city": F.when(F.col("_precise"), _city_of(F.col("_best"))),
-            "_failed": failed,
-        }
+        failed = failed | (still_searching & F.coalesce(F.col(f"_answer{n}.failed"), F.lit(False)))
+        still_searching = still_searching & ~home(n)
+    rows = rows.withColumns({"_chosen": chosen, "_failed": failed}).withColumns(
+        {"_canonical": F.col("_chosen.canonical"), "_found_city": F.col("_chosen.city")}
     )
     rows = rows.withColumn(
         "_route_key",

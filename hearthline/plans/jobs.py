@@ -42,7 +42,8 @@ def _settled(
     rows, so that the model is asked once although both the address lookup and the records need its answers.
     """
     ruled = stage(ruled, "ruled")
-    open_rows = extraction.with_prompt(ruled.filter(F.col("verdict").isNull()), params)
+    # The rules stop an uneven share of each file; spread what is left, since the model is by far the dearest step.
+    open_rows = extraction.with_prompt(ruled.filter(F.col("verdict").isNull()).repartition("url"), params)
     answered = extraction.with_record(extractor(open_rows), params).drop("responses", "prompt")
     stopped = ruled.filter(F.col("verdict").isNotNull()).withColumn("record", F.lit(None).cast(schemas.RECORD))
     judged = stage(judging.judge(answered.unionByName(stopped), params), "judged")
