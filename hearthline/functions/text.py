@@ -11,6 +11,8 @@ from hearthline import params as P
 
 # Every character that counts as a blank, as a pattern class and as plain characters.
 _BLANK = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+# What is not already a single space: replacing only this leaves most texts untouched.
+_LOOSE_BLANKS = rf"{_BLANK}{{2,}}|{_BLANK.replace('x20', 'x1f')}"
 _BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 
 # Short task statements put before the post text of a batch-inference input row.
@@ -79,13 +81,13 @@ def address_key(col: Column) -> Column:
     """City-free form of an address under which cross-posts meet; '' if there is none."""
     no_city = F.regexp_replace(col, P.CITY_TOKENS, "")
     no_punctuation = F.regexp_replace(no_city, P.ADDRESS_PUNCTUATION, " ")
-    key = F.trim(F.regexp_replace(no_punctuation, rf"{_BLANK}+", " "))
+    key = F.trim(F.regexp_replace(no_punctuation, _LOOSE_BLANKS, " "))
     return F.when(col.isNull() | (col == P.ADDRESS_UNSTATED), "").otherwise(key)
 
 
 def cache_key(col: Column) -> Column:
     """Lookup key of an address: lower case, single blanks; NULL if nothing is left."""
-    key = F.trim(F.regexp_replace(F.lower(col), rf"{_BLANK}+", " "))
+    key = F.trim(F.regexp_replace(F.lower(col), _LOOSE_BLANKS, " "))
     return F.nullif(key, F.lit(""))
 
 

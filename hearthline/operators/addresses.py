@@ -6,8 +6,6 @@ without an answer row was not asked, because the budget was spent.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -341,34 +339,37 @@ def repair_addresses(
     rows = listings.withColumn("_raw", text.strip(F.coalesce("address", F.lit("")))).withColumn(
         "_clean", text.repair_spelling(F.col("_raw"))
     )
-    queries = [F.col("_clean")] + [F.concat(F.col("_clean"), F.lit(f", {city}")) for city in params.home_cities]
-    for n, query in enumerate(queries):
-        scattered = F.concat(F.lit("\x00"), F.xxhash64("url").cast("string"))
-        rows = rows.withColumn(
-            "_ask", F.coalesce(F.when(F.col("_clean") != "", text.cache_key(query)), scattered)
+    nobody = F.concat(F.lit("\x00"), F.xxhash64("url").cast("string"))
+    names_home = text.any_contains(F.col("_clean"), params.home_cities)
+
+    def asked(rows: DataFrame, query: Column, needed: Column, name: str) -> DataFrame:
+        """The answer to a query, for the rows that need it; the others carry a key that matches nothing."""
+        answer = answers.select(F.col("address_key").alias("_ask"), F.col("answer").alias(name))
+        key = F.coalesce(F.when(needed & (F.col("_clean") != ""), text.cache_key(query)), nobody)
+        return rows.withColumn("_ask", key).join(answer, "_ask", "left").drop("_ask")
+
+    rows = asked(rows, F.col("_clean"), F.lit(True), "_chosen").withColumn(
+        "_failed", F.coalesce(F.col("_chosen.failed"), F.lit(False))
+    )
+    rows = rows.withColumn(
+        "_searching", ~F.col("_failed") & ~names_home & ~F.coalesce(F.col("_chosen.home"), F.lit(False))
+    )
+    for city in params.home_cities:
+        rows = asked(rows, F.concat(F.col("_clean"), F.lit(f", {city}")), F.col("_searching"), "_forced")
+        found, broken = (
+            F.col("_searching") & F.coalesce(F.col(f"_forced.{flag}"), F.lit(False)) for flag in ("home", "failed")
         )
-        answer = answers.select(F.col("address_key").alias("_ask"), F.col("answer").alias(f"_answer{n}"))
-        rows = rows.join(answer, "_ask", "left").drop("_ask")
-
-    def home(n: int) -> Column:
-        return F.coalesce(F.col(f"_answer{n}.home"), F.lit(False))
-
-    may_retry = ~home(0) & ~text.any_contains(F.col("_clean"), params.home_cities)
-    chosen = F.col("_answer0")
-    for n in reversed(range(1, len(queries))):
-        chosen = F.when(may_retry & home(n), F.col(f"_answer{n}")).otherwise(chosen)
-    # A failed call leaves the row alone, but only if the search got as far as making it.
-    failed, still_searching = F.coalesce(F.col("_answer0.failed"), F.lit(False)), may_retry
-    for n in range(1, len(queries)):
-        failed = failed | (still_searching & F.coalesce(F.col(f"_answer{n}.failed"), F.lit(False)))
-        still_searching = still_searching & ~home(n)
-    rows = rows.withColumns({"_chosen": chosen, "_failed": failed}).withColumns(
+        rows = rows.withColumns(
+            {
+                "_chosen": F.when(found, F.col("_forced")).otherwise(F.col("_chosen")),
+                "_failed": F.col("_failed") | broken,
+                "_searching": F.col("_searching") & ~found & ~broken,
+            }
+        ).drop("_forced")
+    rows = rows.withColumns(
         {"_canonical": F.col("_chosen.canonical"), "_found_city": F.col("_chosen.city")}
     )
-    rows = rows.withColumn(
-        "_route_key",
-        F.coalesce(text.cache_key(F.col("_canonical")), F.concat(F.lit("\x00"), F.xxhash64("url").cast("string"))),
-    ).join(
+    rows = rows.withColumn("_route_key", F.coalesce(text.cache_key(F.col("_canonical")), nobody)).join(
         routes.filter(F.col("status") == "OK").select(
             F.col("address_key").alias("_route_key"), F.col("meters").alias("_meters")
         ),
