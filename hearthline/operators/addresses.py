@@ -192,39 +192,44 @@ def resolve_addresses(
     )
 
 
-def with_distance(
-    rows: DataFrame, cache: DataFrame, geocodes: DataFrame, routes: DataFrame, params: P.ScreenParams
-) -> DataFrame:
-    """Add distance_meters, distance_source, is_measured, address_confidence and address_warning to rows of (address).
+def with_distance(rows: DataFrame, resolved: DataFrame) -> DataFrame:
+    """Add distance_meters, distance_text, distance_source, is_measured, address_confidence and address_warning.
 
-    Rows without an address get a scattered key that matches nothing, so they do not meet in one task.
+    Rows without an address to speak of take no part in the join, so their texts are not shuffled and they do not meet
+    under one empty key.  ``resolved`` has one row per address: give a written table, whose size Spark knows when it
+    plans, and it is broadcast while small; a large one is joined by shuffle, where adaptive execution splits the
+    partition of an address that very many rows share.
     """
-    resolved = resolve_addresses(distinct_addresses(rows), cache, geocodes, routes, params).drop(
-        "address", "canonical_address", "city", "geocode_status"
+    known = F.coalesce(F.length("address") >= 3, F.lit(False))
+    answers = resolved.select(
+        "address_key", "distance_meters", "distance_source", "is_measured", "address_confidence", "address_warning"
     )
-    short = F.coalesce(F.length("address") < 3, F.lit(True))
-    key = F.when(~short, text.cache_key(F.col("address")))
-    scattered = F.concat(F.lit("\x00"), F.xxhash64("url").cast("string"))
-    joined = rows.withColumn("address_key", F.coalesce(key, scattered)).join(resolved, "address_key", "left")
-    grade = F.col("_grade")
-    return (
-        joined.withColumn("_grade", fields.address_confidence(F.col("address")))
-        .withColumns(
-            {
-                "address_confidence": F.when(short, "missing").otherwise(
-                    F.coalesce("address_confidence", grade["confidence"])
-                ),
-                "address_warning": F.when(short, P.WARN_MISSING).otherwise(
-                    F.coalesce("address_warning", grade["warning"])
-                ),
-                "distance_source": F.coalesce("distance_source", F.lit(P.SOURCE_SKIPPED)),
-                "is_measured": F.coalesce("is_measured", F.lit(False)),
-                "distance_text": F.when(
-                    F.col("distance_source") == P.SOURCE_QUOTA, P.WARN_QUOTA
-                ).otherwise(F.coalesce(fields.km_text(F.col("distance_meters")), F.lit(""))),
-            }
-        )
-        .drop("_grade", "address_key")
+    placed = (
+        rows.filter(known)
+        .withColumn("address_key", F.coalesce(text.cache_key(F.col("address")), F.lit("")))
+        .join(answers, "address_key", "left")
+        .drop("address_key")
+    )
+    # Blanks alone have a length but no key.
+    unplaced = rows.filter(~known).withColumns(
+        {
+            "distance_meters": F.lit(None).cast("int"),
+            "distance_source": F.lit(P.SOURCE_SKIPPED),
+            "is_measured": F.lit(False),
+            "address_confidence": F.lit("missing"),
+            "address_warning": F.lit(P.WARN_MISSING),
+        }
+    )
+    return placed.unionByName(unplaced).withColumns(
+        {
+            "distance_source": F.coalesce("distance_source", F.lit(P.SOURCE_SKIPPED)),
+            "is_measured": F.coalesce("is_measured", F.lit(False)),
+            "address_confidence": F.coalesce("address_confidence", F.lit("missing")),
+            "address_warning": F.coalesce("address_warning", F.lit(P.WARN_MISSING)),
+            "distance_text": F.when(F.col("distance_source") == P.SOURCE_QUOTA, P.WARN_QUOTA).otherwise(
+                F.coalesce(fields.km_text(F.col("distance_meters")), F.lit(""))
+            ),
+        }
     )
 
 

@@ -63,8 +63,9 @@ def upsert_posts(state: DataFrame, records: DataFrame, now: datetime, order: str
     """The state after a run.
 
     ``first_seen`` is kept, ``attempts`` grows by failed parses only, every other column is replaced, by NULL too.
-    The state is the streamed side of a left join, so while a run's updates are small enough to broadcast, nothing of
-    the state is shuffled; new URLs are found by a semi join of the URL column alone.
+    The state is the streamed side of a left join: give written records, whose size Spark knows when it plans, and
+    while they are small enough to broadcast nothing of the state is shuffled.  New URLs are found by a semi join of
+    the URL column alone.
     """
     at = clock(now)
     updates = fold_updates(records, order)

@@ -24,6 +24,14 @@ Extractor = Callable[[DataFrame], DataFrame]
 Stage = Callable[[DataFrame, str], DataFrame]
 
 
+@dataclass(frozen=True)
+class Outcome:
+    """What a job found: a record per post, and every address it resolved."""
+
+    records: DataFrame
+    resolved: DataFrame
+
+
 @dataclass(frozen=True)
 class Lookups:
     """Answers of address services, each keyed by ``address_key``."""
@@ -35,11 +43,12 @@ class Lookups:
 
 def _settled(
     ruled: DataFrame, extractor: Extractor, lookups: Lookups, params: P.ScreenParams, stage: Stage
-) -> DataFrame:
+) -> Outcome:
     """Extraction, judgement, distance and the final verdict of rows that have passed the rules.
 
-    Two results are written on the way: the ruled rows, so that only open ones reach the extractor, and the judged
-    rows, so that the model is asked once although both the address lookup and the records need its answers.
+    Three results are written on the way: the ruled rows, so that only open ones reach the extractor; the judged rows,
+    so that the model is asked once although both the address lookup and the records need its answers; and the
+    resolved addresses, so that their size is known when they are joined.
     """
     ruled = stage(ruled, "ruled")
     # The rules stop an uneven share of each file; spread what is left, since the model is by far the dearest step.
@@ -47,11 +56,15 @@ def _settled(
     answered = extraction.with_record(extractor(open_rows), params).drop("responses", "prompt")
     stopped = ruled.filter(F.col("verdict").isNotNull()).withColumn("record", F.lit(None).cast(schemas.RECORD))
     judged = stage(judging.judge(answered.unionByName(stopped), params), "judged")
-    placed = addresses.with_distance(judged, lookups.cache, lookups.geocodes, lookups.routes, params)
+    resolved = addresses.resolve_addresses(
+        addresses.distinct_addresses(judged), lookups.cache, lookups.geocodes, lookups.routes, params
+    )
+    resolved = stage(resolved, "resolved")
+    placed = addresses.with_distance(judged, resolved)
     final = judging.file_reason(judging.limit_distance(placed, params))
     sent = F.col("record").isNotNull()
     located = F.col("verdict").isin(P.ADDED, P.REJECTED_DISTANCE)
-    return final.withColumns(
+    records = final.withColumns(
         {
             "raw_text": F.col("raw_text") if "raw_text" in final.columns else F.col("text"),
             "parsed_json": F.when(sent, lax.record_json(F.col("record"))),
@@ -62,6 +75,7 @@ def _settled(
             },
         }
     ).drop("record")
+    return Outcome(records, resolved)
 
 
 def screen(
@@ -73,8 +87,8 @@ def screen(
     as_of: datetime,
     stage: Stage,
     params: P.ScreenParams = P.ScreenParams(),
-) -> DataFrame:
-    """One record per new post of a feed, with its final verdict.
+) -> Outcome:
+    """A record per new post of a feed, with its final verdict.
 
     ``state`` needs url, verdict and attempts, ``published`` url.  Within one run the first post of a URL is judged.
     """
@@ -106,8 +120,8 @@ def reprocess(
     stage: Stage,
     params: P.ScreenParams = P.ScreenParams(),
     verdicts=P.RETRY_VERDICTS,
-) -> DataFrame:
-    """New records for stored posts that were rejected or failed; no text rule is applied."""
+) -> Outcome:
+    """New records of stored posts that were rejected or failed; no text rule is applied."""
     candidates = screening.with_text(history.retry_candidates(state, verdicts))
     rows = _from_state(history.skip_published(candidates, published), as_of)
     no_rule = F.lit(None).cast("string")
@@ -123,8 +137,8 @@ def replay(
     as_of: datetime,
     stage: Stage,
     params: P.ScreenParams = P.ScreenParams(),
-) -> DataFrame:
-    """New records for every stored post that still has its text, under the present rules but without the age rule."""
+) -> Outcome:
+    """New records of every stored post that still has its text, under the present rules but without the age rule."""
     rows = text.with_post_text(_from_state(screening.with_text(state), as_of), "text")
     rows = rows.withColumn("raw_text", F.col("text"))
     return _settled(screening.apply_rules(rows, params), extractor, lookups, params, stage)

@@ -1,7 +1,7 @@
 """Where the jobs keep their tables.
 
-Results of a run are two append-only Parquet tables partitioned by ``batch_id``: ``changes`` (what was learnt about each
-URL) and ``listings`` (what was published).  Writing a run again replaces its own partition, so a repeated run changes
+Results of a run are append-only Parquet tables partitioned by ``batch_id``: ``changes`` (what was learnt about each
+URL), ``listings`` (what was published) and ``addresses`` (what was looked up).  Writing a run again replaces its own partition, so a repeated run changes
 nothing.  The state is the fold of the changes; ``compact`` folds the finished ones into a base version from time to
 time, so that reading the state does not grow with the number of runs.
 """
@@ -16,7 +16,8 @@ from pyspark.sql import types as T
 
 from hearthline import params as P
 from hearthline import schemas
-from hearthline.operators import dedupe, state as history
+from hearthline.functions.dates import clock
+from hearthline.operators import addresses, dedupe, state as history
 from hearthline.plans import jobs
 from hearthline.sources import tables
 
@@ -56,14 +57,27 @@ class Store:
     def narrow_state(self, before: int = _LAST_BATCH) -> DataFrame:
         return history.narrow_state(self.changes(before))
 
+    def cache(self, before: int = _LAST_BATCH) -> DataFrame:
+        """The address cache: the latest row of each address."""
+        rows = self._batches("addresses", schemas.ADDRESS_CACHE, before)
+        none = self.spark.createDataFrame([], schemas.ADDRESS_CACHE)
+        return history.upsert_cache(none, rows)
+
     def listings(self, before: int = _LAST_BATCH) -> DataFrame:
         return self._batches("listings", schemas.LISTINGS, before)
 
     # ------------------------------------------------------------------------------------------ writing
-    def record(self, batch_id: int, records: DataFrame, at: datetime) -> None:
-        """Publish a run's new listings, then record its posts.  ``records`` must be cheap to read twice."""
-        jobs.new_listings(records, at).write.mode("overwrite").parquet(f"{self.root}/listings/batch_id={batch_id}")
-        history.changes(records, at).write.mode("overwrite").parquet(f"{self.root}/changes/batch_id={batch_id}")
+    def _write(self, df: DataFrame, table: str, batch_id: int) -> None:
+        df.write.mode("overwrite").parquet(f"{self.root}/{table}/batch_id={batch_id}")
+
+    def record(self, batch_id: int, outcome: jobs.Outcome, at: datetime) -> None:
+        """Keep a run's addresses, publish its new listings, then record its posts.
+
+        The records are read twice and should be written ones.
+        """
+        self._write(addresses.new_cache_rows(outcome.resolved, clock(at)), "addresses", batch_id)
+        self._write(jobs.new_listings(outcome.records, at), "listings", batch_id)
+        self._write(history.changes(outcome.records, at), "changes", batch_id)
 
     def screen(
         self,
@@ -76,7 +90,7 @@ class Store:
     ) -> None:
         """Screen a feed against everything recorded before this run, and record the outcome."""
         scratch = tables.Scratch(self.spark, f"screen-{batch_id}")
-        records = jobs.screen(
+        found = jobs.screen(
             posts_in,
             self.narrow_state(batch_id),
             self.listings(batch_id).select("url"),
@@ -86,7 +100,7 @@ class Store:
             scratch,
             params,
         )
-        self.record(batch_id, scratch(records, "records"), as_of)
+        self.record(batch_id, jobs.Outcome(scratch(found.records, "records"), found.resolved), as_of)
         scratch.drop()
 
     def compact(self, up_to: int) -> None:

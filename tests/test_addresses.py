@@ -84,7 +84,8 @@ def test_distances(spark):
         [("הרצל 1", "OK", 1200), ("הרצל 2", "ZERO_RESULTS", None), ("הרצל 3", "ERROR", None), ("הרצל 12", "OK", 9)], schemas.ROUTES
     )
     hits = cache(spark, [("הרצל 6", "", 0, P.SOURCE_MEASURED), ("הרצל 10", "low", None, P.SOURCE_SKIPPED), ("הרצל 12", "high", 7, P.SOURCE_QUOTA)])
-    got = {r.url: r for r in addresses.with_distance(rows, hits, geo, routes, PARAMS).collect()}
+    resolved = addresses.resolve_addresses(addresses.distinct_addresses(rows), hits, geo, routes, PARAMS)
+    got = {r.url: r for r in addresses.with_distance(rows, resolved).collect()}
     assert len(got) == len(listed)
     want = {
         "u1": (1200, "google_maps", True, "high", ""),

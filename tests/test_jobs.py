@@ -78,6 +78,7 @@ def test_screening_and_a_second_run(spark, store):
     assert by_url["u2"].reject_reason == "older_than_21_days" and by_url["u6"].reject_reason == "rejected_price"
     assert json.loads(by_url["u1"].parsed_json)["price"] == 6200 and by_url["u3"].parsed_json is None
     assert sorted(r.url for r in store.listings().collect()) == ["u1", "u8"]
+    assert {r.address_key: r.distance_meters for r in store.cache().collect()} == {"הרצל 5": 1200, "הרצל 9": 4100}
     # Only the failed parse is looked at again, until its attempts are used up.
     for batch, attempts in ((1, 2), (2, 3), (3, 3)):
         store.screen(batch, feed(spark), extractor, lookups(spark), NOW)
@@ -129,12 +130,12 @@ def test_reprocess_under_wider_limits(spark, store):
     done = jobs.reprocess(
         store.state(), store.listings().select("url"), extractor, lookups(spark), NOW, tables.Scratch(spark), wide
     )
-    got = {r.url: r for r in done.collect()}
+    got = {r.url: r for r in done.records.collect()}
     assert {u: r.verdict for u, r in got.items()} == {
         "u4": "parse_failed", "u5": "added", "u6": "added", "u7": "added", "u10": "added",
     }
     assert got["u5"].post_date == "21/05"
-    after = state.upsert_posts(store.state(), done, datetime(2024, 5, 23))
+    after = state.upsert_posts(store.state(), done.records, datetime(2024, 5, 23))
     assert {r.url: r.attempts for r in after.collect()}["u4"] == 2
 
 
@@ -142,8 +143,8 @@ def test_replay_ignores_age_and_applies_rules(spark, store):
     store.screen(0, feed(spark), extractor, lookups(spark), NOW)
     old = store.state().withColumn("raw_text", F.when(F.col("url") != "u7", F.col("raw_text")))
     done = jobs.replay(old, extractor, lookups(spark), NOW, tables.Scratch(spark), PARAMS)
-    assert verdicts(done) == {u: v for u, v in (EXPECTED | {"u2": "added"}).items() if u != "u7"}
-    listings = jobs.new_listings(done, NOW)
+    assert verdicts(done.records) == {u: v for u, v in (EXPECTED | {"u2": "added"}).items() if u != "u7"}
+    listings = jobs.new_listings(done.records, NOW)
     assert tables.check_schema(listings, schemas.LISTINGS) is listings
 
 

@@ -93,7 +93,8 @@ def test_hot_keys_give_whole_results(spark):
     keep = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        placed = addresses.with_distance(feed, none, geo, routes, PARAMS)
+        resolved = addresses.resolve_addresses(addresses.distinct_addresses(feed), none, geo, routes, PARAMS)
+        placed = addresses.with_distance(feed, resolved)
         got = {r[0]: r[1] for r in placed.groupBy("distance_meters").count().collect()}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", keep)

@@ -565,11 +565,18 @@ def _addressed(spark, sf_dir):
     return view(spark, sf_dir, V.FIELDS).withColumn("address", text.hebrew_only(F.coalesce("address_txt", F.lit(""))))
 
 
+def _placed(spark, sf_dir):
+    look, rows = _lookups(spark, sf_dir), _addressed(spark, sf_dir)
+    resolved = addresses.resolve_addresses(
+        addresses.distinct_addresses(rows), look.cache, look.geocodes, look.routes, PARAMS
+    )
+    return addresses.with_distance(rows, tables.Scratch(spark, "resolved")(resolved, "addresses"))
+
+
 @query
 def distance_lookup(spark, sf_dir):
     """G3 G6 E20."""
-    look = _lookups(spark, sf_dir)
-    placed = addresses.with_distance(_addressed(spark, sf_dir), look.cache, look.geocodes, look.routes, PARAMS)
+    placed = _placed(spark, sf_dir)
     return placed.select(
         "post_no", "distance_meters", "distance_source", "is_measured", "address_confidence", "address_warning"
     )
@@ -578,8 +585,7 @@ def distance_lookup(spark, sf_dir):
 @query
 def distance_limit(spark, sf_dir):
     """F2."""
-    look = _lookups(spark, sf_dir)
-    placed = addresses.with_distance(_addressed(spark, sf_dir), look.cache, look.geocodes, look.routes, PARAMS)
+    placed = _placed(spark, sf_dir)
     limited = judging.limit_distance(placed.withColumn("verdict", F.lit(P.ADDED)), PARAMS)
     return limited.select("post_no", "verdict")
 
@@ -776,7 +782,7 @@ def _screen(spark, sf_dir):
         POSTS_CLOCK,
         tables.Scratch(spark, "screen"),
         PARAMS,
-    )
+    ).records
 
 
 @query
@@ -827,7 +833,7 @@ def reprocess(spark, sf_dir):
         tables.Scratch(spark, "reprocess"),
         PARAMS,
     )
-    return done.select("url", "verdict", "price_val", "rooms_val", "distance_meters")
+    return done.records.select("url", "verdict", "price_val", "rooms_val", "distance_meters")
 
 
 @query
@@ -841,7 +847,7 @@ def replay(spark, sf_dir):
         tables.Scratch(spark, "replay"),
         PARAMS,
     )
-    return done.select("url", "verdict", "reject_reason", "price_val", "rooms_val", "distance_meters")
+    return done.records.select("url", "verdict", "reject_reason", "price_val", "rooms_val", "distance_meters")
 
 
 @query
