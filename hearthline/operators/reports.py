@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from hearthline import params as P
 from hearthline.functions.dates import month_key, with_post_date
+from hearthline.functions.text import long_enough
 
 
 def verdict_counts(rows: DataFrame) -> DataFrame:
@@ -43,22 +44,39 @@ def quota_status(usage: DataFrame, params: P.ScreenParams) -> DataFrame:
     )
 
 
-def run_summary(rows: DataFrame, group: str = "group_url", verdict: str = "verdict") -> DataFrame:
-    """Per group and in total: posts seen, stopped by a rule, sent to the model, added.
+_COUNTERS = ("seen", "prefiltered", "sent", "added")
 
-    Totals are rolled up from the groups' counts, not from the posts.
-    """
+
+def _group_counts(rows: DataFrame, group: str, verdict: str) -> DataFrame:
     is_rule: Column = F.col(verdict) == P.PREFILTERED
-    per_group = rows.groupBy(group).agg(
+    return rows.groupBy(group).agg(
         F.count("*").alias("seen"),
         F.count_if(is_rule).alias("prefiltered"),
         F.count_if(F.col(verdict).isNotNull() & ~is_rule).alias("sent"),
         F.count_if(F.col(verdict) == P.ADDED).alias("added"),
     )
-    sums = [F.sum(c).alias(c) for c in ("seen", "prefiltered", "sent", "added")]
+
+
+def _with_total(per_group: DataFrame, group: str) -> DataFrame:
+    """Groups and their total, rolled up from the groups' counts, not from the posts."""
+    sums = [F.sum(c).alias(c) for c in _COUNTERS]
     return per_group.rollup(group).agg(F.grouping(group).cast("int").alias("is_total"), *sums)
 
 
+def run_summary(rows: DataFrame, group: str = "group_url", verdict: str = "verdict") -> DataFrame:
+    """Per group and in total: posts seen, stopped by a rule, sent to the model, added."""
+    return _with_total(_group_counts(rows, group, verdict), group)
+
+
+def feed_summary(
+    posts_in: DataFrame, records: DataFrame, params: P.ScreenParams, group: str = "group_url"
+) -> DataFrame:
+    """The summary of a screening run: ``seen`` counts every real post of the feed, known ones too."""
+    seen = posts_in.filter(long_enough(F.col("text"), params.min_chars)).withColumn("_none", F.lit(None).cast("string"))
+    done = _group_counts(records, group, "verdict").withColumn("seen", F.lit(0).cast("bigint"))
+    return _with_total(_group_counts(seen, group, "_none").unionByName(done), group)
+
+
 def unparsed_dates(feed: DataFrame, as_of, raw: str = "post_date_text") -> DataFrame:
     """How many stated post dates no form recognised, with one example."""
     flag = F.col("unparsed_date")

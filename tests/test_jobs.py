@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from hearthline import params as P
 from hearthline import schemas
-from hearthline.operators import state
+from hearthline.operators import reports, state
 from hearthline.plans import jobs
 from hearthline.plans.store import Store
 from hearthline.sources import tables
@@ -79,6 +79,9 @@ def test_screening_and_a_second_run(spark, store):
     assert json.loads(by_url["u1"].parsed_json)["price"] == 6200 and by_url["u3"].parsed_json is None
     assert sorted(r.url for r in store.listings().collect()) == ["u1", "u8"]
     assert {r.address_key: r.distance_meters for r in store.cache().collect()} == {"הרצל 5": 1200, "הרצל 9": 4100}
+    # Eleven real posts, one of them without a link and one a copy.
+    total = reports.feed_summary(feed(spark), store.state(), PARAMS).filter("is_total = 1").first()
+    assert (total.seen, total.prefiltered, total.sent, total.added) == (11, 2, 7, 2)
     # Only the failed parse is looked at again, until its attempts are used up.
     for batch, attempts in ((1, 2), (2, 3), (3, 3)):
         store.screen(batch, feed(spark), extractor, lookups(spark), NOW)

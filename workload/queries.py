@@ -536,7 +536,9 @@ def _geocodes(spark, sf_dir):
 
 def _lookups(spark, sf_dir):
     cache = view(spark, sf_dir, V.CACHE).withColumn("updated_at", F.lit(V.AS_OF_POSTS).cast("timestamp_ntz"))
-    return jobs.Lookups(cache, _geocodes(spark, sf_dir), view(spark, sf_dir, V.ROUTES))
+    # Nested answers are built once and read as a table, as they would be in use.
+    geocodes = tables.Scratch(spark, "lookups")(_geocodes(spark, sf_dir), "geocodes")
+    return jobs.Lookups(cache, geocodes, view(spark, sf_dir, V.ROUTES))
 
 
 @query
@@ -566,11 +568,12 @@ def _addressed(spark, sf_dir):
 
 
 def _placed(spark, sf_dir):
-    look, rows = _lookups(spark, sf_dir), _addressed(spark, sf_dir)
+    look, scratch = _lookups(spark, sf_dir), tables.Scratch(spark, "placed")
+    rows = scratch(_addressed(spark, sf_dir).select("post_no", "address"), "rows")
     resolved = addresses.resolve_addresses(
         addresses.distinct_addresses(rows), look.cache, look.geocodes, look.routes, PARAMS
     )
-    return addresses.with_distance(rows, tables.Scratch(spark, "resolved")(resolved, "addresses"))
+    return addresses.with_distance(rows, scratch(resolved, "resolved"))
 
 
 @query
@@ -601,7 +604,7 @@ def _repair_plan(spark, sf_dir):
         (F.col("post_no") % 100).cast("int").alias("distance_meters"),
     )
     # Routes are asked for the canonical address.
-    routes = _geocodes(spark, sf_dir).select(
+    routes = look.geocodes.select(
         F.get("results", F.lit(0))["formatted_address"].alias("address_key"), F.col("address_key").alias("asked")
     ).join(look.routes.withColumnRenamed("address_key", "asked"), "asked").select("address_key", "status", "meters")
     return addresses.repair_addresses(rows, look.geocodes, routes, PARAMS)
