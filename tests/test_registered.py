@@ -36,7 +36,7 @@ def test_entry(spark):
     assert df.columns == ["position", "verdict", "cnt"] and df.count() == 7
 
 
-JOBS = {"screen", "screen_listings", "published_text", "analysis_columns", "reprocess", "replay", "stream_screen", "staged_rewrite", "snapshot_and_clear", "distance_lookup", "distance_limit", "address_repair", "repair_report"}
+JOBS = {"screen", "screen_listings", "feed_summary", "published_text", "analysis_columns", "reprocess", "replay", "stream_screen", "staged_rewrite", "snapshot_and_clear", "distance_lookup", "distance_limit", "address_repair", "repair_report"}
 
 
 def test_plans_stay_in_the_jvm_and_join_on_keys(spark):

@@ -599,6 +599,14 @@ def tri(c):
     return f"case when {c} then 'כן' when not {c} then 'לא' else '' end"
 
 
+ORACLES["feed_summary"] = f"""
+select group_url, cast(grouping(group_url) as int) as is_total, cast(sum(seen) as bigint) as seen, cast(sum(pre) as bigint) as prefiltered,
+ cast(sum(sent) as bigint) as sent, cast(sum(ok) as bigint) as added from (
+ select group_url, 1 as seen, 0 as pre, 0 as sent, 0 as ok from {FEED}
+ union all select concat('g', split_part(url, '/', 5)), 0, cast(verdict = 'prefiltered' as int), cast(verdict <> 'prefiltered' as int),
+  cast(verdict = 'added' as int) from {SCREENED}) t group by rollup (group_url)"""
+
+
 ORACLES["published_text"] = f"""
 select url, cast(price as varchar) as price, entry_date, coalesce(cast(floor as varchar), '') as floor, {tri('elevator')} as elevator,
  coalesce(parking, '') as parking, coalesce(cast(arnona as varchar), '') as arnona, {tri('is_agent')} as is_agent,

@@ -806,6 +806,12 @@ def screen_listings(spark, sf_dir):
     )
 
 
+@query
+def feed_summary(spark, sf_dir):
+    """H5 over a whole screening run: known posts are seen, too."""
+    return reports.feed_summary(_feed(spark, sf_dir), _screen(spark, sf_dir), PARAMS)
+
+
 @query
 def published_text(spark, sf_dir):
     """The published rows as display text."""
