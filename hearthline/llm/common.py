@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hearthline.sources.tables import Scratch
@@ -33,16 +33,15 @@ class Work(Scratch):
         return out
 
     def free(self, *frames: DataFrame) -> None:
-        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
         for _, path in (t for t in self._tables if any(t[0] is f for f in frames)):
-            where = jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(conf).delete(where, True)
+            self.remove(path.rsplit("/", 1)[1])
         self._tables = [t for t in self._tables if not any(t[0] is f for f in frames)]
 
 
-def utf8(col: Column) -> Column:
-    """A text as bytes, so that Python gets it without decoding; null stays null."""
-    return col.cast("binary")
+    def remove(self, name: str) -> None:
+        """Remove a file or folder of this call."""
+        where = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}")
+        where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -140,19 +139,19 @@ def write_once(uri: str, name: str, blocks: Iterator[bytes]) -> tuple[str, int]:
 
 
 # ------------------------------------------------------------------------------------------------ vectors
-def usable_vectors(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
-    """``id, v`` (float64 bytes) of the vectors that can be compared.
+def usable_vectors(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
+    """``id, v`` (float64 bytes) of the vectors that can be compared, and ``id`` of the other rows.
 
-    Left out: null ids, vectors that are null, empty, zero or hold null or non-finite components, and vectors of another
-    length than the longest usable one.
+    Not comparable: null ids, vectors that are null, empty, zero or hold null or non-finite components, and vectors of
+    another length than the longest usable one.
     """
-    as_double = F.col(vector_col).cast("array<double>")
-    rows = df.select(F.col(id_col).cast("long").alias("id"), as_double.alias("x"))
-    rows = rows.where(F.col("id").isNotNull() & F.col("x").isNotNull())
-    rows = rows.where(~F.exists("x", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))))
-    rows = rows.where(F.exists("x", lambda x: x != 0))
-    width = rows.agg(F.max(F.size("x"))).first()[0] or 0
-    return rows.where(F.size("x") == width).mapInArrow(_packed, "id long, v binary")
+    rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
+    bad = F.exists("x", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    good = F.col("id").isNotNull() & F.col("x").isNotNull() & ~bad & F.exists("x", lambda x: x != 0)
+    rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
+    width = rows.where("good").agg(F.max(F.size("x"))).first()[0] or 0
+    fits = F.col("good") & (F.coalesce(F.size("x"), F.lit(-1)) == width)
+    return rows.where(fits).select("id", "x").mapInArrow(_packed, "id long, v binary"), rows.where(~fits).select("id")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

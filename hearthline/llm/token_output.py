@@ -179,6 +179,7 @@ def read_slots(
         F.greatest(F.col("first_slot"), F.lit(first)).alias("begin"),
         (end if last is None else F.least(end, F.lit(last))).alias("end"),
     ).where("begin < end")
+    rows = rows.repartition(max(1, manifest.count()))  # a task for each shard
     return rows.mapInArrow(_reader(folder, length, dtype), "slot long, shard long, offset long, length int, ids binary")
 
 
