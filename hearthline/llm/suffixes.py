@@ -34,8 +34,9 @@ from .common import Work, shuffle_partitions
 
 _GRAM, _CHUNK, _RUN_BYTES = 16, 1 << 17, 24 << 20
 _RIGHT, _LEFT = b"\x01", b"\x02"
-_OWNER = struct.Struct("<16sIQHH")  # document, anchor, hash of its first bytes, least and most distance of its starts
-_NONE = b"\0" * _OWNER.size
+_OWNER = "<16sIQHH"  # document, anchor, hash of its first bytes, least and most distance of its starts
+_OWNER_BYTES = struct.calcsize(_OWNER)
+_NONE = b"\0" * _OWNER_BYTES
 
 
 # ------------------------------------------------------------------------------------------------ anchors
@@ -123,7 +124,7 @@ def common_prefix(a: bytes, b: bytes, known: int = 0) -> int:
 
 def front_code(strings: list[bytes]) -> tuple[list[int], list[bytes]]:
     """Shared prefix with the string before, and the rest, of sorted strings."""
-    shared = [0, *(common_prefix(a, b) for a, b in zip(strings, strings[1:], strict=False))]
+    shared = [0, *(common_prefix(a, b) for a, b in zip(strings, strings[1:], strict=False))][: len(strings)]
     return shared, [s[c:] for s, c in zip(strings, shared, strict=True)]
 
 
@@ -180,7 +181,7 @@ def _suffixes(batch: pa.RecordBatch, length: int, window: int) -> Iterator[tuple
     for key, value, found in zip(*(batch.column(c) for c in ("key", "text", "found")), strict=True):
         key, text = key.as_py(), value.as_py()
         for f in found.as_py():
-            owner = _OWNER.pack(key, f["pos"], f["h"] & (2**64 - 1), f["low"], f["high"])
+            owner = struct.pack(_OWNER, key, f["pos"], f["h"] & (2**64 - 1), f["low"], f["high"])
             for form in forms(text, f["pos"], length, window):
                 yield form, owner
 
@@ -273,7 +274,7 @@ _LCP_SQL = "key binary, pos long, h long, low int, high int, one int, two int"
 
 def _merged(splitters: list[bytes], splitter_owners: list[bytes]) -> Callable:
     def rows_of(found: list[tuple[bytes, int, bytes]]) -> pa.RecordBatch:
-        key, pos, h, low, high = list(zip(*(_OWNER.unpack(o) for o, _, _ in found), strict=True)) or [()] * 5
+        key, pos, h, low, high = list(zip(*(struct.unpack(_OWNER, o) for o, _, _ in found), strict=True)) or [()] * 5
         value = [max(0, c - 1) for _, c, _ in found]  # without the byte that tells the forms apart
         right = [k == _RIGHT for _, _, k in found]
         one = [v if r else None for v, r in zip(value, right, strict=True)]
@@ -296,7 +297,7 @@ def _merged(splitters: list[bytes], splitter_owners: list[bytes]) -> Callable:
                     runs.append((decode(shared, sizes, rest), shared.tolist()))
                     owners.append(own)
                 else:
-                    step = _OWNER.size
+                    step = _OWNER_BYTES
                     yield rows_of([(own[step * i : step * (i + 1)], int(n), rest[i : i + 1]) for i, n in enumerate(sizes)])
         if not runs:
             return
@@ -306,7 +307,7 @@ def _merged(splitters: list[bytes], splitter_owners: list[bytes]) -> Callable:
             owners.append(splitter_owners[part])
         found, last, kept = [], None, 0
         for r, i, shared in merge(runs):
-            owner = owners[r][_OWNER.size * i : _OWNER.size * (i + 1)]
+            owner = owners[r][_OWNER_BYTES * i : _OWNER_BYTES * (i + 1)]
             kind = runs[r][0][i][:1]
             if last is not None:
                 if last[0] != _NONE:
