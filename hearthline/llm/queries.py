@@ -40,7 +40,7 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_output.materialised(_table(spark, sf_dir, "documents"), length=512)
+    return token_output.materialised(_table(spark, sf_dir, "documents"), length=1024)
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
