@@ -140,3 +140,39 @@ def blocks(
     return read.select("row", "mix_pass", at.alias("mix_at")).select(
         *(F.col("row").getField(c).alias(c) for c in docs.columns if c not in ("mix_pass", "mix_at")), "mix_pass", "mix_at"
     )
+
+
+def oracle(flatten: float = 0.5, max_passes: float = 4.0, seed: int = 20240522) -> str:
+    """``doc_id, source, mix_pass`` of ``blocks`` over ``documents`` in DuckDB SQL."""
+    scale = _WAYS**_ROUNDS
+
+    def search(name: str, holds: str) -> str:
+        out, step = f"{name}0 as (select 0 as g)", scale
+        for r in range(_ROUNDS):
+            step //= _WAYS
+            out += f""",
+{name}g{r} as (select g + i * {step} as g, (g + i * {step}) / {scale}.0::double as a from {name}{r}, range({_WAYS + 1}) t(i)),
+{name}z{r} as (select g, a, sum(exp(a * ln(tokens / top))) as z, sum(exp(a * ln(tokens / top)) * ln(tokens / top)) as s
+  from {name}g{r}, totals, ends group by all),
+{name}{r + 1} as (select least({scale}, coalesce(max(g), 0)) as g from {name}z{r}, ends, goal where {holds})"""
+        return out
+
+    return f"""
+with d as (
+  select doc_id, source, n, ('0x' || substr(md5('{seed}:' || coalesce(source, '-') || ':' || coalesce(doc_id::varchar, '-')), 1, 15))::bigint as pick
+  from (select doc_id, source, len(regexp_extract_all(text, '[^ \t\n\x0B\f\r]+')) as n from documents) where n > 0),
+totals as (select source, sum(n)::double as tokens from d group by source),
+ends as (select max(tokens) as top, min(tokens) as low, count(*) as many from totals),
+evenness as (select ln(sum(tokens / top)) - sum(tokens / top * ln(tokens / top)) / sum(tokens / top) as h from totals, ends),
+goal as (select h + {flatten} * (ln(many) - h) as target from evenness, ends),
+{search("e", "ln(z) - a * s / z >= target")},
+{search("r", f"pow(top / low, 1 - a) > {max_passes}")},
+chosen as (select case when pow(top / low, 1 - e{_ROUNDS}.g / {scale}.0::double) > {max_passes}
+  then least(1.0, r{_ROUNDS}.g / {scale}.0::double + 1 / {scale}.0::double) else e{_ROUNDS}.g / {scale}.0::double end as alpha
+  from e{_ROUNDS}, r{_ROUNDS}, ends),
+plan as (select source as s, tokens, pow(top / tokens, 1 - alpha) as passes from totals, ends, chosen),
+spent as (select *, sum(n) over (partition by source order by pick) as upto from d),
+times as (select doc_id, source, floor(passes)::integer + (upto <= floor((passes - floor(passes)) * tokens))::integer as k
+  from spent join plan on source is not distinct from s)
+select doc_id, source, unnest(range(k))::integer as mix_pass from times
+"""

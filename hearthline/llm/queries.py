@@ -72,4 +72,4 @@ _ALL = (
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
 
 #: DuckDB SQL of the queries that SQL can express on whole tables; the others are tested against brute force.
-ORACLES: dict[str, str] = {"op6_licenses": licenses.oracle()}
+ORACLES: dict[str, str] = {"op4_mixing": mixing.oracle(), "op6_licenses": licenses.oracle()}

@@ -7,7 +7,7 @@ fingerprints instead of 2^-8.  For two fingerprints of a list the shared positio
 the minimum are kept, each at its first shared triple only, and the differing bits decide.
 
 Only different fingerprints are indexed, so a group of copies is one entry.  Lists longer than a tile are compared tile
-against tile, spread over tasks, which give back a spanning forest of the links found instead of all pairs.
+against tile, spread over tasks, which give back spanning stars of what the links connect instead of all pairs.
 """
 
 from __future__ import annotations
@@ -72,7 +72,7 @@ def _fingerprints(width: int) -> Callable:
 
 
 def _tiles(limit: int) -> Callable:
-    """Links between the two tiles of a row group (``left`` members first), reduced to a spanning forest."""
+    """What links between the two tiles of a group connect, as spanning stars."""
 
     def run(keys: tuple, table: pa.Table) -> pa.Table:
         fp = table.column("fp").to_numpy().view(np.uint64)
@@ -93,7 +93,7 @@ def _tiles(limit: int) -> Callable:
 
 
 def near_links(prints: DataFrame, work: Work, bits: int = 4, tile: int = 256) -> DataFrame:
-    """``a, b``: links that connect all fingerprints (``fp``, distinct) at ``bits`` or fewer differing bits."""
+    """``a, b``: pairs that connect just those fingerprints (``fp``, distinct) that links of ``bits`` or fewer bits connect."""
     if bits > 4:
         raise ValueError("four shared bytes are guaranteed for up to four differing bits")
     shapes = triples()
