@@ -98,17 +98,19 @@ def components(edges: DataFrame, work: Work) -> DataFrame:
     state = None
     while True:
         both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        # Minima are written before they are joined, so that Spark can split the join at a node with many edges.
+        low = work.put(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), "low")
         large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         large = work.put(large.distinct(), "large")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        work.free(low)
+        low = work.put(large.groupBy("a").agg(F.min("b").alias("m")), "low")
         joined = large.join(low, "a")
         small = joined.select("a", F.col("m").alias("b")).unionByName(
             joined.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         )
         small = work.put(small.distinct(), "small")
         new = tuple(small.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        work.free(large, pairs)
+        work.free(large, low, pairs)
         pairs = small
         if new == state:
             break

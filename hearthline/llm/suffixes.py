@@ -394,9 +394,10 @@ class Repeats:
         spark, work, reach = self.texts.sparkSession, self.work, length - window + 1
         marks = self.texts.mapInArrow(_anchor_rows(length, window), "key binary, h long, pos int, low short, high short")
         marks = work.put(marks, "anchors")
-        twice = marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+        # Counts are written before they are joined: a join of two plain shuffles is one that Spark can split at a hot hash.
+        twice = work.put(marks.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "twice")
         hits = work.put(marks.join(twice, "h", "left_semi"), "hits")
-        work.free(marks)
+        work.free(marks, twice)
 
         # Splitters: about 32 sampled suffixes a range, of which Spark's range partitioner picks one for each.
         many = 2 * hits.count()
@@ -438,13 +439,14 @@ class Repeats:
         open_from = F.greatest(F.col("c_from"), F.col("r_to") + 1)
         open_to = F.least(F.col("c_to"), F.col("l_from") - 1)
         unsure = lcps.where(open_from <= open_to).groupBy("h").agg(F.min(open_from).alias("o_from"), F.max(open_to).alias("o_to"))
-        probes = lcps.join(unsure, "h").select(
+        probes = lcps.join(work.put(unsure, "unsure"), "h").select(
             "key",
             (F.col("pos") - F.least("c_to", "o_to")).alias("a"),
             (F.col("pos") - F.greatest("c_from", "o_from")).alias("b"),
         ).where("a <= b")
+        probes = work.put(probes, "probes")
         starts = work.put(self.with_texts(probes, "a", "b").mapInArrow(_digests(length), "digest binary, key binary, start long"), "digests")
-        both = starts.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+        both = work.put(starts.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest"), "both")
         found = starts.join(both, "digest", "left_semi").select("key", F.col("start").alias("a"), (F.col("start") + n).alias("b"))
         return work.put(known.unionByName(found), "spans")
 
