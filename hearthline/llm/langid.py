@@ -6,17 +6,14 @@ scores those.  A Viterbi pass over the words, with a penalty for every change of
 
 from __future__ import annotations
 
-import re
-import zlib
-from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-
 UNKNOWN = "und"
 
 #: First code point of each stretch of letters and its script, from Unicode's blocks.
@@ -31,67 +28,97 @@ SCRIPTS = (
     (0x3130, "hangul"), (0x3190, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"),
     (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han"), (0x30000, "other"),
 )
-_STARTS = np.array([s for s, _ in SCRIPTS])
-_WORD = re.compile(r"[^\W\d_]+")
-_ORDERS = (1, 2, 3, 4)
-
-
-def scripts_of(word: str) -> set[str]:
-    points = np.fromiter(map(ord, word), np.int64, len(word))
-    return {SCRIPTS[i][1] for i in np.unique(np.searchsorted(_STARTS, points, "right") - 1)}
-
-
-def grams(word: str, buckets: int) -> list[int]:
-    """Hashed n-grams of a lower-cased word with its ends marked; long words (unspaced scripts) whole as well."""
-    marked = f" {word} "
-    return [
-        zlib.crc32(marked[i : i + n].encode("utf-8", "surrogatepass")) % buckets
-        for n in _ORDERS
-        for i in range(len(marked) - n + 1)
-        if n > 1 or marked[i] != " "
-    ]
+_BLANK, _BLOCK_CHARS, _STRIDE = 0x20, 2_000_000, 64
+
+
+@lru_cache(maxsize=1)
+def _characters() -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """For every code point: its lower-case letter, or a blank if it is no letter; its script; the scripts' names."""
+    top = 0x110000
+    lower = np.full(top, _BLANK, np.uint32)
+    for i in range(top):
+        c = chr(i)
+        if c.isalpha():
+            small = c.lower()
+            lower[i] = ord(small) if len(small) == 1 else i
+    names = sorted({s for _, s in SCRIPTS})
+    starts = [a for a, _ in SCRIPTS] + [top]
+    script = np.repeat([names.index(s) for _, s in SCRIPTS], np.diff(starts)).astype(np.int16)
+    return lower, script, names
+
+
+class Words:
+    """The words (runs of letters) of several texts, as one array of lower-cased code points with single blanks between."""
+
+    def __init__(self, texts: list[str]):
+        lower, script, self.script_names = _characters()
+        sizes = np.array([len(t) + 1 for t in texts], np.int64)
+        points = np.frombuffer(" ".join([*texts, ""]).encode("utf-32-le", "surrogatepass"), "<u4")
+        letters = lower[points]
+        is_letter = letters != _BLANK
+        change = np.flatnonzero(np.diff(is_letter, prepend=False, append=False))
+        first, stop = change[::2], change[1::2]
+        ends = np.cumsum(sizes)
+        self.text = np.searchsorted(ends, first, "right")  # of each word
+        begin = ends - sizes
+        self.start, self.stop = first - begin[self.text], stop - begin[self.text]
+        self.size = stop - first
+        # A blank before every word and one behind the last.
+        keep = is_letter.copy()
+        keep[stop] = True
+        self.codes = np.concatenate([[_BLANK], letters[keep]]).astype(np.uint32)
+        self.scripts = script[points[is_letter]]
+        self.owner = np.repeat(np.arange(len(first)), self.size)  # word of each letter
+
+    def grams(self, buckets: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Bucket and word of every run of one to four characters of a word with a blank at both its ends.
+
+        A blank may stand first or last in a run but not within, and not alone; a word of k letters has 4k such runs.
+        """
+        codes, blank = self.codes, self.codes == _BLANK
+        word = np.cumsum(blank) - 1  # a blank belongs to the word behind it
+        hashed = np.zeros(len(codes), np.uint32)
+        inside = np.ones(len(codes), bool)
+        for n in range(1, 5):
+            m = len(codes) - n + 1
+            if m <= 0:
+                return
+            with np.errstate(over="ignore"):
+                hashed = hashed[:m] * np.uint32(0x01000193) + codes[n - 1 :] * np.uint32(0x9E3779B1) + np.uint32(n)
+                spread = (hashed ^ (hashed >> np.uint32(15))) * np.uint32(0x85EBCA6B)
+            if n > 2:
+                inside = inside[:m] & ~blank[n - 2 : n - 2 + m]
+            use = inside[:m] & ~blank if n == 1 else inside[:m]
+            at = np.flatnonzero(use)
+            yield ((spread >> np.uint32(9)) % np.uint32(buckets))[at].astype(np.int64), word[at]
 
 
 # ------------------------------------------------------------------------------------------------ learning
-def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words of a task with how often they occur in each language; written out whenever there are many."""
-    counts: Counter = Counter()
-
-    def flush() -> pa.RecordBatch:
-        rows = [(lang, word, n) for (lang, word), n in counts.items()]
-        counts.clear()
-        columns = list(zip(*rows, strict=True)) or [(), (), ()]
-        kinds = (pa.string(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["lang", "word", "n"])
-
-    for batch in batches:
-        for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            counts.update((lang, w) for w in _WORD.findall((text or "").lower()))
-            if len(counts) > 500_000:
-                yield flush()
-    yield flush()
-
-
-def _count_features(buckets: int) -> Callable:
-    """``lang, feature, n``: n-gram buckets, and scripts as negative numbers, summed over a task's words."""
-    names = sorted({s for _, s in SCRIPTS})
+def _counts(buckets: int) -> Callable:
+    """``lang, feature, n`` of a task's texts: n-gram buckets, and letters by script as negative numbers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[str, Counter] = defaultdict(Counter)
+        grams: dict[str, np.ndarray] = {}
+        scripts: dict[str, np.ndarray] = {}
         for batch in batches:
-            for lang, word, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                mine = counts[lang]
-                for g in grams(word, buckets):
-                    mine[g] += n
-                for s in scripts_of(word):
-                    mine[-1 - names.index(s)] += n * len(word)
-        rows = [(lang, f, n) for lang, c in counts.items() for f, n in c.items()]
-        for at in range(0, len(rows), 100_000):
-            part = list(zip(*rows[at : at + 100_000], strict=True))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part[0], pa.string()), pa.array(part[1], pa.int64()), pa.array(part[2], pa.int64())],
-                ["lang", "feature", "n"],
-            )
+            by_lang: dict[str, list[str]] = {}
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                by_lang.setdefault(lang, []).append(text)
+            for lang, texts in by_lang.items():
+                for part in _parts(texts):
+                    words = Words([texts[i] for i in part])
+                    if not len(words.size):
+                        continue
+                    mine = grams.setdefault(lang, np.zeros(buckets, np.int64))
+                    for bucket, _ in words.grams(buckets):
+                        mine += np.bincount(bucket, minlength=buckets)
+                    seen = np.bincount(words.scripts, minlength=len(words.script_names))
+                    scripts[lang] = scripts.get(lang, 0) + seen
+        for lang in grams:
+            some, also = np.flatnonzero(grams[lang]), np.flatnonzero(scripts[lang])
+            feature = np.concatenate([some, -1 - also])
+            n = np.concatenate([grams[lang][some], scripts[lang][also]])
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), pa.array(feature), pa.array(n)], ["lang", "feature", "n"])
 
     return run
 
@@ -99,48 +126,32 @@ def _count_features(buckets: int) -> Callable:
 class Model:
     """Log-probabilities ``buckets x languages`` of n-grams, and the languages each script allows."""
 
-    def __init__(self, langs: list[str], table: np.ndarray, scripts: dict[str, np.ndarray], buckets: int):
-        self.langs, self.table, self.scripts, self.buckets = langs, table, scripts, buckets
-        self._words: dict[str, int] = {}
-        self._scores: np.ndarray = np.zeros((0, len(langs)), np.float32)
-
-    def __getstate__(self):
-        return {"langs": self.langs, "table": self.table, "scripts": self.scripts, "buckets": self.buckets}
-
-    def __setstate__(self, state):
-        self.__init__(**state)
-
-    def score(self, word: str) -> np.ndarray:
-        """Log-likelihood of the word in each language, scaled to its number of letters; languages whose script it
-        doesn't use are far below; a word in scripts that no language has says nothing."""
-        allowed = np.zeros(len(self.langs), bool)
-        word = word.lower()
-        for s in scripts_of(word):
-            allowed |= self.scripts.get(s, False)
-        if not allowed.any():
-            return np.zeros(len(self.langs), np.float32)
-        total = self.table[grams(word, self.buckets)].mean(axis=0) * min(len(word), 20)
-        return np.where(allowed, total - total[allowed].max(), -50.0).astype(np.float32)
-
-    def emissions(self, words: list[str], keep: int = 400_000) -> np.ndarray:
-        """Row numbers of the words' scores in ``self._scores``; scored words are kept up to a number."""
-        if len(self._words) > keep:
-            self._words, self._scores = {}, self._scores[:0]
-        known = self._words
-        new = [w for w in dict.fromkeys(words) if w not in known]
-        if new:
-            at = len(known)
-            if at + len(new) > len(self._scores):
-                grown = np.zeros((2 * (at + len(new)), len(self.langs)), np.float32)
-                grown[:at] = self._scores[:at]
-                self._scores = grown
-            for i, w in enumerate(new, at):
-                self._scores[i] = self.score(w)
-                known[w] = i
-        return np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-
-
-def learn(labelled: DataFrame, sample_docs: int = 20_000, buckets: int = 1 << 16, min_script: float = 0.001) -> Model | None:
+    def __init__(self, langs: list[str], table: np.ndarray, allowed: np.ndarray):
+        self.langs, self.table, self.allowed = langs, table, allowed
+
+    def scores(self, words: Words) -> np.ndarray:
+        """Each word's log-likelihood in each language, scaled to its letters and relative to the best.
+
+        A language that uses none of the word's scripts is far below; a word in scripts that no language uses says nothing.
+        """
+        many, langs = len(words.size), len(self.langs)
+        total = np.zeros((many, langs))
+        for bucket, word in words.grams(len(self.table)):
+            values = self.table[bucket]
+            for k in range(langs):
+                total[:, k] += np.bincount(word, values[:, k], many)
+        total *= (np.minimum(words.size, 20) / (4 * words.size))[:, None]
+        fits = np.ones((many, langs), bool)
+        if not self.allowed[np.unique(words.scripts)].all():
+            for k in range(langs):
+                fits[:, k] = np.bincount(words.owner, self.allowed[words.scripts, k], many) > 0
+        best = np.where(fits, total, -np.inf).max(axis=1, keepdims=True)
+        out = np.where(fits, total - np.where(np.isfinite(best), best, 0), -50.0)
+        out[~fits.any(axis=1)] = 0
+        return out.astype(np.float32)
+
+
+def learn(labelled: DataFrame, sample_docs: int = 20_000, buckets: int = 1 << 17, min_script: float = 0.001) -> Model | None:
     """A model from rows ``lang, text, key``; rows without a label or letter teach nothing; None if no row does.
 
     ``sample_docs`` bounds how many labelled rows are learnt from (those with the smallest hashes of ``key``, about that
@@ -151,16 +162,14 @@ def learn(labelled: DataFrame, sample_docs: int = 20_000, buckets: int = 1 << 16
     share = min(1.0, sample_docs / max(n, 1))
     if share < 1:
         rows = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-    words = rows.select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long")
-    words = words.groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    counts = words.mapInArrow(_count_features(buckets), "lang string, feature long, n long")
+    counts = rows.select("lang", "text").mapInArrow(_counts(buckets), "lang string, feature long, n long")
     counts = counts.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
     if not len(counts):
         return None
     langs = sorted(counts.lang.unique())
     if len(langs) > 1000:
         raise ValueError("more than 1000 languages")
-    names = sorted({s for _, s in SCRIPTS})
+    names = _characters()[2]
     table, letters = np.zeros((buckets, len(langs))), np.zeros((len(names), len(langs)))
     column = counts.lang.map({x: i for i, x in enumerate(langs)}).to_numpy()
     feature, n = counts.feature.to_numpy(), counts.n.to_numpy()
@@ -168,85 +177,93 @@ def learn(labelled: DataFrame, sample_docs: int = 20_000, buckets: int = 1 << 16
     table[feature[gram], column[gram]] = n[gram]
     letters[-1 - feature[~gram], column[~gram]] = n[~gram]
     table = np.log((table + 0.1) / (table.sum(axis=0) + 0.1 * buckets)).astype(np.float32)
-    share_of = letters / np.maximum(letters.sum(axis=0), 1)
-    return Model(langs, table, {s: share_of[i] >= min_script for i, s in enumerate(names) if (share_of[i] >= min_script).any()}, buckets)
+    return Model(langs, table, letters / np.maximum(letters.sum(axis=0), 1) >= min_script)
 
 
 # ------------------------------------------------------------------------------------------------ labelling
-def viterbi(scores: np.ndarray, lengths: np.ndarray, penalty: float) -> np.ndarray:
-    """Best language of each word for several texts at once.
+def viterbi(scores: np.ndarray, words: np.ndarray, penalty: float) -> np.ndarray:
+    """Best language of each word of several texts, whose words follow one another in ``scores`` (words x languages).
 
-    ``scores``: texts x words x languages, filled up with zeros behind each text's ``lengths`` words.  A change of
-    language between neighbouring words costs ``penalty``.
+    ``words``: how many each text has, at least one.  A change of language between neighbouring words costs ``penalty``.
+    Texts are cut into strides of 64 words.  All strides are solved together, for every language that may stand before
+    them; then the strides of each text are joined in order, the same place of all texts at a time; then the paths within
+    are read back.  So a long text takes as many steps as it has strides, not words.
     """
-    texts, steps, langs = scores.shape
-    best = scores[:, 0].astype(np.float64)
-    back = np.zeros((steps, texts, langs), np.int16)
-    own = np.arange(langs, dtype=np.int16)[None, :]
-    for t in range(1, steps):
-        top = best.argmax(axis=1)
-        change = best[np.arange(texts), top] - penalty
-        stay = best >= change[:, None]
-        back[t] = np.where(stay, own, top[:, None])
-        best = np.where(stay, best, change[:, None]) + scores[:, t]
-    path = np.zeros((texts, steps), np.int16)
-    state = best.argmax(axis=1)
-    every = np.arange(texts)
-    for t in range(steps - 1, -1, -1):
+    langs, strides = scores.shape[1], -(-words // _STRIDE)
+    first = np.cumsum(strides) - strides
+    total = int(strides.sum())
+    padded = np.zeros((total, _STRIDE, langs), np.float32)
+    inside = np.arange(len(scores)) - np.repeat(np.cumsum(words) - words, words)
+    row = np.repeat(first, words) + inside // _STRIDE
+    padded[row, inside % _STRIDE] = scores
+    own = np.arange(langs, dtype=np.int16)
+    best = np.where(np.eye(langs, dtype=bool), 0.0, -penalty)[None] + padded[:, 0, None, :].astype(np.float64)
+    back = np.zeros((_STRIDE, total, langs, langs), np.int16)
+    for t in range(1, _STRIDE):
+        top = best.argmax(axis=2)
+        change = np.take_along_axis(best, top[..., None], axis=2) - penalty
+        back[t] = np.where(best >= change, own, top[..., None])
+        best = np.maximum(best, change) + padded[:, t, None, :]
+    order = np.argsort(-strides, kind="stable")
+    value = np.zeros((len(words), langs))
+    before = np.zeros((total, langs), np.int16)
+    for k in range(int(strides.max())):
+        live = order[: np.searchsorted(-strides[order], -k, "left")]
+        joined = value[live][:, :, None] + best[first[live] + k]
+        before[first[live] + k] = joined.argmax(axis=1)
+        value[live] = joined.max(axis=1)
+    begin, end = np.zeros(total, np.int16), np.zeros(total, np.int16)
+    state = value.argmax(axis=1).astype(np.int16)
+    for k in range(int(strides.max()) - 1, -1, -1):
+        live = order[: np.searchsorted(-strides[order], -k, "left")]
+        end[first[live] + k] = state[live]
+        state[live] = before[first[live] + k, state[live]]
+        begin[first[live] + k] = state[live]
+    path, every = np.zeros((total, _STRIDE), np.int16), np.arange(total)
+    state = end
+    for t in range(_STRIDE - 1, -1, -1):
         path[:, t] = state
-        state = back[t, every, state]
-    del lengths  # zeros behind the end change no language, so the path up to it is the text's own
-    return path
-
-
-def label_words(model: Model, texts: list[str | None], penalty: float) -> Iterator[tuple[int, list[str], np.ndarray]]:
-    """``(index, words, languages)`` of each text that has a word, in blocks of texts of like length."""
-    cells = 1_600_000 // len(model.langs)
-    found = [_WORD.findall(t) if t else [] for t in texts]
-    order = sorted((i for i, f in enumerate(found) if f), key=lambda i: len(found[i]))
-    at = 0
-    while at < len(order):
-        stop = at + 1
-        while stop < len(order) and (stop + 1 - at) * len(found[order[stop]]) <= cells:
-            stop += 1
-        block = order[at:stop]
-        steps = len(found[block[-1]])
-        lengths = np.array([len(found[i]) for i in block])
-        rows = model.emissions([w for i in block for w in found[i]])
-        scores = np.zeros((len(block), steps, len(model.langs)), np.float32)
-        filled = np.arange(steps)[None, :] < lengths[:, None]
-        scores[filled] = model._scores[rows]
-        path = viterbi(scores, lengths, penalty)
-        for row, i in enumerate(block):
-            yield i, found[i], path[row, : lengths[row]]
-        at = stop
-
-
-def _spans(text: str, words: list[str], path: np.ndarray, langs: list[str]) -> list[dict]:
-    edges = np.flatnonzero(np.diff(path)) + 1
-    if not len(edges):  # the first and the last run of letters need no second look at the others
-        return [{"start": text.find(words[0]), "end": text.rfind(words[-1]) + len(words[-1]), "lang": langs[path[0]]}]
-    at = [m.span() for m in _WORD.finditer(text)]
-    return [
-        {"start": at[a][0], "end": at[b - 1][1], "lang": langs[path[a]]}
-        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(path)], strict=True)
-    ]
+        state = back[t, every, begin, state]
+    return path[row, inside % _STRIDE]
+
+
+def _parts(texts: list[str | None]) -> Iterator[list[int]]:
+    """Indices of the texts that are there, in blocks of a bounded number of characters, or of one longer text."""
+    block, size = [], 0
+    for i, text in enumerate(texts):
+        if text:
+            if block and size + len(text) > _BLOCK_CHARS:
+                yield block
+                block, size = [], 0
+            block.append(i)
+            size += len(text)
+    if block:
+        yield block
 
 
 def _labeller(model: Model | None, penalty: float) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
         for batch in batches:
             texts = batch.column(1).to_pylist()
             lang: list[str] = [UNKNOWN] * len(texts)
             score = np.zeros(len(texts))
             spans: list[list[dict]] = [[] for _ in texts]
-            if model is not None:
-                for i, words, path in label_words(model, texts, penalty):
-                    size = np.fromiter(map(len, words), np.int64, len(words))
-                    share = np.bincount(path, size, len(model.langs))
-                    lang[i], score[i] = model.langs[int(share.argmax())], float(share.max() / size.sum())
-                    spans[i] = _spans(texts[i], words, path, model.langs)
-            kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
+            for part in _parts(texts) if model is not None else ():
+                words = Words([texts[i] for i in part])
+                if not len(words.size):
+                    continue
+                have, count = np.unique(words.text, return_counts=True)
+                path = viterbi(model.scores(words), count, penalty).astype(np.int64)
+                langs = len(model.langs)
+                share = np.bincount(words.text * langs + path, words.size, len(part) * langs).reshape(-1, langs)
+                for k in have:
+                    lang[part[k]] = model.langs[int(share[k].argmax())]
+                    score[part[k]] = float(share[k].max() / share[k].sum())
+                edge = np.flatnonzero((np.diff(path, prepend=-1) != 0) | (np.diff(words.text, prepend=-1) != 0))
+                last = np.append(edge[1:], len(path)) - 1
+                for k, a, b, code in zip(words.text[edge], words.start[edge], words.stop[last], path[edge], strict=True):
+                    spans[part[k]].append({"start": int(a), "end": int(b), "lang": model.langs[code]})
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(lang), pa.array(score), pa.array(spans, kind)], ["key", "lang_pred", "score", "spans"]
             )

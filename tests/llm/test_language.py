@@ -64,19 +64,45 @@ def test_nothing_to_learn_and_empty(spark):
 
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(3)
-    for _ in range(20):
-        n, langs, penalty = rng.integers(1, 6), 3, rng.random() * 3
-        scores = rng.normal(size=(1, n, langs)).astype(np.float32)
-        padded = np.concatenate([scores, np.zeros((1, 4, langs), np.float32)], axis=1)
 
-        def value(path, scores=scores, penalty=penalty):
-            return sum(scores[0, t, k] for t, k in enumerate(path)) - penalty * sum(a != b for a, b in zip(path, path[1:], strict=False))
-
-        best = max(value(p) for p in product(range(langs), repeat=int(n)))
-        path = langid.viterbi(padded, np.array([n]), penalty)[0, :n]
-        assert abs(value(path.tolist()) - best) < 1e-5
+    def value(scores, path, penalty):
+        changes = sum(a != b for a, b in zip(path, path[1:], strict=False))
+        return sum(scores[t, k] for t, k in enumerate(path)) - penalty * changes
+
+    def plain(scores, penalty):
+        best = scores[0].astype(float)
+        for row in scores[1:]:
+            best = np.maximum(best, best.max() - penalty) + row
+        return best.max()
+
+    for penalty in (0.0, 1.5, 4.0):
+        counts = np.array([1, 5, 64, 65, 3, 128, 200, 1000, 2])
+        scores = rng.normal(size=(counts.sum(), 3)).astype(np.float32)
+        path = langid.viterbi(scores, counts, penalty)
+        for a, n in zip(np.cumsum(counts) - counts, counts, strict=True):
+            assert abs(value(scores[a : a + n], path[a : a + n].tolist(), penalty) - plain(scores[a : a + n], penalty)) < 1e-2
+            if n <= 5:
+                every = max(value(scores[a : a + n], p, penalty) for p in product(range(3), repeat=int(n)))
+                assert abs(every - plain(scores[a : a + n], penalty)) < 1e-4
+
+
+def test_words_and_their_grams():
+    texts = ["Ab, c1d", "", "é!", "  xyz"]
+    words = langid.Words(texts)
+    found = [(int(t), texts[t][a:b]) for t, a, b in zip(words.text, words.start, words.stop, strict=True)]
+    assert found == [(0, "Ab"), (0, "c"), (0, "d"), (2, "é"), (3, "xyz")]
+    counts = np.zeros(5, int)
+    for bucket, word in words.grams(1000):
+        counts += np.bincount(word, minlength=5)
+    assert counts.tolist() == [4 * len(t) for _, t in found]
+    again = langid.Words(["xyz", "ab", "AB"])
+    first = [sorted(b[w == 4].tolist()) for b, w in words.grams(1000)]
+    assert first == [sorted(b[w == 0].tolist()) for b, w in again.grams(1000)]
+    one, two = ([sorted(b[w == k].tolist()) for b, w in again.grams(1000)] for k in (1, 2))
+    assert one == two
+    assert len(langid.Words(["12 !", ""]).size) == 0
 
 
 def test_scripts():
-    assert langid.scripts_of("abé") == {"latin"} and langid.scripts_of("дом") == {"cyrillic"}
-    assert langid.scripts_of("東京") == {"han"} and langid.scripts_of("한국") == {"hangul"} and langid.scripts_of("שלום") == {"hebrew"}
+    names = langid.Words(["ab дом 東京 한국 שלום"])
+    assert [names.script_names[i] for i in dict.fromkeys(names.scripts.tolist())] == ["latin", "cyrillic", "han", "hangul", "hebrew"]

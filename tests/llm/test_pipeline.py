@@ -33,7 +33,7 @@ def stages(spark):
 
 def test_names_and_registration():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "simhash_near_dedup", "suffix_array_dedup", "source_mixing", "best_fit_packing"]
-    assert entry.queries()["pipeline"] is corpus_pipeline.run
+    assert entry.queries()["pipeline"].__wrapped__ is corpus_pipeline.run
 
 
 def test_language(stages):
