@@ -26,23 +26,35 @@ Stage = Callable[[DataFrame, str], DataFrame]
 
 @dataclass(frozen=True)
 class Outcome:
-    """What a job found: a record per post, and every address it resolved."""
+    """What a job found: a record per post, every address it resolved, and the service calls it made (month, calls)."""
 
     records: DataFrame
     resolved: DataFrame
+    calls: DataFrame | None = None
 
 
 @dataclass(frozen=True)
 class Lookups:
-    """Answers of address services, each keyed by ``address_key``."""
+    """Answers of address services, each keyed by ``address_key``.
 
-    cache: DataFrame
-    geocodes: DataFrame
-    routes: DataFrame
+    ``geocodes`` and ``routes`` are tables of answers, or functions that ask for them: they get the requests
+    (``address_key, query``) that the month's budget allows after ``usage`` (month, calls).
+    """
+
+    cache: DataFrame | None
+    geocodes: addresses.Answers
+    routes: addresses.Answers
+    usage: DataFrame | None = None
 
 
 def _settled(
-    ruled: DataFrame, extractor: Extractor, lookups: Lookups, params: P.ScreenParams, stage: Stage
+    ruled: DataFrame,
+    extractor: Extractor,
+    lookups: Lookups,
+    params: P.ScreenParams,
+    stage: Stage,
+    as_of: datetime,
+    carry: tuple[str, ...] = (),
 ) -> Outcome:
     """Extraction, judgement, distance and the final verdict of rows that have passed the rules.
 
@@ -53,20 +65,19 @@ def _settled(
     ruled = stage(ruled, "ruled")
     # The rules stop an uneven share of each file; spread what is left, since the model is by far the dearest step.
     open_rows = extraction.with_prompt(ruled.filter(F.col("verdict").isNull()).repartition("url"), params)
-    answered = extraction.with_record(extractor(open_rows), params).drop("responses", "prompt")
-    stopped = ruled.filter(F.col("verdict").isNotNull()).withColumn("record", F.lit(None).cast(schemas.RECORD))
+    answered = extraction.with_record(extractor(open_rows), params).drop("responses", "prompt", *carry)
+    stopped = ruled.filter(F.col("verdict").isNotNull()).withColumn("record", F.lit(None).cast(schemas.RECORD)).drop(*carry)
     judged = stage(judging.judge(answered.unionByName(stopped), params), "judged")
-    resolved = addresses.resolve_addresses(
-        addresses.distinct_addresses(judged), lookups.cache, lookups.geocodes, lookups.routes, params
+    resolved, calls = addresses.look_up(
+        addresses.distinct_addresses(judged), lookups.cache, lookups.geocodes, lookups.routes, params, lookups.usage, as_of, stage
     )
-    resolved = stage(resolved, "resolved")
     placed = addresses.with_distance(judged, resolved)
     final = judging.file_reason(judging.limit_distance(placed, params))
     sent = F.col("record").isNotNull()
     located = F.col("verdict").isin(P.ADDED, P.REJECTED_DISTANCE)
     records = final.withColumns(
         {
-            "raw_text": F.col("raw_text") if "raw_text" in final.columns else F.col("text"),
+            "raw_text": F.col("text"),
             "parsed_json": F.when(sent, lax.record_json(F.col("record"))),
             "model_used": F.when(sent, F.lit("model")),
             **{
@@ -75,7 +86,7 @@ def _settled(
             },
         }
     ).drop("record")
-    return Outcome(records, resolved)
+    return Outcome(records, resolved, calls)
 
 
 def screen(
@@ -87,27 +98,28 @@ def screen(
     as_of: datetime,
     stage: Stage,
     params: P.ScreenParams = P.ScreenParams(),
+    carry: tuple[str, ...] = (),
 ) -> Outcome:
     """A record per new post of a feed, with its final verdict.
 
     ``state`` needs url, verdict and attempts, ``published`` url.  Within one run the first post of a URL is judged.
+    ``carry`` names columns of the feed that are for the extractor only.
     """
     feed = screening.first_per_url(screening.prepare_feed(posts_in, params))
     new = history.skip_published(history.skip_processed(feed, state, params), published)
     ruled = screening.apply_rules(dates.with_post_date(new, as_of), params, as_of)
-    return _settled(ruled, extractor, lookups, params, stage)
+    return _settled(ruled, extractor, lookups, params, stage, as_of, carry)
 
 
-def _from_state(rows: DataFrame, as_of: datetime) -> DataFrame:
+def _from_state(rows: DataFrame, as_of: datetime, carry: tuple[str, ...]) -> DataFrame:
     return rows.select(
         "url",
         "group_url",
-        "raw_text",
         F.col("raw_text").alias("text"),
         F.coalesce("post_date", F.lit("")).alias("post_date"),
         dates.infer_date(F.col("post_date"), as_of).alias("posted_on"),
         F.lit(0).cast("bigint").alias("ord"),
-        *[c for c in rows.columns if c.startswith("model_") and c != "model_used"],
+        *carry,
     )
 
 
@@ -120,13 +132,14 @@ def reprocess(
     stage: Stage,
     params: P.ScreenParams = P.ScreenParams(),
     verdicts=P.RETRY_VERDICTS,
+    carry: tuple[str, ...] = (),
 ) -> Outcome:
     """New records of stored posts that were rejected or failed; no text rule is applied."""
     candidates = screening.with_text(history.retry_candidates(state, verdicts))
-    rows = _from_state(history.skip_published(candidates, published), as_of)
+    rows = _from_state(history.skip_published(candidates, published), as_of, carry)
     no_rule = F.lit(None).cast("string")
     return _settled(
-        rows.withColumns({"reject_reason": no_rule, "verdict": no_rule}), extractor, lookups, params, stage
+        rows.withColumns({"reject_reason": no_rule, "verdict": no_rule}), extractor, lookups, params, stage, as_of, carry
     )
 
 
@@ -137,11 +150,11 @@ def replay(
     as_of: datetime,
     stage: Stage,
     params: P.ScreenParams = P.ScreenParams(),
+    carry: tuple[str, ...] = (),
 ) -> Outcome:
     """New records of every stored post that still has its text, under the present rules but without the age rule."""
-    rows = text.with_post_text(_from_state(screening.with_text(state), as_of), "text")
-    rows = rows.withColumn("raw_text", F.col("text"))
-    return _settled(screening.apply_rules(rows, params), extractor, lookups, params, stage)
+    rows = text.with_post_text(_from_state(screening.with_text(state), as_of, carry), "text")
+    return _settled(screening.apply_rules(rows, params), extractor, lookups, params, stage, as_of, carry)
 
 
 def new_listings(records: DataFrame, scanned_at: datetime) -> DataFrame:
@@ -154,15 +167,3 @@ def maintain(
 ) -> tuple[DataFrame, DataFrame]:
     """The published table without duplicates and stale rows, and the state without old payload."""
     return dedupe.publish(listings, as_of, params, order), history.retain(state, as_of, params)
-
-
-def repair(
-    listings: DataFrame,
-    lookups: Lookups,
-    as_of: datetime,
-    params: P.ScreenParams = P.ScreenParams(),
-    order: str = "ord",
-) -> DataFrame:
-    """The published table with mended addresses, deduplicated again."""
-    planned = addresses.repair_addresses(listings, lookups.geocodes, lookups.routes, params)
-    return dedupe.publish(addresses.apply_repair(planned), as_of, params, order)

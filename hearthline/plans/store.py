@@ -1,13 +1,19 @@
 """Where the jobs keep their tables.
 
-Results of a run are append-only Parquet tables partitioned by ``batch_id``: ``changes`` (what was learnt about each
-URL), ``listings`` (what was published) and ``addresses`` (what was looked up).  Writing a run again replaces its own partition, so a repeated run changes
-nothing.  The state is the fold of the changes; ``compact`` folds the finished ones into a base version from time to
-time, so that reading the state does not grow with the number of runs.
+Results of a run are Parquet tables partitioned by ``batch_id``: ``changes`` (what was learnt about each URL), ``listings``
+(what was found worth publishing), ``addresses`` (what was looked up) and ``usage`` (calls made).  Writing a run again
+replaces its own partitions, so a repeated run changes nothing.
+
+``compact`` folds finished runs into a base version of the state and of the address cache; reading then does not grow with
+the number of runs.  The base before the newest stays, and so do the partitions above it: a run that comes after it may be
+repeated, and what was folded from its first attempt is then dropped.  An older run is refused.
+
+``published`` is the deduplicated view.  Each version continues the one before with the listings of later runs.
 """
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +28,10 @@ from hearthline.plans import jobs
 from hearthline.sources import tables
 
 _LAST_BATCH = 9223372036854775807
+_UP_TO = re.compile(r"upto(-?\d+)-")
+# A published row remembers its first position, which decides between rows of one date.
+_PLACE = (("first_batch", T.LongType()), ("first_seen_at", T.TimestampNTZType()), ("first_url", T.StringType()))
+_PUBLISHED = T.StructType([*schemas.LISTINGS.fields, *(T.StructField(n, t) for n, t in _PLACE)])
 
 
 class Store:
@@ -29,56 +39,152 @@ class Store:
         self.spark = spark
         self.root = root.rstrip("/")
 
+    # ------------------------------------------------------------------------------------------ versions
+    def _folded(self, table: str, before: int = _LAST_BATCH) -> tuple[int, str | None]:
+        """The newest base of a table that holds nothing from ``before`` on: (last batch in it, version)."""
+        found = [(int(_UP_TO.match(name)[1]), n, name) for n, name in tables.versions(self.spark, f"{self.root}/{table}")]
+        last, _, name = max((f for f in found if f[0] < before), default=(-1, 0, None))
+        return last, name
+
+    def _drop_from(self, table: str, batch_id: int) -> None:
+        """Remove the bases that hold a batch which is about to be written again."""
+        for _, name in tables.versions(self.spark, f"{self.root}/{table}"):
+            if int(_UP_TO.match(name)[1]) >= batch_id:
+                tables.forget(self.spark, f"{self.root}/{table}", name)
+
+    def _fold(self, table: str, rows: DataFrame, up_to: int, keep: int = 2) -> None:
+        """Write a base; only the newest ``keep`` stay."""
+        root = f"{self.root}/{table}"
+        tables.rewrite(rows, root, f"upto{up_to}")
+        for _, name in tables.versions(self.spark, root)[:-keep]:
+            tables.forget(self.spark, root, name)
+
+    def _marks(self, kind: str) -> list[int]:
+        path, fs = tables._hadoop_path(self.spark, f"{self.root}/{kind}")
+        return [int(s.getPath().getName()) for s in fs.listStatus(path)] if fs.exists(path) else []
+
+    def _mark(self, kind: str, batch_id: int) -> None:
+        path, fs = tables._hadoop_path(self.spark, f"{self.root}/{kind}/{batch_id}")
+        fs.createNewFile(path)
+
+    def is_closed(self, batch_id: int) -> bool:
+        """Whether a run is recorded for good: folded, and its own partitions removed."""
+        return batch_id <= max(self._marks("_removed"), default=-1)
+
+    def _remove_batches(self, up_to: int) -> None:
+        """Remove partitions of folded batches, once a mark says that they are no longer to be read or repeated."""
+        self._mark("_removed", up_to)
+        for table in ("changes", "addresses"):
+            folder, fs = tables._hadoop_path(self.spark, f"{self.root}/{table}")
+            for status in fs.listStatus(folder) if fs.exists(folder) else []:
+                name = status.getPath().getName()
+                if name.startswith("batch_id=") and int(name.partition("=")[2]) <= up_to:
+                    fs.delete(status.getPath(), True)
+
     # ------------------------------------------------------------------------------------------ reading
-    def _batches(self, table: str, schema, before: int) -> DataFrame:
+    def _batches(self, table: str, schema: T.StructType, before: int, after: int = -1) -> DataFrame:
+        """Rows of the runs between two batches, neither included; other partitions are not listed."""
         folder = f"{self.root}/{table}"
         path, fs = tables._hadoop_path(self.spark, folder)
         if not fs.exists(path):
             return self.spark.createDataFrame([], schema).withColumn("batch_id", F.lit(0).cast("bigint"))
         full = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-        return self.spark.read.schema(full).parquet(folder).filter(F.col("batch_id") < before)
-
-    def _folded_up_to(self) -> int:
-        version = tables.current_version(self.spark, f"{self.root}/base")
-        return -1 if version is None else int(version.removeprefix("upto-"))
+        rows = self.spark.read.schema(full).parquet(folder)
+        return rows.filter((F.col("batch_id") < before) & (F.col("batch_id") > after))
 
     def changes(self, before: int = _LAST_BATCH) -> DataFrame:
-        """Base and later changes, one schema; partition pruning skips what the base holds."""
-        done = self._folded_up_to()
-        later = self._batches("changes", schemas.POSTS, before).filter(F.col("batch_id") > done)
-        if done < 0:
+        """The newest usable base and later changes, one schema."""
+        done, version = self._folded("base", before)
+        later = self._batches("changes", schemas.POSTS, before, done)
+        if version is None:
             return later
-        base = tables.read(self.spark, f"{self.root}/base", schemas.POSTS)
+        base = tables.read(self.spark, f"{self.root}/base", schemas.POSTS, version)
         return base.withColumn("batch_id", F.lit(done).cast("bigint")).unionByName(later)
 
     def state(self, before: int = _LAST_BATCH) -> DataFrame:
         return history.current_state(self.changes(before))
 
-    def narrow_state(self, before: int = _LAST_BATCH) -> DataFrame:
-        return history.narrow_state(self.changes(before))
+    def narrow_state(self, before: int = _LAST_BATCH, urls: DataFrame | None = None) -> DataFrame:
+        """Verdict and attempts, of all posts or of the given URLs only: the history is cut to them before it is folded."""
+        rows = self.changes(before).select("url", "verdict", "attempts", "batch_id")
+        if urls is not None:
+            rows = rows.join(urls.select("url"), "url", "left_semi")
+        return history.narrow_state(rows)
 
     def cache(self, before: int = _LAST_BATCH) -> DataFrame:
         """The address cache: the latest row of each address."""
-        rows = self._batches("addresses", schemas.ADDRESS_CACHE, before)
-        none = self.spark.createDataFrame([], schemas.ADDRESS_CACHE)
-        return history.upsert_cache(none, rows)
+        done, version = self._folded("cache_base", before)
+        rows = self._batches("addresses", schemas.ADDRESS_CACHE, before, done)
+        if version is None:
+            base = self.spark.createDataFrame([], schemas.ADDRESS_CACHE)
+        else:
+            base = tables.read(self.spark, f"{self.root}/cache_base", schemas.ADDRESS_CACHE, version)
+        return history.upsert_cache(base, rows)
+
+    def usage(self, before: int = _LAST_BATCH) -> DataFrame:
+        """Calls made in each month."""
+        rows = self._batches("usage", schemas.API_USAGE, before)
+        return rows.groupBy("month").agg(F.sum("calls").alias("calls"))
 
     def listings(self, before: int = _LAST_BATCH) -> DataFrame:
+        """What runs found worth publishing, whether or not it is still published."""
         return self._batches("listings", schemas.LISTINGS, before)
 
+    def published(self, before: int = _LAST_BATCH) -> DataFrame:
+        return self._published(before)[1].select(*schemas.LISTINGS.names)
+
+    def _published(self, before: int = _LAST_BATCH) -> tuple[int, DataFrame]:
+        done, version = self._folded("published", before)
+        cleared = max((b - 1 for b in self._marks("_replayed") if b < before), default=-1)
+        if version is None or done <= cleared:  # a replay starts from nothing
+            return cleared, self.spark.createDataFrame([], _PUBLISHED)
+        return done, tables.read(self.spark, f"{self.root}/published", _PUBLISHED, version)
+
+    def _to_publish(self, before: int = _LAST_BATCH) -> DataFrame:
+        """The published rows and those of later runs, each with its first position."""
+        done, rows = self._published(before)
+        later = self._batches("listings", schemas.LISTINGS, before, done)
+        return rows.unionByName(
+            later.withColumns({"first_batch": F.col("batch_id"), "first_seen_at": F.col("scanned_at"), "first_url": F.col("url")}).drop("batch_id")
+        )
+
     # ------------------------------------------------------------------------------------------ writing
     def _write(self, df: DataFrame, table: str, batch_id: int) -> None:
         df.write.mode("overwrite").parquet(f"{self.root}/{table}/batch_id={batch_id}")
 
     def record(self, batch_id: int, outcome: jobs.Outcome, at: datetime) -> None:
-        """Keep a run's addresses, publish its new listings, then record its posts.
+        """Keep a run's addresses and calls, its listings, then what it learnt about its posts.
 
-        The records are read twice and should be written ones.
+        The posts come last: a run that stops before them is still to be done.  The records are read twice and should be
+        written ones.
         """
+        if self.is_closed(batch_id):
+            raise ValueError(f"batch {batch_id} has been folded away and can't be written again")
+        for table in ("base", "cache_base", "published"):
+            self._drop_from(table, batch_id)
         self._write(addresses.new_cache_rows(outcome.resolved, clock(at)), "addresses", batch_id)
+        if outcome.calls is not None:
+            self._write(outcome.calls, "usage", batch_id)
         self._write(jobs.new_listings(outcome.records, at), "listings", batch_id)
         self._write(history.changes(outcome.records, at), "changes", batch_id)
 
+    def _lookups(self, lookups: jobs.Lookups, batch_id: int) -> jobs.Lookups:
+        """The caller's services with this store's cache and usage as they were before the run."""
+        cache = self.cache(batch_id)
+        if lookups.cache is not None:
+            cache = history.upsert_cache(lookups.cache, cache)
+        return jobs.Lookups(cache, lookups.geocodes, lookups.routes, self.usage(batch_id))
+
+    def _run(self, name: str, batch_id: int, as_of: datetime, job) -> None:
+        """Record a job's outcome; its scratch tables go in any case."""
+        scratch = tables.Scratch(self.spark, f"{name}-{batch_id}")
+        try:
+            found = job(scratch)
+            records = scratch(found.records, "records")
+            self.record(batch_id, jobs.Outcome(records, found.resolved, found.calls), as_of)
+        finally:
+            scratch.drop()
+
     def screen(
         self,
         batch_id: int,
@@ -87,32 +193,116 @@ class Store:
         lookups: jobs.Lookups,
         as_of: datetime,
         params: P.ScreenParams = P.ScreenParams(),
+        carry: tuple[str, ...] = (),
     ) -> None:
         """Screen a feed against everything recorded before this run, and record the outcome."""
-        scratch = tables.Scratch(self.spark, f"screen-{batch_id}")
-        found = jobs.screen(
-            posts_in,
-            self.narrow_state(batch_id),
-            self.listings(batch_id).select("url"),
-            extractor,
-            lookups,
-            as_of,
-            scratch,
-            params,
-        )
-        self.record(batch_id, jobs.Outcome(scratch(found.records, "records"), found.resolved), as_of)
-        scratch.drop()
 
-    def compact(self, up_to: int) -> None:
-        """Fold the changes of finished runs into a new base version."""
+        def job(scratch: tables.Scratch) -> jobs.Outcome:
+            urls = scratch(posts_in.select("url").distinct(), "urls")
+            listed = self._to_publish(batch_id).select("url").join(urls, "url", "left_semi")
+            state = self.narrow_state(batch_id, urls)
+            known = self._lookups(lookups, batch_id)
+            return jobs.screen(posts_in, state, listed, extractor, known, as_of, scratch, params, carry)
+
+        self._run("screen", batch_id, as_of, job)
+
+    def reprocess(
+        self,
+        batch_id: int,
+        extractor: jobs.Extractor,
+        lookups: jobs.Lookups,
+        as_of: datetime,
+        params: P.ScreenParams = P.ScreenParams(),
+        verdicts=P.RETRY_VERDICTS,
+        carry: tuple[str, ...] = (),
+    ) -> DataFrame:
+        """Judge stored rejected and failed posts again, record the outcome and publish what is new."""
+
+        def job(scratch: tables.Scratch) -> jobs.Outcome:
+            known = self._lookups(lookups, batch_id)
+            listed = self._to_publish(batch_id).select("url")
+            return jobs.reprocess(self.state(batch_id), listed, extractor, known, as_of, scratch, params, verdicts, carry)
+
+        self._run("reprocess", batch_id, as_of, job)
+        return self.publish(as_of, params)
+
+    def replay(
+        self,
+        batch_id: int,
+        extractor: jobs.Extractor,
+        lookups: jobs.Lookups,
+        as_of: datetime,
+        params: P.ScreenParams = P.ScreenParams(),
+        carry: tuple[str, ...] = (),
+    ) -> DataFrame:
+        """Run every stored post through the present rules and publish only what passes them.
+
+        The published table is copied to a snapshot first, then cleared of all that earlier runs found, then filled from
+        this run's listings; the state takes the new verdicts.
+        """
+        root = f"{self.root}/published"
+        path, fs = tables._hadoop_path(self.spark, f"{root}/snapshot=before-{batch_id}")
+        if not fs.exists(path):
+            tables.snapshot(self.spark, root, _PUBLISHED, f"before-{batch_id}")
+
+        def job(scratch: tables.Scratch) -> jobs.Outcome:
+            known = self._lookups(lookups, batch_id)
+            return jobs.replay(self.state(batch_id), extractor, known, as_of, scratch, params, carry)
+
+        self._run("replay", batch_id, as_of, job)
+        self._mark("_replayed", batch_id)
+        return self.publish(as_of, params)
+
+    def last_batch(self) -> int:
+        found = self._batches("changes", schemas.POSTS, _LAST_BATCH).agg(F.max("batch_id")).first()[0]
+        return max(self._folded("base")[0], -1 if found is None else found)
+
+    def compact(self, up_to: int, as_of: datetime | None = None, params: P.ScreenParams = P.ScreenParams(), keep: int = 2) -> None:
+        """Fold the runs up to a batch into new bases; nothing if a base holds them already.
+
+        With ``as_of``, old rows lose their payload.  Of bases, the newest ``keep`` stay, and only partitions above the
+        oldest of them; with ``keep=1`` no run up to here can be repeated.
+        """
+        done, version = self._folded("base")
+        if up_to < done or (up_to == done and version is not None and as_of is None and keep > 1):
+            return
         folded = history.current_state(self.changes(up_to + 1))
-        tables.rewrite(folded, f"{self.root}/base", f"upto-{up_to}")
+        if as_of is not None:
+            folded = history.retain(folded, as_of, params)
+        cache = self.cache(up_to + 1)
+        self._fold("cache_base", cache, up_to, keep)
+        self._fold("base", folded, up_to, keep)
+        kept = tables.versions(self.spark, f"{self.root}/base")
+        if len(kept) >= keep:
+            self._remove_batches(int(_UP_TO.match(kept[0][1])[1]))
 
     def publish(self, as_of: datetime, params: P.ScreenParams = P.ScreenParams()) -> DataFrame:
-        """Rewrite the published view from all listings: deduplicated, without stale rows, newest first."""
-        in_order = F.struct("batch_id", "scanned_at", "url")
-        listings = self.listings().withColumn("ord", in_order)
-        view = dedupe.publish(listings.drop("batch_id"), as_of, params).drop("pos")
-        tables.rewrite(view.select(*schemas.LISTINGS.names), f"{self.root}/published")
-        return tables.read(self.spark, f"{self.root}/published", schemas.LISTINGS)
+        """Continue the published view with the listings of later runs: deduplicated, without stale rows, newest first."""
+        self._publish(self._to_publish(), as_of, params)
+        return self.published()
+
+    def _publish(self, rows: DataFrame, as_of: datetime, params: P.ScreenParams) -> None:
+        place = F.struct(*(n for n, _ in _PLACE))
+        view = dedupe.publish(rows.withColumn("ord", place), as_of, params)
+        view = view.withColumns({n: F.col("pos")[n] for n, _ in _PLACE}).select(*_PUBLISHED.names)
+        up_to = self._batches("listings", schemas.LISTINGS, _LAST_BATCH).agg(F.max("batch_id")).first()[0]
+        done = self._folded("published")[0]
+        self._fold("published", view, max(done, -1 if up_to is None else up_to))
+
+    def maintain(self, as_of: datetime, params: P.ScreenParams = P.ScreenParams()) -> DataFrame:
+        """Publish without duplicates and stale rows, and take the payload of old posts out of the stored history."""
+        last = self.last_batch()
+        if last >= 0:
+            self.compact(last, as_of, params, keep=1)
+        return self.publish(as_of, params)
 
+    def repair(self, lookups: jobs.Lookups, as_of: datetime, params: P.ScreenParams = P.ScreenParams()) -> DataFrame:
+        """Mend the addresses of the published table and deduplicate it again; returns the table."""
+        scratch = tables.Scratch(self.spark, "repair")
+        try:
+            rows = scratch(self._to_publish(), "published")
+            planned = addresses.repair_addresses(rows, lookups.geocodes, lookups.routes, params)
+            self._publish(scratch(addresses.apply_repair(planned), "repaired"), as_of, params)
+        finally:
+            scratch.drop()
+        return self.published()

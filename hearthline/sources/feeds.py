@@ -11,6 +11,9 @@ from hearthline.functions.text import any_contains, strip
 _ANCHOR = r"(?is)<a\b[^>]*>.*?</a>"
 _HREF = r"""(?is)^<a\b[^>]*?\bhref\s*=\s*["']([^"']*)["']"""
 _TAG = r"(?s)<[^>]*>"
+_ROLE = r"""(?is)^<a\b[^>]*?\brole\s*=\s*["']{role}["']"""
+# The named character references that occur in labels; numeric ones are decoded by rule.
+_ENTITIES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", "\u00a0"), ("&amp;", "&"))
 
 
 def read_text_files(spark: SparkSession, path: str) -> DataFrame:
@@ -26,12 +29,31 @@ def canonical_url(href: Column, base_url: str) -> Column:
     return F.when(F.startswith(bare, F.lit("/")), F.concat(F.lit(base_url.rstrip("/")), bare)).otherwise(bare)
 
 
-def post_link(html: Column, base_url: str, segments=P.POST_LINK_SEGMENTS, skip: str = P.COMMENT_LINK_TOKEN) -> Column:
-    """struct(url, date_text) of the first link to a post in a piece of markup; NULL if there is none."""
+def unescape(col: Column) -> Column:
+    """A label's text without character references."""
+    for name, plain in _ENTITIES:
+        col = F.replace(col, F.lit(name), F.lit(plain))
+    return col
+
+
+def post_link(
+    html: Column,
+    base_url: str,
+    segments=P.POST_LINK_SEGMENTS,
+    skip: str = P.COMMENT_LINK_TOKEN,
+    role: str | None = "link",
+) -> Column:
+    """struct(url, date_text) of the first link to a post in a piece of markup; NULL if there is none.
+
+    Only anchors of the given ``role`` count, or all with None.
+    """
+    anchors = F.regexp_extract_all(html, F.lit(_ANCHOR), F.lit(0))
+    if role is not None:
+        anchors = F.filter(anchors, lambda a: F.rlike(a, F.lit(_ROLE.format(role=role))))
     links = F.transform(
-        F.regexp_extract_all(html, F.lit(_ANCHOR), F.lit(0)),
+        anchors,
         lambda a: F.struct(
-            F.regexp_extract(a, _HREF, 1).alias("href"), strip(F.regexp_replace(a, _TAG, "")).alias("label")
+            unescape(F.regexp_extract(a, _HREF, 1)).alias("href"), strip(unescape(F.regexp_replace(a, _TAG, ""))).alias("label")
         ),
     )
     wanted = F.filter(links, lambda a: any_contains(a["href"], segments) & ~F.contains(a["href"], F.lit(skip)))
@@ -42,10 +64,12 @@ def post_link(html: Column, base_url: str, segments=P.POST_LINK_SEGMENTS, skip:
     )
 
 
-def page_links(pages: DataFrame, base_url: str, segments=P.POST_LINK_SEGMENTS, html: str = "html") -> DataFrame:
+def page_links(
+    pages: DataFrame, base_url: str, segments=P.POST_LINK_SEGMENTS, html: str = "html", role: str | None = "link"
+) -> DataFrame:
     """Add ``url`` and ``post_date_text`` of each page's post link."""
     return (
-        pages.withColumn("_link", post_link(F.col(html), base_url, segments))
+        pages.withColumn("_link", post_link(F.col(html), base_url, segments, role=role))
         .withColumns({"url": F.col("_link.url"), "post_date_text": F.col("_link.date_text")})
         .drop("_link")
     )

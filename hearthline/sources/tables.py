@@ -1,20 +1,19 @@
 """Plain Parquet tables: schema contract, additive change, staged rewrite, snapshots.
 
-A table is a folder of versions.  A rewrite goes to a new version folder, and only when that is complete does the small
-pointer file name it; a reader, or the job's own input, never sees a half-written table, and a lost executor or a failed
+A table is a folder of versions.  A rewrite goes to a new version folder, and only when that is complete does an empty
+marker file name it; a reader, or the job's own input, never sees a half-written table, and a lost executor or a failed
 run leaves the old version in place.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-_POINTER = "current.txt"
+_MARKERS = "_versions"
 
 
 class SchemaMismatch(ValueError):
@@ -42,16 +41,12 @@ def add_missing_columns(df: DataFrame, schema: T.StructType) -> DataFrame:
 
 # ---------------------------------------------------------------------------------------------- folders
 def shared_folder(spark: SparkSession) -> str:
-    """The folder every executor can reach, as the cluster names it; only a local run gets one of its own."""
+    """The folder every executor can reach, as ``spark.checkpoint.dir`` names it."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     named = named or spark.sparkContext.getCheckpointDir()
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not named:
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-    own = tempfile.mkdtemp(prefix="hearthline-")
-    spark.conf.set("spark.checkpoint.dir", own)
-    return own
+    return named
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -87,30 +82,51 @@ def _hadoop_path(spark: SparkSession, path: str):
 
 
 # ---------------------------------------------------------------------------------------------- versions
-def current_version(spark: SparkSession, root: str) -> str | None:
-    path, fs = _hadoop_path(spark, f"{root}/{_POINTER}")
+def versions(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """Complete versions of a table, oldest first, as (number, name).
+
+    A marker file is made in one step once a version is written and says all in its name, so a reader sees it whole or
+    not at all.
+    """
+    path, fs = _hadoop_path(spark, f"{root}/{_MARKERS}")
     if not fs.exists(path):
-        return None
-    return spark.read.text(path.toString(), wholetext=True).first()[0].strip()
+        return []
+    names = [s.getPath().getName() for s in fs.listStatus(path)]
+    return sorted((int(n.partition("@")[0]), n.partition("@")[2]) for n in names if "@" in n and not n.startswith("."))
+
+
+def current_version(spark: SparkSession, root: str) -> str | None:
+    found = versions(spark, root)
+    return found[-1][1] if found else None
 
 
 def rewrite(df: DataFrame, root: str, version: str | None = None) -> str:
-    """Write a new version of a table and make it the current one.  ``df`` may read the table itself."""
+    """Write a new version of a table and make it the current one.  ``df`` may read the table itself.
+
+    The folder's name is never one that was used before, so what readers of an older version see stays as it is.
+    """
     spark = df.sparkSession
-    version = version or f"v-{uuid.uuid4().hex}"
-    df.write.mode("overwrite").parquet(f"{root}/{version}")
-    path, fs = _hadoop_path(spark, f"{root}/{_POINTER}")
-    out = fs.create(path, True)
-    try:
-        out.write(bytearray(version.encode()))
-    finally:
-        out.close()
+    version = f"{version or 'v'}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{root}/{version}")
+    found = versions(spark, root)
+    path, fs = _hadoop_path(spark, f"{root}/{_MARKERS}/{(found[-1][0] if found else 0) + 1:012d}@{version}")
+    if not fs.createNewFile(path):
+        raise RuntimeError(f"another writer has just made a version of {root}")
     return version
 
 
-def read(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
-    """The current version of a table; an empty frame before the first one."""
-    version = current_version(spark, root)
+def forget(spark: SparkSession, root: str, version: str) -> None:
+    """Remove a version: its marker first, so that no reader takes it up, then its files."""
+    for number, name in versions(spark, root):
+        if name == version:
+            for where in (f"{root}/{_MARKERS}/{number:012d}@{name}", f"{root}/{name}"):
+                path, fs = _hadoop_path(spark, where)
+                fs.delete(path, True)
+
+
+def read(spark: SparkSession, root: str, schema: T.StructType, version: str | None = None) -> DataFrame:
+    """A version of a table, by default the current one; an empty frame before the first one."""
+    version = version or current_version(spark, root)
     if version is None:
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(f"{root}/{version}")
@@ -132,6 +148,6 @@ def snapshot(spark: SparkSession, root: str, schema: T.StructType, stamp: str) -
     return path
 
 
-def clear(spark: SparkSession, root: str, schema: T.StructType) -> None:
+def clear(spark: SparkSession, root: str, schema: T.StructType, version: str | None = None) -> None:
     """Remove all rows, keep the table and its schema."""
-    rewrite(spark.createDataFrame([], schema), root)
+    rewrite(spark.createDataFrame([], schema), root, version)

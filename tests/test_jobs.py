@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from hearthline import params as P
 from hearthline import schemas
 from hearthline.operators import reports, state
+from hearthline.operators.addresses import BudgetSpent
 from hearthline.plans import jobs
 from hearthline.plans.store import Store
 from hearthline.sources import tables
@@ -54,8 +55,9 @@ def feed(spark, posts=POSTS):
 
 def lookups(spark):
     result = (["street_address"], "הרצל, רמת גן", [("רמת גן", ["locality"])])
-    geo = spark.createDataFrame([(a, False, [result]) for a in ("הרצל 5", "הרצל 9")], schemas.GEOCODES)
-    routes = spark.createDataFrame([("הרצל 5", "OK", 1200), ("הרצל 9", "OK", 4100)], schemas.ROUTES)
+    far = (["street_address"], "הרצל 9, רמת גן", result[2])
+    geo = spark.createDataFrame([("הרצל 5", False, [result]), ("הרצל 9", False, [far])], schemas.GEOCODES)
+    routes = spark.createDataFrame([("הרצל, רמת גן", "OK", 1200), ("הרצל 9, רמת גן", "OK", 4100)], schemas.ROUTES)
     return jobs.Lookups(spark.createDataFrame([], schemas.ADDRESS_CACHE), geo, routes)
 
 
@@ -161,10 +163,134 @@ def test_maintain_and_publish(spark, store):
     assert listings.count() == 0 and kept.filter("raw_text is not null").count() == 0
 
 
-def test_repair_job(spark):
-    rows = [("a", "הרצל 5", 3.0, 6000, 1), ("b", "הרצל 9", 3.0, 6000, 2)]
-    df = spark.createDataFrame(rows, "url string, address string, rooms double, price int, ord int").withColumns(
-        {"distance_meters": F.lit(1), "post_date": F.lit("2024-05-20").cast("date")}
-    )
-    # Both addresses turn out to be the same place.
-    assert [r.url for r in jobs.repair(df, lookups(spark), NOW).collect()] == ["a"]
+def contents(store):
+    return tuple(sorted(map(str, df.collect())) for df in (store.state(), store.listings(), store.cache(), store.published()))
+
+
+def test_a_batch_repeated_after_compaction(spark, store):
+    for batch, part in ((0, POSTS[:6]), (1, POSTS[6:])):
+        store.screen(batch, feed(spark, part), extractor, lookups(spark), NOW)
+    store.publish(NOW)
+    whole = contents(store)
+    store.compact(0)
+    store.compact(1)
+    assert contents(store) == whole
+    store.screen(1, feed(spark, POSTS[6:]), extractor, lookups(spark), NOW)
+    store.publish(NOW)
+    assert contents(store) == whole
+    store.compact(1)
+    store.compact(0)
+    store.compact(1)
+    assert contents(store) == whole
+    with pytest.raises(ValueError, match="folded"):
+        store.screen(0, feed(spark, POSTS[:6]), extractor, lookups(spark), NOW)
+    assert contents(store) == whole
+
+
+def test_a_run_killed_between_its_writes(spark, store, monkeypatch):
+    store.screen(0, feed(spark), extractor, lookups(spark), NOW)
+    store.publish(NOW)
+    whole = contents(store)
+    write = Store._write
+    for table in ("addresses", "listings", "changes"):
+        other = Store(spark, f"{store.root}-{table}")
+
+        def broken(self, df, name, batch_id, table=table):
+            if name == table:
+                raise RuntimeError("killed")
+            write(self, df, name, batch_id)
+
+        monkeypatch.setattr(Store, "_write", broken)
+        with pytest.raises(RuntimeError, match="killed"):
+            other.screen(0, feed(spark), extractor, lookups(spark), NOW)
+        monkeypatch.setattr(Store, "_write", write)
+        other.screen(0, feed(spark), extractor, lookups(spark), NOW)
+        other.publish(NOW)
+        assert contents(other) == whole
+
+
+def test_stored_replay_takes_listings_away(spark, store):
+    store.screen(0, feed(spark), extractor, lookups(spark), NOW)
+    assert [r.url for r in store.publish(NOW).collect()] == ["u1", "u8"]
+    strict = P.ScreenParams(max_price=6100)
+    for _ in range(2):  # repeated after a failure: the same
+        assert store.replay(1, extractor, lookups(spark), NOW, strict).collect() == []
+    assert verdicts(store.state())["u1"] == P.REJECTED_PRICE
+    assert sorted(r.url for r in store.replay(2, extractor, lookups(spark), NOW).collect()) == ["u1", "u8"]  # u2 is too old to stay published
+
+
+def test_stored_reprocess_and_maintain(spark, store):
+    store.screen(0, feed(spark), extractor, lookups(spark), NOW)
+    store.publish(NOW)
+    wide = P.ScreenParams(max_price=8000, max_distance_km=5.0, include_price_unknown=True, max_rooms=4.0)
+    got = store.reprocess(1, extractor, lookups(spark), NOW, wide)
+    assert {r.url for r in got.collect()} >= {"u1", "u5", "u6"}
+    assert verdicts(store.state())["u6"] == P.ADDED
+    later = datetime(2024, 6, 20)
+    assert store.maintain(later).filter("post_date is not null").count() == 0
+    assert store.state().filter("raw_text is not null or parsed_json is not null").count() == 0
+    assert verdicts(store.state())["u6"] == P.ADDED
+    path, fs = tables._hadoop_path(spark, f"{store.root}/changes/batch_id=0")
+    assert not fs.exists(path)
+
+
+def test_stored_repair(spark, store):
+    store.screen(0, feed(spark), extractor, lookups(spark), NOW)
+    store.publish(NOW)
+    fixed = {r.url: r for r in store.repair(lookups(spark), NOW).collect()}
+    assert fixed["u1"].address == "הרצל, רמת גן" and fixed["u8"].address == ""
+
+
+class Service:
+    """Answers requests from a table and remembers them."""
+
+    def __init__(self, table):
+        self.table, self.asked = table, []
+
+    def __call__(self, requests):
+        self.asked.append({r.address_key: r.query for r in requests.collect()})
+        return self.table.join(requests.select("address_key"), "address_key")
+
+
+def services(spark):
+    known = lookups(spark)
+    return jobs.Lookups(None, Service(known.geocodes), Service(known.routes))
+
+
+def test_services_are_asked_once_and_within_the_budget(spark, store):
+    look = services(spark)
+    store.screen(0, feed(spark, POSTS[:4]), extractor, look, NOW)
+    assert look.geocodes.asked == [{"הרצל 5": "הרצל 5, רמת גן, גבעתיים, ישראל"}] and look.routes.asked == [{"הרצל, רמת גן": "הרצל, רמת גן"}]
+    store.screen(1, feed(spark, [("v1", *POSTS[0][1:])]), extractor_like("v1"), look, NOW)
+    assert look.geocodes.asked[1] == {} and look.routes.asked[1] == {}
+    assert {r.month: r.calls for r in store.usage().collect()} == {"2024-05": 2}
+    small = P.ScreenParams(monthly_call_cap=2)
+    store.screen(2, feed(spark, POSTS[4:5]), extractor, look, NOW, small)
+    assert look.geocodes.asked[2] == {} and {r.url: r.distance_text for r in store.state().collect()}["u5"] == P.WARN_QUOTA
+    with pytest.raises(BudgetSpent):
+        fresh = [("w1", POSTS[4][1], POSTS[4][2], POSTS[4][3], None)]
+        store.screen(3, feed(spark, fresh), extractor_like("w1", POSTS[4][3]), look, NOW, P.ScreenParams(monthly_call_cap=2, on_cap="halt"))
+
+
+def extractor_like(url, answers=POSTS[0][3]):
+    return lambda rows: rows.withColumn("responses", F.when(F.col("url") == url, F.array(*[F.lit(json.dumps(a)) for a in answers])))
+
+
+def test_the_cache_of_earlier_batches_serves_later_ones(spark, store):
+    store.screen(0, feed(spark, POSTS[:1]), extractor, lookups(spark), NOW)
+    before = store.cache().collect()
+    store.screen(1, feed(spark, [("v1", *POSTS[0][1:])]), extractor_like("v1"), lookups(spark), datetime(2024, 5, 23))
+    assert store.cache().collect() == before
+    assert store._batches("addresses", schemas.ADDRESS_CACHE, 2, 0).count() == 0
+
+
+def test_doubled_answers_publish_once(spark, store):
+    known = lookups(spark)
+    double = jobs.Lookups(known.cache, known.geocodes.union(known.geocodes), known.routes.union(known.routes))
+    store.screen(0, feed(spark), extractor, double, NOW)
+    assert sorted(r.url for r in store.listings().collect()) == ["u1", "u8"]
+
+
+def test_posts_without_url_stay_out(spark, store):
+    store.screen(0, feed(spark, [("", *POSTS[0][1:]), ("", *POSTS[5][1:])]), extractor_like(""), lookups(spark), NOW)
+    assert store.state().count() == 0 and store.listings().count() == 0

@@ -68,17 +68,18 @@ def test_text_files(spark, tmp_path):
 
 def test_page_links(spark):
     pages = [
-        '<a role="link" href="/groups/1/posts/2?comment_id=5">x</a><a href="/groups/1/posts/2?x=1"><b>3</b> hrs</a>',
-        "<a href='https://a.test/marketplace/item/7?ref=1#y'></a><a href='/posts/1'>z</a>",
+        '<a role="link" href="/groups/1/posts/2?comment_id=5">x</a><a href="/posts/3">no role</a>'
+        '<a role="link" href="/groups/1/posts/2?x=1"><b>3</b> hrs&nbsp;&amp;c</a>',
+        "<a role='link' href='https://a.test/marketplace/item/7?ref=1#y'></a><a role='link' href='/posts/1'>z</a>",
         '<a href="/about">x</a>',
         "no markup",
         None,
-        '<A class="k"\n HREF = "/p/permalink/4">\n yesterday </A>',
+        '<A class="k"\n ROLE = "link" HREF = "/p/permalink/4">\n yesterday </A>',
     ]
     df = spark.createDataFrame([(i, p) for i, p in enumerate(pages)], "i int, html string")
     got = [(r.url, r.post_date_text) for r in feeds.page_links(df, "https://b.test/").orderBy("i").collect()]
     assert got == [
-        ("https://b.test/groups/1/posts/2", "3 hrs"),
+        ("https://b.test/groups/1/posts/2", "3 hrs\u00a0&c"),
         ("https://a.test/marketplace/item/7", ""),
         (None, None),
         (None, None),
