@@ -14,7 +14,7 @@ from hearthline.functions.text import strip
 # Seconds per unit; the unit is known by its first letter.
 _UNIT_SECONDS = {"s": 1, "m": 60, "h": 3600, "d": 86400, "w": 604800}
 _RELATIVE = (
-    r"(?U)^[0-9]{1,9}\s*(s|secs?|seconds?|m|mins?|minutes?|h|hrs?|hours?|d|days?|w|wks?|weeks?)\z"
+    r"(?U)^[0-9]+\s*(s|secs?|seconds?|m|mins?|minutes?|h|hrs?|hours?|d|days?|w|wks?|weeks?)\z"
 )
 _MONTH_DAY = r"(?U)\b([A-Za-z]+)\s+(\d{1,2})\b"
 _DAY_MONTH = r"^([0-9]{1,2})/([0-9]{1,2})\z"
@@ -61,10 +61,12 @@ def relative_date(col: Column, as_of: datetime) -> Column:
     per_unit = F.lit(None).cast("bigint")
     for letter, seconds in _UNIT_SECONDS.items():
         per_unit = F.when(unit == letter, F.lit(seconds).cast("bigint")).otherwise(per_unit)
-    seconds = F.regexp_extract(text, "^[0-9]+", 0).cast("bigint") * per_unit
-    ago = clock(as_of) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds.cast("decimal(18,6)"))
+    count = F.nullif(F.regexp_extract(text, "^[0-9]+", 0), F.lit("")).try_cast("bigint")
+    seconds = F.try_multiply(count, per_unit)
+    near = F.when(seconds < _MAX_SECONDS, seconds)
+    ago = clock(as_of) - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), near.cast("decimal(18,6)"))
     return F.when(text == "yesterday", F.lit((as_of - timedelta(days=1)).date())).when(
-        text.rlike(_RELATIVE) & (seconds < _MAX_SECONDS), ago.cast("date")
+        text.rlike(_RELATIVE), ago.cast("date")
     )
 
 

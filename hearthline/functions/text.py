@@ -61,9 +61,12 @@ def model_input(col: Column) -> Column:
 
 
 def prompt(col: Column, params: P.ScreenParams) -> Column:
-    """Batch-inference input: task statement, then the head of the cleaned text (the model's window)."""
+    """Batch-inference input: task statement, then the cleaned text, cut only where the caller gives a model's window."""
     head = PROMPT_HEADS["hebrew" if params.prompt_language == "hebrew" else "en"]
-    return F.concat(F.lit(head), F.substring(model_input(col), 1, params.prompt_chars), F.lit(PROMPT_TAIL))
+    body = model_input(col)
+    if params.prompt_chars is not None:
+        body = F.substring(body, 1, params.prompt_chars)
+    return F.concat(F.lit(head), body, F.lit(PROMPT_TAIL))
 
 
 def snippet(col: Column, chars: int = 100) -> Column:

@@ -1,11 +1,15 @@
 """Address lookups: geocode acceptance, distance resolution, call budgets, repair of stored addresses.
 
-Answers of external services arrive as tables keyed by ``cache_key``: geocodes (results) and routes (metres).  A key
-without an answer row was not asked, because the budget was spent.
+Answers of external services arrive as tables: geocodes (results) keyed by the address's ``cache_key``, routes (metres) by
+that of the place they start from, the canonical address or else the address.  A key without an answer row was not asked,
+because the budget was spent; of several answers to a key the latest counts.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from datetime import datetime
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +17,13 @@ from hearthline import params as P
 from hearthline.functions import fields, text
 from hearthline.functions.dates import month_key
 
+# A table of answers, or a function that gets requests (address_key, query) and returns one.
+Answers = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+class BudgetSpent(RuntimeError):
+    """The month's calls are used up and the run is set to stop there."""
+
 
 # ---------------------------------------------------------------------------------------------- geocode results
 def component_names(result: Column, component_type: str) -> Column:
@@ -96,12 +107,24 @@ def cache_hits(cache: DataFrame) -> DataFrame:
     return cache.filter(F.col("distance_source").isin(P.SOURCE_MEASURED, P.SOURCE_SKIPPED))
 
 
+def unique_answers(table: DataFrame, *columns: str) -> DataFrame:
+    """One row for each key: the latest by ``answered_at``, if there is one, then the greatest."""
+    when = [F.col("answered_at")] if "answered_at" in table.columns else []
+    best = F.max(F.struct(*when, F.struct(*columns).alias("_answer"))).alias("_best")
+    return table.filter(F.col("address_key").isNotNull()).groupBy("address_key").agg(best).select("address_key", "_best._answer.*")
+
+
 def _answers(table: DataFrame, prefix: str, *columns: str) -> DataFrame:
-    return table.select(
+    return unique_answers(table, *columns).select(
         "address_key", F.lit(True).alias(f"_{prefix}"), *[F.col(c).alias(f"_{prefix}_{c}") for c in columns]
     )
 
 
+def route_key(canonical: Column, address: Column) -> Column:
+    """Key of a route: it starts at the canonical address, or else at the address itself."""
+    return text.cache_key(F.coalesce(F.nullif(canonical, F.lit("")), address))
+
+
 def distinct_addresses(rows: DataFrame) -> DataFrame:
     """One row per address key: each address is looked up once, however many posts share it."""
     return (
@@ -112,6 +135,34 @@ def distinct_addresses(rows: DataFrame) -> DataFrame:
     )
 
 
+def _graded(addresses: DataFrame, cache: DataFrame) -> DataFrame:
+    """Addresses with their own confidence and warning, and what the cache knows of them."""
+    graded = addresses.withColumn("_grade", fields.address_confidence(F.col("address"))).withColumns(
+        {"confidence": F.col("_grade.confidence"), "warning": F.col("_grade.warning")}
+    )
+    known = _answers(
+        cache_hits(cache), "cache", "confidence", "warning", "distance_meters", "distance_source", "canonical_address", "city",
+        "geocode_status",
+    )
+    return graded.join(known, "address_key", "left")
+
+
+def _geocoded(graded: DataFrame, geocodes: DataFrame, params: P.ScreenParams) -> DataFrame:
+    joined = graded.join(_answers(geocodes, "geo", "failed", "results"), "address_key", "left").withColumns(
+        {
+            "asked": F.coalesce(F.col("_geo"), F.lit(False)),
+            "failed": F.coalesce(F.col("_geo_failed"), F.lit(False)),
+            "results": F.col("_geo_results"),
+        }
+    )
+    return accept_geocode(joined, params)
+
+
+def _not_worth_a_route(params: P.ScreenParams) -> Column:
+    doubtful = F.lit(params.confident_addresses_only) & ~F.col("geocode_confidence").isin("high", "medium")
+    return F.trim("address").isin(*P.CITY_ONLY) | doubtful
+
+
 def resolve_addresses(
     addresses: DataFrame, cache: DataFrame, geocodes: DataFrame, routes: DataFrame, params: P.ScreenParams
 ) -> DataFrame:
@@ -119,39 +170,20 @@ def resolve_addresses(
 
     The lookups are plain equality joins: Spark broadcasts a side it measures to be small and shuffles otherwise.
     """
-    graded = addresses.withColumn("_grade", fields.address_confidence(F.col("address"))).withColumns(
-        {"confidence": F.col("_grade.confidence"), "warning": F.col("_grade.warning")}
-    )
-    joined = (
-        graded.join(
-            _answers(
-                cache_hits(cache), "cache", "confidence", "warning", "distance_meters", "distance_source",
-                "canonical_address", "city", "geocode_status",
-            ),
-            "address_key",
-            "left",
-        )
-        .join(_answers(geocodes, "geo", "failed", "results"), "address_key", "left")
-        .join(_answers(routes, "route", "status", "meters"), "address_key", "left")
-    )
-    judged = accept_geocode(
-        joined.withColumns(
-            {
-                "asked": F.coalesce(F.col("_geo"), F.lit(False)),
-                "failed": F.coalesce(F.col("_geo_failed"), F.lit(False)),
-                "results": F.col("_geo_results"),
-            }
-        ),
-        params,
-    )
+    return _resolved(_geocoded(_graded(addresses, cache), geocodes, params), routes, params)
+
+
+def _resolved(geocoded: DataFrame, routes: DataFrame, params: P.ScreenParams) -> DataFrame:
+    routed = _answers(routes, "route", "status", "meters").withColumnRenamed("address_key", "_from")
+    judged = geocoded.withColumn("_start", route_key(F.col("canonical_address"), F.col("address")))
+    judged = judged.join(routed, F.col("_start") == F.col("_from"), "left")
     cached = F.coalesce(F.col("_cache"), F.lit(False))
     city_only = F.trim("address").isin(*P.CITY_ONLY)
-    doubtful = F.lit(params.confident_addresses_only) & ~F.col("geocode_confidence").isin("high", "medium")
     route_status = F.col("_route_status")
     judged = judged.withColumn(
         "distance_source",
         F.when(cached, P.SOURCE_CACHE)
-        .when(city_only | doubtful, P.SOURCE_SKIPPED)
+        .when(_not_worth_a_route(params), P.SOURCE_SKIPPED)
         .when(F.col("_route").isNull(), P.SOURCE_QUOTA)
         .when(route_status == "OK", P.SOURCE_MEASURED)
         .when(route_status == "ERROR", P.SOURCE_ERROR)
@@ -192,6 +224,70 @@ def resolve_addresses(
     )
 
 
+def geocode_requests(graded: DataFrame, params: P.ScreenParams) -> DataFrame:
+    """``address_key, query`` of the addresses worth asking for: unknown to the cache, more than a city, not weak."""
+    worth = F.col("_cache").isNull() & ~F.trim("address").isin(*P.CITY_ONLY) & ~F.col("confidence").isin("missing", "low")
+    rows = graded.filter(worth & F.lit(params.validate_addresses))
+    return rows.select("address_key", text.anchored_address(F.col("address")).alias("query"))
+
+
+def route_requests(geocoded: DataFrame, params: P.ScreenParams) -> DataFrame:
+    """``address_key, query`` of the places a route is to be asked from, keyed as routes are."""
+    rows = geocoded.filter(F.col("_cache").isNull() & ~_not_worth_a_route(params))
+    start = F.coalesce(F.nullif(F.col("canonical_address"), F.lit("")), F.col("address"))
+    keyed = rows.select(route_key(F.col("canonical_address"), F.col("address")).alias("address_key"), text.anchored_address(start).alias("query"))
+    return keyed.filter(F.col("address_key").isNotNull()).groupBy("address_key").agg(F.min("query").alias("query"))
+
+
+def within_rest(requests: DataFrame, rest: int, params: P.ScreenParams, needed: int) -> DataFrame:
+    """The requests that the rest of the month's budget allows, in order of their keys.
+
+    The budget is the operator's feature and bounds what the limit keeps.  With ``on_cap='halt'`` a run that needs more
+    stops before it asks.
+    """
+    if needed > rest and params.on_cap == "halt":
+        raise BudgetSpent(f"{needed} calls are needed, {rest} are left this month")
+    return requests if needed <= rest else requests.orderBy("address_key").limit(max(rest, 0))
+
+
+def look_up(
+    addresses: DataFrame,
+    cache: DataFrame,
+    geocodes: Answers,
+    routes: Answers,
+    params: P.ScreenParams,
+    usage: DataFrame | None,
+    as_of: datetime,
+    stage: Callable[[DataFrame, str], DataFrame],
+) -> tuple[DataFrame, DataFrame | None]:
+    """Resolved addresses, written, and the calls made for them (month, calls).
+
+    Where a service is a function it is asked once for each request within the month's budget, geocodes first; the
+    requests are written before they are handed over, so a lost executor does not ask again for those that were answered.
+    """
+    if not callable(geocodes) and not callable(routes):
+        return stage(resolve_addresses(addresses, cache, geocodes, routes, params), "resolved"), None
+    spark, month = addresses.sparkSession, as_of.strftime("%Y-%m")
+    spent = 0 if usage is None else usage.filter(F.col("month") == month).agg(F.coalesce(F.sum("calls"), F.lit(0))).first()[0]
+    rest, made = params.monthly_call_cap - spent, 0
+
+    def ask(service: Answers, requests: DataFrame, name: str) -> DataFrame:
+        nonlocal rest, made
+        if not callable(service):
+            return service
+        requests = stage(requests, f"{name}_requests")
+        needed = requests.count()
+        allowed = within_rest(requests, rest, params, needed)
+        rest, made = rest - min(needed, max(rest, 0)), made + min(needed, max(rest, 0))
+        return stage(service(allowed), f"{name}_answers")
+
+    graded = stage(_graded(addresses, cache), "graded")
+    geocoded = stage(_geocoded(graded, ask(geocodes, geocode_requests(graded, params), "geocode"), params), "geocoded")
+    resolved = stage(_resolved(geocoded, ask(routes, route_requests(geocoded, params), "route"), params), "resolved")
+    calls = spark.createDataFrame([(month, made)], "month string, calls bigint")
+    return resolved, calls
+
+
 def with_distance(rows: DataFrame, resolved: DataFrame) -> DataFrame:
     """Add distance_meters, distance_text, distance_source, is_measured, address_confidence and address_warning.
 
@@ -253,23 +349,23 @@ def new_cache_rows(resolved: DataFrame, now: Column) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------------------------- call budget
-def last_call_within_cap(calls: DataFrame, cap: int, order=("ts", "call_id"), salts: int = 64) -> DataFrame:
+def last_call_within_cap(calls: DataFrame, cap: int, order=("ts", "call_id")) -> DataFrame:
     """Per month, the position of the call that uses the budget up; no row for a month within its budget.
 
-    Ranking all calls of a month in one task would not survive a busy month.  Calls are first ranked within
-    (month, salt), where each group sees 1/salts of the month and keeps at most ``cap`` rows; the month then ranks
-    salts x cap rows at most, whatever its size.
+    Calls are counted by month and minute, the counts are summed up in order, and only the minute in which a month's
+    budget ends is ranked call by call; no task sees a month's calls.
     """
-    position = [F.col(c) for c in order]
-    salt = F.pmod(F.xxhash64(*position), F.lit(salts))
-    narrow = calls.select(month_key(F.col(order[0])).alias("month"), salt.alias("_salt"), *order)
-
-    def first(rows: DataFrame, *group: str) -> DataFrame:
-        rank = F.row_number().over(Window.partitionBy(*group).orderBy(*order))
-        return rows.withColumn("_rank", rank).filter(F.col("_rank") <= cap)
-
-    firsts = first(first(narrow, "month", "_salt").drop("_rank"), "month")
-    return firsts.filter(F.col("_rank") == cap).select("month", F.struct(*order).alias("last_call"))
+    if cap <= 0:
+        return calls.select(month_key(F.col(order[0])).alias("month"), F.struct(*order).alias("last_call")).limit(0)
+    minute = F.date_trunc("minute", F.col(order[0])).alias("minute")
+    narrow = calls.select(month_key(F.col(order[0])).alias("month"), minute, *order)
+    counts = narrow.groupBy("month", "minute").agg(F.count("*").alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("month").orderBy("minute").rowsBetween(Window.unboundedPreceding, 0))
+    ends = counts.withColumn("upto", upto).filter((F.col("upto") >= cap) & (F.col("upto") - F.col("n") < cap))
+    ends = ends.select("month", "minute", (F.lit(cap) - F.col("upto") + F.col("n")).alias("rest"))
+    last = narrow.join(ends, ["month", "minute"])
+    rank = F.row_number().over(Window.partitionBy("month").orderBy(*order))
+    return last.withColumn("_rank", rank).filter(F.col("_rank") == F.col("rest")).select("month", F.struct(*order).alias("last_call"))
 
 
 def within_budget(calls: DataFrame, cap: int, on_cap: str = "skip", order=("ts", "call_id")) -> DataFrame:
@@ -332,35 +428,27 @@ def _repair_answers(geocodes: DataFrame, params: P.ScreenParams) -> DataFrame:
     )
 
 
-def repair_addresses(
-    listings: DataFrame, geocodes: DataFrame, routes: DataFrame, params: P.ScreenParams
-) -> DataFrame:
-    """Add ``action``, ``new_address`` and ``new_distance_meters`` to listings of (address, distance_meters).
+def _repaired(clean: DataFrame, geocodes: Answers, routes: Answers, params: P.ScreenParams) -> DataFrame:
+    """For each distinct ``clean`` address: ``fate``, ``canonical`` and ``meters``.
 
-    The action column is the dry run: unchanged, blanked, unresolved, updated, dropped, other_city.  ``apply_repair``
-    carries it out.
+    Asked as it is; if neither the address nor an answer names a home city, again with each home city behind it.
     """
-    answers = _repair_answers(geocodes, params)
-    rows = listings.withColumn("_raw", text.strip(F.coalesce("address", F.lit("")))).withColumn(
-        "_clean", text.repair_spelling(F.col("_raw"))
-    )
-    nobody = F.concat(F.lit("\x00"), F.xxhash64("url").cast("string"))
-    names_home = text.any_contains(F.col("_clean"), params.home_cities)
-
-    def asked(rows: DataFrame, query: Column, needed: Column, name: str) -> DataFrame:
-        """The answer to a query, for the rows that need it; the others carry a key that matches nothing."""
-        answer = answers.select(F.col("address_key").alias("_ask"), F.col("answer").alias(name))
-        key = F.coalesce(F.when(needed & (F.col("_clean") != ""), text.cache_key(query)), nobody)
-        return rows.withColumn("_ask", key).join(answer, "_ask", "left").drop("_ask")
 
-    rows = asked(rows, F.col("_clean"), F.lit(True), "_chosen").withColumn(
-        "_failed", F.coalesce(F.col("_chosen.failed"), F.lit(False))
-    )
-    rows = rows.withColumn(
-        "_searching", ~F.col("_failed") & ~names_home & ~F.coalesce(F.col("_chosen.home"), F.lit(False))
-    )
+    def answers_to(rows: DataFrame, query: Column, name: str) -> DataFrame:
+        asked = rows.withColumn("_ask", text.cache_key(query))
+        requests = asked.filter(F.col("_ask").isNotNull()).groupBy(F.col("_ask").alias("address_key")).agg(F.min(query).alias("query"))
+        table = geocodes(requests) if callable(geocodes) else geocodes
+        found = _repair_answers(unique_answers(table, "failed", "results"), params)
+        found = found.select(F.col("address_key").alias("_ask"), F.col("answer").alias(name))
+        return asked.join(found, "_ask", "left").drop("_ask")
+
+    names_home = text.any_contains(F.col("clean"), params.home_cities)
+    rows = answers_to(clean, F.col("clean"), "_chosen").withColumn("_failed", F.coalesce(F.col("_chosen.failed"), F.lit(False)))
+    searching = ~F.col("_failed") & ~names_home & ~F.coalesce(F.col("_chosen.home"), F.lit(False))
+    rows = rows.withColumn("_searching", searching)
     for city in params.home_cities:
-        rows = asked(rows, F.concat(F.col("_clean"), F.lit(f", {city}")), F.col("_searching"), "_forced")
+        query = F.when(F.col("_searching"), F.concat(F.col("clean"), F.lit(f", {city}")))
+        rows = answers_to(rows, query, "_forced")
         found, broken = (
             F.col("_searching") & F.coalesce(F.col(f"_forced.{flag}"), F.lit(False)) for flag in ("home", "failed")
         )
@@ -371,54 +459,65 @@ def repair_addresses(
                 "_searching": F.col("_searching") & ~found & ~broken,
             }
         ).drop("_forced")
-    rows = rows.withColumns(
-        {"_canonical": F.col("_chosen.canonical"), "_found_city": F.col("_chosen.city")}
-    )
-    rows = rows.withColumn("_route_key", F.coalesce(text.cache_key(F.col("_canonical")), nobody)).join(
-        routes.filter(F.col("status") == "OK").select(
-            F.col("address_key").alias("_route_key"), F.col("meters").alias("_meters")
-        ),
-        "_route_key",
-        "left",
-    )
+    rows = rows.withColumns({"canonical": F.col("_chosen.canonical"), "_city": F.col("_chosen.city")})
+    rows = rows.withColumn("_from", route_key(F.col("canonical"), F.lit(None).cast("string")))
+    if callable(routes):
+        starts = rows.filter(F.col("_from").isNotNull()).groupBy(F.col("_from").alias("address_key")).agg(F.min("canonical").alias("query"))
+        routes = routes(starts)
+    routed = unique_answers(routes, "status", "meters").filter(F.col("status") == "OK")
+    rows = rows.join(routed.select(F.col("address_key").alias("_from"), "meters"), "_from", "left")
     unresolved = (
         F.col("_failed")
-        | F.coalesce(F.length("_canonical") == 0, F.lit(True))
-        | F.coalesce(F.length("_found_city") == 0, F.lit(True))
+        | F.coalesce(F.length("canonical") == 0, F.lit(True))
+        | F.coalesce(F.length("_city") == 0, F.lit(True))
     )
-    near = F.coalesce(F.col("_meters") <= params.neighbour_limit_m, F.lit(False))
-    action = (
-        F.when(F.col("_raw") == "", "unchanged")
-        .when(F.contains(F.col("_raw"), F.lit(P.INVENTED_ADDRESS)), "blanked")
-        .when(unresolved, "unresolved")
-        .when(text.any_contains(F.col("_found_city"), params.home_cities), "updated")
-        .when(
-            F.contains(F.col("_found_city"), F.lit(params.neighbour_city)), F.when(near, "updated").otherwise("dropped")
-        )
+    near = F.coalesce(F.col("meters") <= params.neighbour_limit_m, F.lit(False))
+    fate = (
+        F.when(unresolved, "unresolved")
+        .when(text.any_contains(F.col("_city"), params.home_cities), "updated")
+        .when(F.contains(F.col("_city"), F.lit(params.neighbour_city)), F.when(near, "updated").otherwise("dropped"))
         .otherwise("other_city")
     )
-    return (
-        rows.withColumn("action", action)
-        .withColumns(
-            {
-                "new_address": F.when(F.col("action") == "updated", F.col("_canonical"))
-                .when(F.col("action") == "blanked", "")
-                .otherwise(F.col("address")),
-                "new_distance_meters": F.when(F.col("action") == "updated", F.col("_meters"))
-                .when(F.col("action") == "blanked", F.lit(None).cast("int"))
-                .otherwise(F.col("distance_meters")),
-            }
-        )
-        .select(*listings.columns, "action", "new_address", "new_distance_meters")
+    return rows.select("clean", fate.alias("fate"), "canonical", "meters")
+
+
+def repair_addresses(listings: DataFrame, geocodes: Answers, routes: Answers, params: P.ScreenParams) -> DataFrame:
+    """Add ``action``, ``new_address`` and ``new_distance_km`` to listings (``address``, ``distance_km``).
+
+    The action column is the dry run: unchanged, blanked, unresolved, updated, dropped, other_city.  ``apply_repair``
+    carries it out.  The questions are settled on the distinct addresses; listings that have one are joined to them once,
+    the others take no part.
+    """
+    rows = listings.withColumn("_raw", text.strip(F.coalesce("address", F.lit(""))))
+    blank, invented = F.col("_raw") == "", F.contains(F.col("_raw"), F.lit(P.INVENTED_ADDRESS))
+    rows = rows.withColumn("_clean", F.when(~blank & ~invented, text.repair_spelling(F.col("_raw"))))
+    asked = rows.filter(F.col("_clean").isNotNull())
+    answers = _repaired(asked.select(F.col("_clean").alias("clean")).distinct(), geocodes, routes, params)
+    settled = asked.join(answers.withColumnRenamed("clean", "_clean"), "_clean").withColumn("action", F.col("fate"))
+    updated = F.col("action") == "updated"
+    settled = settled.withColumns(
+        {
+            "new_address": F.when(updated, F.col("canonical")).otherwise(F.col("address")),
+            "new_distance_km": F.when(updated, F.round(fields.km(F.col("meters")), 3)).otherwise(F.col("distance_km")),
+        }
+    )
+    others = rows.filter(F.col("_clean").isNull()).withColumns(
+        {
+            "action": F.when(blank, "unchanged").otherwise("blanked"),
+            "new_address": F.when(blank, F.col("address")).otherwise(""),
+            "new_distance_km": F.when(blank, F.col("distance_km")),
+        }
     )
+    columns = [*listings.columns, "action", "new_address", "new_distance_km"]
+    return settled.select(*columns).unionByName(others.select(*columns))
 
 
 def apply_repair(planned: DataFrame) -> DataFrame:
     """Carry out the planned actions."""
     return (
         planned.filter(F.col("action") != "dropped")
-        .withColumns({"address": F.col("new_address"), "distance_meters": F.col("new_distance_meters")})
-        .drop("action", "new_address", "new_distance_meters")
+        .withColumns({"address": F.col("new_address"), "distance_km": F.col("new_distance_km")})
+        .drop("action", "new_address", "new_distance_km")
     )
 
 

@@ -75,9 +75,9 @@ def found_rooms(post: Column, rules: P.RulePack) -> Column:
 
 
 def prepare_feed(posts_in: DataFrame, params: P.ScreenParams) -> DataFrame:
-    """Posts with a link and more than a few characters, their text cleaned for the rules."""
-    real = posts_in.filter(F.col("url").isNotNull() & text.long_enough(F.col("text"), params.min_chars))
-    return text.with_post_text(real, "text")
+    """Posts with a link and more than a few characters, their text without outer blanks and cleaned for the rules."""
+    linked = posts_in.filter(F.col("url") != "").withColumn("text", text.strip(F.col("text")))
+    return text.with_post_text(linked.filter(F.length("text") > params.min_chars), "text")
 
 
 def first_per_url(feed: DataFrame, key: str = "url", order: str = "ord") -> DataFrame:

@@ -207,5 +207,5 @@ class ScreenParams:
     on_cap: str = "skip"
     quota_alert_share: float = 0.8
     prompt_language: str = "en"
-    prompt_chars: int = 3000
+    prompt_chars: int | None = None  # the whole text unless the caller sets a window
     snippet_chars: int = 100

@@ -78,10 +78,10 @@ def test_distances(spark):
         "u7": "רמת גן", "u8": "ab", "u9": None, "u10": "הרצל 10", "u11": " הרצל  1", "u12": "הרצל 12",
     }
     rows = spark.createDataFrame(list(listed.items()), "url string, address string")
-    ok = (False, [GOOD])
-    geo = geocodes(spark, {f"הרצל {n}": ok for n in (1, 2, 3, 5, 6)} | {"הרצל 4": (False, []), "הרצל 12": ok})
+    found = {f"הרצל {n}": (False, [result(formatted=f"מקום {n}", locality="רמת גן")]) for n in (1, 2, 3, 5, 6, 12)}
+    geo = geocodes(spark, found | {"הרצל 4": (False, [])})
     routes = spark.createDataFrame(
-        [("הרצל 1", "OK", 1200), ("הרצל 2", "ZERO_RESULTS", None), ("הרצל 3", "ERROR", None), ("הרצל 12", "OK", 9)], schemas.ROUTES
+        [("מקום 1", "OK", 1200), ("מקום 2", "ZERO_RESULTS", None), ("מקום 3", "ERROR", None), ("מקום 12", "OK", 9)], schemas.ROUTES
     )
     hits = cache(spark, [("הרצל 6", "", 0, P.SOURCE_MEASURED), ("הרצל 10", "low", None, P.SOURCE_SKIPPED), ("הרצל 12", "high", 7, P.SOURCE_QUOTA)])
     resolved = addresses.resolve_addresses(addresses.distinct_addresses(rows), hits, geo, routes, PARAMS)
@@ -110,7 +110,7 @@ def test_distances(spark):
 def test_new_cache_rows_fit_the_cache(spark):
     rows = spark.createDataFrame([("u1", "הרצל 1"), ("u2", "הרצל 1")], "url string, address string")
     empty = cache(spark, [])
-    routes = spark.createDataFrame([("הרצל 1", "OK", 1200)], schemas.ROUTES)
+    routes = spark.createDataFrame([("הרצל 5, רמת גן, ישראל", "OK", 1200)], schemas.ROUTES)
     resolved = addresses.resolve_addresses(
         addresses.distinct_addresses(rows), empty, geocodes(spark, {"הרצל 1": (False, [GOOD])}), routes, PARAMS
     )
@@ -142,15 +142,15 @@ def test_repair(spark):
     routes = spark.createDataFrame(
         [("הרצל 5, רמת גן, ישראל", "OK", 900), ("דיזנגוף 1, תל אביב", "OK", 4000), ("דיזנגוף 2, תל אביב", "OK", 4001)], schemas.ROUTES
     )
-    listings = spark.createDataFrame([(k, a, 5) for k, a in rows.items()], "url string, address string, distance_meters int")
+    listings = spark.createDataFrame([(k, a, 5.0) for k, a in rows.items()], "url string, address string, distance_km double")
     planned = addresses.repair_addresses(listings, geo, routes, PARAMS)
     got = {r.url: r for r in planned.collect()}
     assert {k: r.action for k, r in got.items()} == {
         "blank": "unchanged", "none": "unchanged", "invented": "blanked", "lost": "unresolved", "home": "updated", "near": "updated",
         "far": "dropped", "nowhere": "dropped", "other": "other_city", "forced": "updated", "broken": "unresolved", "broken2": "unresolved",
     }
-    assert (got["home"].new_address, got["home"].new_distance_meters) == ("הרצל 5, רמת גן, ישראל", 900)
-    assert got["forced"].new_address == "ביאליק 9, גבעתיים" and got["invented"].new_distance_meters is None
+    assert (got["home"].new_address, got["home"].new_distance_km) == ("הרצל 5, רמת גן, ישראל", 0.9)
+    assert got["forced"].new_address == "ביאליק 9, גבעתיים" and got["invented"].new_distance_km is None
     done = {r.url: r.address for r in addresses.apply_repair(planned).collect()}
     assert "far" not in done and done["other"] == "חיפה 1" and len(done) == 10
     report = addresses.repair_report(planned).first()
