@@ -198,7 +198,8 @@ def relative(c, clock):
     unit = f"lower(substr(regexp_extract({t}, '{form}', 2), 1, 1))"
     return f"""case when lower({t}) = 'yesterday' then cast({clock} - interval 1 day as date)
       when regexp_matches({t}, '{form}') then
-       cast({clock} - to_seconds(cast(regexp_extract({t}, '{form}', 1) as bigint) * case {unit} {per} end) as date) end"""
+       (select case when s < 50000000000 then cast({clock} - to_seconds(cast(s as bigint)) as date) end
+        from (select try_cast(regexp_extract({t}, '{form}', 1) as hugeint) * case {unit} {per} end as s) seconds) end"""
 
 
 def day_month(day, month, clock, latest):
@@ -240,10 +241,10 @@ LOG = f"({V.VERDICT_LOG}) log"
 # ------------------------------------------------------------------------------------------ text preparation
 ORACLES["clean_documents"] = f"""
 select doc_id, post, {model_input('post')} as model_input, replace(substr(post, 1, 100), chr(10), ' ') as snippet
-from (select doc_id, {post_text('raw')} as post from ({V.NOISY_DOCUMENTS}) d where length({strip('raw')}) > 20) p"""
+from (select doc_id, {post_text(strip('raw'))} as post from ({V.NOISY_DOCUMENTS}) d where length({strip('raw')}) > 20) p"""
 
 ORACLES["prompt_table"] = f"""
-select doc_id, concat({quoted(PROMPT_HEADS['en'])}, substr({model_input('raw')}, 1, 3000), {quoted(PROMPT_TAIL)}) as prompt
+select doc_id, concat({quoted(PROMPT_HEADS['en'])}, {model_input('raw')}, {quoted(PROMPT_TAIL)}) as prompt
 from ({V.NOISY_DOCUMENTS}) d"""
 
 ORACLES["hebrew_text"] = f"select doc_id, {hebrew_only('raw')} as kept from ({V.NOISY_DOCUMENTS}) d"
@@ -327,7 +328,8 @@ select post_no, post_date as shown, posted_on,
 _UNIT_LIST = "['s', 'secs', ' minute', 'mins', ' hrs', 'H', ' day', 'd', 'w', ' wks', ' months', '']"
 ORACLES["relative_dates"] = f"""
 select event_id, {relative('raw', EVENTS_CLOCK)} as posted_on
-from (select event_id, cast(event_id % 90 as varchar) || {_UNIT_LIST}[cast(event_id % 12 + 1 as int)] as raw from events) e"""
+from (select event_id, cast(case when event_id % 17 = 3 then event_id * 7000001 else event_id % 90 end as varchar)
+ || case when event_id % 19 = 4 then repeat('0', 20) else '' end || {_UNIT_LIST}[cast(event_id % 12 + 1 as int)] as raw from events) e"""
 ORACLES["unparsed_dates"] = f"""
 select count(*) as unparsed, min(date_txt) as example from {FIELDS}
 where date_txt <> '' and {relative('date_txt', CLOCK)} is null and {absolute('date_txt', CLOCK)} is null"""
@@ -380,7 +382,7 @@ ORACLES["skip_processed"] = f"""
 select ord, url from (select o_orderkey as ord, concat('https://example.test/u/', cast(o_custkey % 150 as string), '/',
   cast(o_orderkey % 10 as string)) as url from orders) feed
 where not exists (select 1 from {STATE} where state.url = feed.url and (verdict <> 'parse_failed' or attempts >= 3))"""
-LISTED = f"(select url from {PUBLISHED} where batch = 'copy' and address is null)"
+LISTED = f"(select url from ({V.LISTED}) l)"
 ORACLES["skip_published"] = f"select post_no, url from {POSTS} where url not in {LISTED}"
 ORACLES["published_urls"] = f"select distinct url from {PUBLISHED} where url <> ''"
 
@@ -509,7 +511,7 @@ ORACLES["distance_limit"] = f"""
 select post_no, case when is_measured and distance_meters > 4000 then 'rejected_distance' else 'added' end as verdict from {PLACED}"""
 
 REPAIR = f"""(select post_no, action, case action when 'updated' then best.formatted_address when 'blanked' then '' else address end as new_address,
-  case action when 'updated' then meters when 'blanked' then null else cast(post_no % 100 as int) end as new_distance_meters
+  case action when 'updated' then round(meters / 1000.0, 3) when 'blanked' then null else (post_no % 100) / 10.0::double end as new_distance_km
  from (select *, case when coalesce(trim(address), '') = '' then 'unchanged' when contains(address, 'נמל התעופה') then 'blanked'
    when coalesce(failed, false) or not precise or locality is null then 'unresolved'
    when regexp_matches(locality, 'רמת גן|גבעתיים') then 'updated'
@@ -520,7 +522,7 @@ REPAIR = f"""(select post_no, action, case action when 'updated' then best.forma
      best is not null and (list_has_any(best.types, {LEVELS}) or {has_type('best', LEVELS)}) as precise from {BEST}) g
     on g.address_key = f.address_txt
    left join (select * from ({V.ROUTES}) rr where status = 'OK') r on r.address_key = f.address_txt and g.best is not null) j) k) repair"""
-ORACLES["address_repair"] = f"select post_no, action, new_address, new_distance_meters from {REPAIR}"
+ORACLES["address_repair"] = f"select post_no, action, new_address, cast(new_distance_km as double) as new_distance_km from {REPAIR}"
 ORACLES["repair_report"] = f"""
 select count(*) as total, count(*) filter (action = 'updated') as updated, count(*) filter (action = 'dropped') as removed,
  count(*) filter (action = 'unresolved') as unresolved, count(*) filter (action <> 'dropped') as rows_after from {REPAIR}"""
@@ -537,7 +539,7 @@ KEPT = f"(select * from {BY_KEY} where n = 1) kept"
 ORACLES["dedupe_url"] = f"select url, ord, pos, copies, post_date from {BY_URL}"
 ORACLES["dedupe_listing"] = f"select url, ord, pos, copies from {KEPT}"
 ORACLES["publish"] = f"""
-select url, ord, post_date, price, rooms, row_number() over (partition by post_date order by pos) as place from {KEPT} where {recent('post_date', CLOCK)}"""
+select url, ord, post_date, price, rooms, pos from {KEPT} where {recent('post_date', CLOCK)}"""
 ORACLES["publish_report"] = f"""
 select cast(sum(copies) - count(*) as bigint) as duplicates_removed, count(*) filter (not {recent('post_date', CLOCK)}) as stale_removed,
  count(*) filter ({recent('post_date', CLOCK)}) as kept from {KEPT}"""
@@ -551,8 +553,8 @@ select verdict, count(*) as n, cast(0 as bigint) as prices, count(raw_text) as t
 ORACLES["page_links"] = """
 select page_id, case page_id % 7 when 0 then 'https://example.test/groups/1/posts/' when 1 then 'https://other.test/marketplace/item/'
   when 2 then 'https://example.test/groups/2/permalink/' when 4 then 'relative/posts/' else 'https://example.test/groups/3/posts/' end || page_id as url,
- case page_id % 3 when 0 then '3 hrs' when 1 then 'July 9' else '' end as post_date_text
-from pages where page_id % 7 not in (3, 5)"""
+ case page_id % 3 when 0 then '3 hrs' when 1 then 'July 9 & on' else '' end as post_date_text
+from pages where page_id % 7 not in (1, 3, 5)"""
 ORACLES["canonical_urls"] = "select page_id, split_part(url, '?', 1) as clean from pages"
 
 # ------------------------------------------------------------------------------------------ jobs
@@ -628,3 +630,18 @@ union all select 'state', count(raw_text), cast(sum(length(raw_text)) as bigint)
 ORACLES["stream_screen"] = f"""
 select url, verdict, cast(case when verdict = 'parse_failed' then 1 else 0 end as int) as attempts, price_val, rooms_val
 from {job(FEED, True, with_age=True)}"""
+
+# ------------------------------------------------------------------------------------------ stored tables after a run
+ORACLES["store_repeat"] = ORACLES["stream_screen"]
+ORACLES["store_compact"] = ORACLES["stream_screen"]
+ORACLES["store_replay"] = f"""
+select s.url, coalesce(r.verdict, s.verdict) as verdict, cast(s.post_no % 4 + coalesce(cast(r.verdict = 'parse_failed' as int), 0) as int) as attempts
+from {FULL_STATE.replace(') full_state', ') s')} left join (
+ select url, verdict from {job(f"(select * exclude (verdict) from {STORED} st)", True)}) r on r.url = s.url"""
+ORACLES["lookup_requests"] = f"""
+select address_key, case when regexp_matches(a, 'רמת גן|גבעתיים|תל אביב|רמת-גן|ר"ג') then a else a || ', רמת גן, גבעתיים, ישראל' end as query
+from (select {cache_key('src.address')} as address_key, min(src.address) as a from {ADDRESSED} src where length(src.address) >= 3 group by 1) d
+where address_key is not null and {grade('a', 0)} not in ('missing', 'low') and trim(a) not in ({CITY_ONLY})
+ and address_key not in (select address_key from ({V.CACHE}) c where distance_source in ('google_maps', 'skipped'))
+order by address_key limit 500"""
+ORACLES["text_files"] = "select md5(text) as digest, count(*) as n from documents group by 1"

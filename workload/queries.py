@@ -41,7 +41,8 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
 @query
 def clean_documents(spark, sf_dir):
     """B1 B2 B3 B5 C1."""
-    docs = view(spark, sf_dir, V.NOISY_DOCUMENTS).filter(text.long_enough(F.col("raw"), PARAMS.min_chars))
+    docs = view(spark, sf_dir, V.NOISY_DOCUMENTS).withColumn("raw", text.strip(F.col("raw")))
+    docs = docs.filter(F.length("raw") > PARAMS.min_chars)
     return text.with_post_text(docs, "raw", "post").select(
         "doc_id",
         "post",
@@ -254,7 +255,8 @@ def relative_dates(spark, sf_dir):
     events = view(spark, sf_dir, "select event_id from events")
     units = ("s", "secs", " minute", "mins", " hrs", "H", " day", "d", "w", " wks", " months", "")
     unit = F.element_at(F.array(*[F.lit(u) for u in units]), (F.col("event_id") % len(units) + 1).cast("int"))
-    raw = F.concat((F.col("event_id") % 90).cast("string"), unit)
+    count = F.when(F.col("event_id") % 17 == 3, F.col("event_id") * 7_000_001).otherwise(F.col("event_id") % 90)
+    raw = F.concat(count.cast("string"), F.when(F.col("event_id") % 19 == 4, F.lit("0" * 20)).otherwise(""), unit)
     return events.select("event_id", dates.relative_date(raw, EVENTS_CLOCK).alias("posted_on"))
 
 
@@ -335,11 +337,15 @@ def skip_processed(spark, sf_dir):
     return state.skip_processed(feed, _state(spark, sf_dir), PARAMS).select("ord", "url")
 
 
+def _listed(spark, sf_dir):
+    return view(spark, sf_dir, V.LISTED)
+
+
 @query
 def skip_published(spark, sf_dir):
     """C4 G2."""
     feed = view(spark, sf_dir, V.POSTS).select("post_no", "url")
-    return state.skip_published(feed, _published(spark, sf_dir).filter("batch = 'copy' and address is null")).select("post_no", "url")
+    return state.skip_published(feed, _listed(spark, sf_dir)).select("post_no", "url")
 
 
 @query
@@ -354,7 +360,7 @@ def retry_candidates(spark, sf_dir):
     """A2 C13."""
     posts = _posts_state(spark, sf_dir)
     rows = screening.with_text(state.retry_candidates(posts))
-    return state.skip_published(rows, _published(spark, sf_dir).filter("batch = 'copy' and address is null")).select("url", "verdict")
+    return state.skip_published(rows, _listed(spark, sf_dir)).select("url", "verdict")
 
 
 @query
@@ -536,9 +542,14 @@ def _geocodes(spark, sf_dir):
 
 def _lookups(spark, sf_dir):
     cache = view(spark, sf_dir, V.CACHE).withColumn("updated_at", F.lit(V.AS_OF_POSTS).cast("timestamp_ntz"))
+    # Every key has an older answer as well, another one, which must not count.
+    now, before = (F.lit(t).cast("timestamp_ntz") for t in (V.AS_OF_POSTS, "2001-01-01 00:00:00"))
+    geocodes = _geocodes(spark, sf_dir).withColumn("answered_at", now)
+    geocodes = geocodes.unionByName(geocodes.withColumns({"failed": ~F.col("failed"), "answered_at": before}))
+    routes = view(spark, sf_dir, V.ROUTES).withColumn("answered_at", now)
+    routes = routes.unionByName(routes.withColumns({"meters": F.col("meters") + 9000, "answered_at": before}))
     # Nested answers are built once and read as a table, as they would be in use.
-    geocodes = tables.Scratch(spark, "lookups")(_geocodes(spark, sf_dir), "geocodes")
-    return jobs.Lookups(cache, geocodes, view(spark, sf_dir, V.ROUTES))
+    return jobs.Lookups(cache, tables.Scratch(spark, "lookups")(geocodes, "geocodes"), routes)
 
 
 @query
@@ -601,19 +612,16 @@ def _repair_plan(spark, sf_dir):
         F.concat(
             F.col("address_txt"), F.when(F.col("post_no") % 2 == 0, "__old").otherwise("")
         ).alias("address"),
-        (F.col("post_no") % 100).cast("int").alias("distance_meters"),
+        ((F.col("post_no") % 100) / F.lit(10.0)).alias("distance_km"),
     )
-    # Routes are asked for the canonical address.
-    routes = look.geocodes.select(
-        F.get("results", F.lit(0))["formatted_address"].alias("address_key"), F.col("address_key").alias("asked")
-    ).join(look.routes.withColumnRenamed("address_key", "asked"), "asked").select("address_key", "status", "meters")
-    return addresses.repair_addresses(rows, look.geocodes, routes, PARAMS)
+    rows = tables.add_missing_columns(rows, schemas.LISTINGS).select("post_no", *schemas.LISTINGS.names)
+    return addresses.repair_addresses(rows, look.geocodes, look.routes, PARAMS)
 
 
 @query
 def address_repair(spark, sf_dir):
     """G7 E22."""
-    return _repair_plan(spark, sf_dir).select("post_no", "action", "new_address", "new_distance_meters")
+    return _repair_plan(spark, sf_dir).select("post_no", "action", "new_address", "new_distance_km")
 
 
 @query
@@ -641,14 +649,9 @@ def dedupe_listing(spark, sf_dir):
 
 @query
 def publish(spark, sf_dir):
-    """L5 C5 J1; ``place`` shows the order."""
-    from pyspark.sql import Window
-
+    """L5 C5 J1; rows are sorted by ``post_date``, newest first, then by ``pos``."""
     rows = dedupe.publish(_published(spark, sf_dir), POSTS_CLOCK, PARAMS)
-    newer = Window.partitionBy("post_date").orderBy("pos")
-    return rows.withColumn("place", F.row_number().over(newer).cast("bigint")).select(
-        "url", "ord", "post_date", "price", "rooms", "place"
-    )
+    return rows.select("url", "ord", "post_date", "price", "rooms", "pos")
 
 
 @query
@@ -721,6 +724,9 @@ _MODEL_TEXTS = tuple(
 )
 
 
+_CARRIED = ("model_price", "model_rooms", *_MODEL_TEXTS)
+
+
 def _feed(spark, sf_dir):
     """The posts view as a feed; the model's answers ride along for the extractor below."""
     return view(spark, sf_dir, V.FIELDS).select(
@@ -774,17 +780,19 @@ def _extractor(rows):
 
 
 def _screen(spark, sf_dir):
-    old = _posts_state(spark, sf_dir).filter("first_seen < timestamp_ntz '1996-01-01 00:00:00'").select("url", "verdict", "attempts")
-    listed = _published(spark, sf_dir).filter("batch = 'copy' and address is null").select("url")
+    # Posts stored later than 1995 are known under another URL, so the feed meets both known and new ones.
+    known_as = F.when(F.year("first_seen") < 1996, F.col("url")).otherwise(F.concat("url", F.lit("/later")))
+    old = _posts_state(spark, sf_dir).select(known_as.alias("url"), "verdict", "attempts")
     return jobs.screen(
         _feed(spark, sf_dir),
         old,
-        listed,
+        _listed(spark, sf_dir),
         _extractor,
         _lookups(spark, sf_dir),
         POSTS_CLOCK,
         tables.Scratch(spark, "screen"),
         PARAMS,
+        _CARRIED,
     ).records
 
 
@@ -832,15 +840,15 @@ def analysis_columns(spark, sf_dir):
 @query
 def reprocess(spark, sf_dir):
     """L6."""
-    listed = _published(spark, sf_dir).filter("batch = 'copy' and address is null").select("url")
     done = jobs.reprocess(
         _posts_state(spark, sf_dir),
-        listed,
+        _listed(spark, sf_dir),
         _extractor,
         _lookups(spark, sf_dir),
         POSTS_CLOCK,
         tables.Scratch(spark, "reprocess"),
         PARAMS,
+        carry=_CARRIED,
     )
     return done.records.select("url", "verdict", "price_val", "rooms_val", "distance_meters")
 
@@ -855,6 +863,7 @@ def replay(spark, sf_dir):
         POSTS_CLOCK,
         tables.Scratch(spark, "replay"),
         PARAMS,
+        _CARRIED,
     )
     return done.records.select("url", "verdict", "reject_reason", "price_val", "rooms_val", "distance_meters")
 
@@ -875,7 +884,7 @@ def stream_screen(spark, sf_dir):
     """M1: the feed arrives as files in several micro-batches; the state afterwards."""
     root = tables.scratch_path(spark, "stream")
     feed = _feed(spark, sf_dir)
-    feed.repartition(4, "group_url").write.parquet(f"{root}/feed")
+    feed.repartition("url").write.parquet(f"{root}/feed")
     store = Store(spark, f"{root}/store")
     running = screen_stream(
         feed_stream(spark, f"{root}/feed", feed.schema, files_per_batch=2),
@@ -884,6 +893,72 @@ def stream_screen(spark, sf_dir):
         _lookups(spark, sf_dir),
         lambda _: POSTS_CLOCK,
         PARAMS,
+        _CARRIED,
     )
     running.awaitTermination()
     return store.state().select("url", "verdict", "attempts", "price_val", "rooms_val")
+
+
+# ------------------------------------------------------------------------------------------ stored tables after a run
+def _knowing_extractor(spark, sf_dir):
+    """The same answers for rows that have lost their model columns on the way through a store: found by URL."""
+    answers = _feed(spark, sf_dir).select("url", *_CARRIED)
+    return lambda rows: _extractor(rows.join(answers, "url", "left")).drop(*_CARRIED)
+
+
+def _store(spark, name):
+    return Store(spark, tables.scratch_path(spark, name))
+
+
+@query
+def store_repeat(spark, sf_dir):
+    """The state after a run, a compaction, the same run again and another compaction."""
+    store, feed, look = _store(spark, "repeat"), _feed(spark, sf_dir), _lookups(spark, sf_dir)
+    look = jobs.Lookups(None, look.geocodes, look.routes)
+    for _ in range(2):
+        store.screen(0, feed, _extractor, look, POSTS_CLOCK, PARAMS, _CARRIED)
+        store.compact(0)
+    return store.state().select("url", "verdict", "attempts", "price_val", "rooms_val")
+
+
+@query
+def store_compact(spark, sf_dir):
+    """L1 L2: the state after a feed in two runs, folded after each, once more, and downwards."""
+    store, feed, look = _store(spark, "compact"), _feed(spark, sf_dir), _lookups(spark, sf_dir)
+    look = jobs.Lookups(None, look.geocodes, look.routes)
+    for batch in (0, 1):
+        part = feed.filter(F.col("post_no") % 2 == batch)
+        store.screen(batch, part, _extractor, look, POSTS_CLOCK, PARAMS, _CARRIED)
+        store.compact(batch)
+    store.compact(1)
+    store.compact(0)
+    return store.state().select("url", "verdict", "attempts", "price_val", "rooms_val")
+
+
+@query
+def store_replay(spark, sf_dir):
+    """The stored state after a replay under the present rules."""
+    store = _store(spark, "replay")
+    tables.check_schema(_posts_state(spark, sf_dir).select(*schemas.POSTS.names), schemas.POSTS)
+    store._write(_posts_state(spark, sf_dir).select(*schemas.POSTS.names), "changes", 0)
+    store.replay(1, _knowing_extractor(spark, sf_dir), _lookups(spark, sf_dir), POSTS_CLOCK, PARAMS)
+    return store.state().select("url", "verdict", "attempts")
+
+
+@query
+def lookup_requests(spark, sf_dir):
+    """The addresses that the rest of a month's budget lets a run ask for, as they are asked."""
+    look = _lookups(spark, sf_dir)
+    graded = addresses._graded(addresses.distinct_addresses(_addressed(spark, sf_dir)), look.cache)
+    requests = addresses.geocode_requests(graded, PARAMS)
+    return addresses.within_rest(requests, 500, PARAMS, requests.count()).select("address_key", "query")
+
+
+@query
+def text_files(spark, sf_dir):
+    """Every document as a file of its own, read back."""
+    root = tables.scratch_path(spark, "texts")
+    docs = view(spark, sf_dir, "select doc_id, text from documents")
+    docs.repartition("doc_id").write.partitionBy("doc_id").text(root)
+    found = feeds.read_text_files(spark, f"{root}/*/")
+    return found.groupBy(F.md5(F.regexp_replace("text", r"\n\z", "")).alias("digest")).agg(F.count("*").alias("n"))

@@ -80,9 +80,16 @@ select ord, batch, url, price, rooms, address, post_date from (
 ) t
 """
 
-# Address lookups, one per customer: what a geocoder and a router would have answered.
-GEOCODE_SRC = """
-select c_custkey as cust, concat('רחוב ביאליק ', cast(c_custkey as string), ', רמת גן') as address_key,
+# What a run finds published: every published row; only cross-posts without an address keep the post's own URL.
+LISTED = f"""
+select case when batch = 'copy' and address is null then url else concat(url, '/listed') end as url from ({PUBLISHED}) p
+"""
+
+# Address lookups, one per customer: what a geocoder and a router would have answered.  Some were asked about another place.
+_PLACE_OF = "concat('רחוב ביאליק ', cast(c_custkey as string), ', רמת גן')"
+_CITY_OF = """case c_custkey % 12 when 2 then 'חיפה' when 4 then 'ישראל' when 5 then 'ישראל' when 6 then 'יפו' when 7 then 'חיפה' when 9 then 'גבעתיים' else 'רמת גן' end"""
+GEOCODE_SRC = f"""
+select c_custkey as cust, concat({_PLACE_OF}, case when c_nationkey = 8 then ' unasked' else '' end) as address_key,
  c_custkey % 12 = 1 as failed,
  case c_custkey % 12 when 0 then 0 when 1 then 0 when 7 then 2 else 1 end as n_results,
  case c_custkey % 12 when 3 then 'locality' when 4 then 'premise' when 6 then 'geocode' when 2 then 'route' else 'street_address' end as result_type,
@@ -90,25 +97,30 @@ select c_custkey as cust, concat('רחוב ביאליק ', cast(c_custkey as str
  case c_custkey % 12 when 2 then 'חיפה' when 4 then null when 5 then null when 6 then 'תל אביב-יפו' when 7 then 'חיפה' when 9 then 'גבעתיים' else 'רמת גן' end as city1,
  case c_custkey % 12 when 4 then 'גבעתיים' else null end as city2,
  case c_custkey % 12 when 5 then 'מחוז תל אביב' else 'מחוז' end as city3,
- concat('ביאליק ', cast(c_custkey as string), ', ', case c_custkey % 12 when 2 then 'חיפה' when 4 then 'ישראל' when 5 then 'ישראל' when 6 then 'יפו' when 7 then 'חיפה' when 9 then 'גבעתיים' else 'רמת גן' end) as formatted
-from customer where c_nationkey <> 8
+ concat('ביאליק ', cast(c_custkey as string), ', ', {_CITY_OF}) as formatted
+from customer
 """
 
-ROUTES = """
-select concat('רחוב ביאליק ', cast(c_custkey as string), ', רמת גן') as address_key,
+# Routes start at the canonical address, or at the address itself where there is none.
+_ROUTE = """
  case c_custkey % 7 when 0 then 'ZERO_RESULTS' when 1 then 'ERROR' else 'OK' end as status,
  cast(500 + (c_custkey * 37) % 6000 as int) as meters
-from customer where c_nationkey <> 3
+from customer
+"""
+_NO_ROUTE = "case when c_nationkey = 3 then ' unasked' else '' end"
+ROUTES = f"""
+select concat({_PLACE_OF}, {_NO_ROUTE}) as address_key, {_ROUTE}
+union all select concat('ביאליק ', cast(c_custkey as string), ', ', {_CITY_OF}, {_NO_ROUTE}) as address_key, {_ROUTE}
 """
 
-CACHE = """
-select concat('רחוב ביאליק ', cast(c_custkey as string), ', רמת גן') as address_key,
- concat('רחוב ביאליק ', cast(c_custkey as string), ', רמת גן') as original_address,
+CACHE = f"""
+select concat({_PLACE_OF}, case when c_acctbal > 6000 then '' else ' unasked' end) as address_key,
+ {_PLACE_OF} as original_address,
  '' as canonical_address, '' as city,
  case c_custkey % 10 when 5 then 'low' when 6 then '' else 'high' end as confidence, 'w' as warning, '' as distance_text,
  case when c_custkey % 10 in (5, 7) then cast(null as int) else cast((c_custkey * 53) % 6000 as int) end as distance_meters,
  case c_custkey % 10 when 3 then 'google_maps_error' when 4 then 'quota' when 5 then 'skipped' else 'google_maps' end as distance_source, 'ok' as geocode_status
-from customer where c_acctbal > 6000
+from customer
 """
 
 # A log of processing results, several per URL: the events table read as such.
@@ -141,11 +153,11 @@ select page_id, url as page_url,
  concat(case page_id % 7
   when 0 then '<a role="link" href="/groups/1/posts/9?comment_id=3">x</a><a role="link" href="/groups/1/posts/'
   when 1 then '<a href="https://other.test/marketplace/item/'
-  when 2 then '<a href="/about">y</a><a class="k" href="/groups/2/permalink/'
-  when 3 then '<a href="/profile/' when 4 then '<a href="relative/posts/' when 5 then '<b>no link</b><i title="'
-  else '<a href="/groups/3/posts/' end,
+  when 2 then '<a href="/about">y</a><a href="/groups/8/posts/7">no role</a><a class="k" role="link" href="/groups/2/permalink/'
+  when 3 then '<a role="link" href="/profile/' when 4 then '<a role=''link'' href="relative/posts/' when 5 then '<b>no link</b><i title="'
+  else '<a href="/x"></a><a ROLE="link" href="/groups/3/posts/' end,
   cast(page_id as string), case when page_id % 2 = 0 then '?ref=1&amp;x=2' else '' end, '"> <span>',
-  case page_id % 3 when 0 then '3 hrs' when 1 then 'July 9' else '' end, '</span></a>', html) as html
+  case page_id % 3 when 0 then '3 hrs' when 1 then 'July 9 &amp; on' else '' end, '</span></a>', html) as html
 from pages
 """
 
