@@ -100,17 +100,16 @@ def changes(records: DataFrame, now: datetime, order: str = "ord") -> DataFrame:
 
 
 def current_state(change_table: DataFrame, version: str = "batch_id") -> DataFrame:
-    """The state as the fold of its change table: what ``upsert_posts`` gives, one map-side combined aggregate."""
-    return (
-        change_table.groupBy("url")
-        .agg(
-            F.max_by(F.struct(*REPLACED, "last_processed"), F.col(version)).alias("_last"),
-            F.sum("attempts").cast("int").alias("attempts"),
-            F.min("first_seen").alias("first_seen"),
-        )
-        .select("url", "_last.*", "attempts", "first_seen")
-        .select(*[f.name for f in schemas.POSTS.fields])
+    """The state as the fold of its change table: what ``upsert_posts`` gives.
+
+    A run changes a URL once, so (url, version) names a row: the newest version of each URL is found on narrow columns by
+    a map-side combined hash aggregate, and only then are the rows that won fetched, their texts neither sorted nor folded.
+    """
+    last = change_table.groupBy("url").agg(
+        F.max(version).alias(version), F.sum("attempts").cast("int").alias("attempts"), F.min("first_seen").alias("first_seen")
     )
+    rows = change_table.select("url", version, *REPLACED, "last_processed")
+    return rows.join(last, ["url", version]).select(*[f.name for f in schemas.POSTS.fields])
 
 
 def narrow_state(change_table: DataFrame, version: str = "batch_id") -> DataFrame:

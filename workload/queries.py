@@ -914,7 +914,6 @@ def _store(spark, name):
 def store_repeat(spark, sf_dir):
     """The state after a run, a compaction, the same run again and another compaction."""
     store, feed, look = _store(spark, "repeat"), _feed(spark, sf_dir), _lookups(spark, sf_dir)
-    look = jobs.Lookups(None, look.geocodes, look.routes)
     for _ in range(2):
         store.screen(0, feed, _extractor, look, POSTS_CLOCK, PARAMS, _CARRIED)
         store.compact(0)
@@ -925,7 +924,6 @@ def store_repeat(spark, sf_dir):
 def store_compact(spark, sf_dir):
     """L1 L2: the state after a feed in two runs, folded after each, once more, and downwards."""
     store, feed, look = _store(spark, "compact"), _feed(spark, sf_dir), _lookups(spark, sf_dir)
-    look = jobs.Lookups(None, look.geocodes, look.routes)
     for batch in (0, 1):
         part = feed.filter(F.col("post_no") % 2 == batch)
         store.screen(batch, part, _extractor, look, POSTS_CLOCK, PARAMS, _CARRIED)
