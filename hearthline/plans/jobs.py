@@ -26,11 +26,16 @@ Stage = Callable[[DataFrame, str], DataFrame]
 
 @dataclass(frozen=True)
 class Outcome:
-    """What a job found: a record per post, every address it resolved, and the service calls it made (month, calls)."""
+    """What a job found: a record per post, every address it resolved, the service calls it made (month, calls), and the
+    posts' texts (url, raw_text), which the records leave out so that they are moved once, when they are stored."""
 
     records: DataFrame
     resolved: DataFrame
-    calls: DataFrame | None = None
+    calls: DataFrame | None
+    texts: DataFrame
+
+    def with_text(self) -> DataFrame:
+        return self.records.join(self.texts, "url")
 
 
 @dataclass(frozen=True)
@@ -59,15 +64,15 @@ def _settled(
     """Extraction, judgement, distance and the final verdict of rows that have passed the rules.
 
     Three results are written on the way: the ruled rows, so that only open ones reach the extractor; the judged rows,
-    so that the model is asked once although both the address lookup and the records need its answers; and the
-    resolved addresses, so that their size is known when they are joined.
+    without their texts, so that the model is asked once although both the address lookup and the records need its
+    answers; and the resolved addresses, so that their size is known when they are joined.
     """
     ruled = stage(ruled, "ruled")
     # The rules stop an uneven share of each file; spread what is left, since the model is by far the dearest step.
     open_rows = extraction.with_prompt(ruled.filter(F.col("verdict").isNull()).repartition("url"), params)
     answered = extraction.with_record(extractor(open_rows), params).drop("responses", "prompt", *carry)
     stopped = ruled.filter(F.col("verdict").isNotNull()).withColumn("record", F.lit(None).cast(schemas.RECORD)).drop(*carry)
-    judged = stage(judging.judge(answered.unionByName(stopped), params), "judged")
+    judged = stage(judging.judge(answered.unionByName(stopped), params).drop("text"), "judged")
     resolved, calls = addresses.look_up(
         addresses.distinct_addresses(judged), lookups.cache, lookups.geocodes, lookups.routes, params, lookups.usage, as_of, stage
     )
@@ -77,7 +82,6 @@ def _settled(
     located = F.col("verdict").isin(P.ADDED, P.REJECTED_DISTANCE)
     records = final.withColumns(
         {
-            "raw_text": F.col("text"),
             "parsed_json": F.when(sent, lax.record_json(F.col("record"))),
             "model_used": F.when(sent, F.lit("model")),
             **{
@@ -86,7 +90,7 @@ def _settled(
             },
         }
     ).drop("record")
-    return Outcome(records, resolved, calls)
+    return Outcome(records, resolved, calls, ruled.select("url", F.col("text").alias("raw_text")))
 
 
 def screen(

@@ -155,8 +155,8 @@ class Store:
     def record(self, batch_id: int, outcome: jobs.Outcome, at: datetime) -> None:
         """Keep a run's addresses and calls, its listings, then what it learnt about its posts.
 
-        The posts come last: a run that stops before them is still to be done.  The records are read twice and should be
-        written ones.
+        The posts come last: a run that stops before them is still to be done.  Their texts are joined in that one write.
+        The records are read twice and should be written ones.
         """
         if self.is_closed(batch_id):
             raise ValueError(f"batch {batch_id} has been folded away and can't be written again")
@@ -166,7 +166,8 @@ class Store:
         if outcome.calls is not None:
             self._write(outcome.calls, "usage", batch_id)
         self._write(jobs.new_listings(outcome.records, at), "listings", batch_id)
-        self._write(history.changes(outcome.records, at), "changes", batch_id)
+        learnt = history.changes(outcome.records.withColumn("raw_text", F.lit(None).cast("string")), at).drop("raw_text")
+        self._write(learnt.join(outcome.texts, "url").select(*schemas.POSTS.names), "changes", batch_id)
 
     def _lookups(self, lookups: jobs.Lookups, batch_id: int) -> jobs.Lookups:
         """The caller's services with this store's cache and usage as they were before the run."""
@@ -181,7 +182,7 @@ class Store:
         try:
             found = job(scratch)
             records = scratch(found.records, "records")
-            self.record(batch_id, jobs.Outcome(records, found.resolved, found.calls), as_of)
+            self.record(batch_id, jobs.Outcome(records, found.resolved, found.calls, found.texts), as_of)
         finally:
             scratch.drop()
 

@@ -140,7 +140,7 @@ def test_reprocess_under_wider_limits(spark, store):
         "u4": "parse_failed", "u5": "added", "u6": "added", "u7": "added", "u10": "added",
     }
     assert got["u5"].post_date == "21/05"
-    after = state.upsert_posts(store.state(), done.records, datetime(2024, 5, 23))
+    after = state.upsert_posts(store.state(), done.with_text(), datetime(2024, 5, 23))
     assert {r.url: r.attempts for r in after.collect()}["u4"] == 2
 
 
