@@ -51,9 +51,12 @@ def rows_of(columns, rows):
     return sorted(tuple(cell(r[i]) for i in order) for r in rows)
 
 
-def compare(spark, con, sf_dir, name) -> tuple[bool, str]:
+def compare(spark, con, sf_dir, name, look=None) -> tuple[bool, str]:
+    """Whether a query and its SQL agree, and a line that says so; ``look`` gets the query's frame as well."""
     start = time.time()
     df = registry.queries()[name](spark, sf_dir)
+    if look is not None:
+        look(df)
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     took = time.time() - start
     sql = registry.oracle_sql().get(name)
