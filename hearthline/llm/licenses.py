@@ -59,22 +59,31 @@ SAME = (
     ("&", " and "),
     ("http://", "https://"),
 )
-COPYRIGHT_LINE = r"(?m)^[ \t]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+COPYRIGHT_LINE = r"^[ \t]*(copyright|\(c\)|©|all rights reserved).*$"
 OUTSIDE_WORDS = r"[^\p{L}\p{N}]+"
 
 
-def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, one spelling of each variant, words separated by one blank."""
-    out = F.regexp_replace(F.lower(text), COPYRIGHT_LINE, "")
+def canonical_line(line: Column) -> Column:
+    """Lower case, nothing of a copyright line, one spelling of each variant, words separated by one blank."""
+    out = F.regexp_replace(F.lower(line), f"(?s){COPYRIGHT_LINE}", "")
     for a, b in SAME:
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(out, OUTSIDE_WORDS, " "))
 
 
+def canonical_lines(text: Column) -> Column:
+    return F.transform(F.split(text, "\n"), canonical_line)
+
+
+def joined(lines: Column) -> Column:
+    """The canonical text of its canonical lines."""
+    return F.array_join(F.filter(lines, lambda x: x != ""), " ")
+
+
 def known(spark: SparkSession, licenses: tuple[tuple[str, str], ...] = LICENSES) -> DataFrame:
     """``digest, license_id``, one row for each canonical text."""
     rows = F.explode(F.array(*(F.struct(F.lit(a).alias("license_id"), F.lit(t).alias("text")) for a, t in licenses)))
-    table = spark.range(1).select(rows.alias("r")).select("r.license_id", F.sha2(canonical(F.col("r.text")), 256).alias("digest"))
+    table = spark.range(1).select(rows.alias("r")).select("r.license_id", F.sha2(joined(canonical_lines(F.col("r.text"))), 256).alias("digest"))
     return table.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
@@ -87,13 +96,14 @@ def scan(docs: DataFrame, licenses: DataFrame | None = None, id_col: str = "doc_
     columns play no part; an empty table gives no row.
     """
     table = F.broadcast(known(docs.sparkSession)) if licenses is None else licenses.select("digest", "license_id")
-    text = F.col(text_col).cast("string")
-    lines = F.split(text, "\n")
-    units = docs.select(
-        F.col(id_col).alias("doc_id"),
-        F.posexplode(F.concat(F.array(text), F.when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<string>")))).alias("line", "unit"),
+    table = table.where(F.col("digest") != F.sha2(F.lit(""), 256))
+    # Each line is brought to its form once; the whole text's form is made of them.
+    rows = docs.select(F.col(id_col).alias("doc_id"), canonical_lines(F.col(text_col).cast("string")).alias("lines"))
+    alone = F.array().cast("array<string>")
+    whole = F.array(joined(F.col("lines")))
+    units = rows.select(
+        "doc_id", F.posexplode(F.concat(whole, F.when(F.size("lines") > 1, F.col("lines")).otherwise(alone))).alias("line", "unit")
     )
-    units = units.select("doc_id", "line", canonical(F.col("unit")).alias("unit")).where("unit <> ''")
     return units.select("doc_id", "line", F.sha2("unit", 256).alias("digest")).join(table, "digest").select("doc_id", "line", "license_id")
 
 
@@ -104,7 +114,7 @@ def oracle() -> str:
         return "'" + x.replace("'", "''") + "'"
 
     def form(x: str) -> str:
-        x = f"regexp_replace(lower({x}), {quoted(COPYRIGHT_LINE)}, '', 'g')"
+        x = f"regexp_replace(lower({x}), {quoted('(?m)' + COPYRIGHT_LINE)}, '', 'g')"
         for a, b in SAME:
             x = f"replace({x}, {quoted(a)}, {quoted(b)})"
         return f"trim(regexp_replace({x}, {quoted(OUTSIDE_WORDS)}, ' ', 'g'))"
