@@ -62,7 +62,10 @@ def test_repeats(stages):
             assert kept[doc_id] == text
         elif doc_id in kept:
             assert n_bytes - n_removed - 6 <= len(kept[doc_id].encode()) <= n_bytes - n_removed
-    assert (after.n_chars == after.text.str.len()).all()
+    sizes = dict(zip(before.doc_id, before.n_chars, strict=True))
+    whole = dict(zip(before.doc_id, before.text, strict=True))
+    for doc_id, text, n in zip(after.doc_id, after.text, after.n_chars, strict=True):
+        assert n == (sizes[doc_id] if text == whole[doc_id] else len(text))
 
 
 def test_mixing(stages):
@@ -87,3 +90,24 @@ def test_run(spark, tmp_path):
     spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 80").write.parquet(f"{tmp_path}/documents.parquet")
     rows = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert rows and set(rows[0].asDict()) == {"doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"}
+
+
+def test_odd_rows_and_an_empty_table(spark):
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, kept string, score int, mix_pass int, first_id int"
+    words = "the cat sat on the mat and went home by night with all of its friends"
+    rows = [(i, f"{words} number {'abcdefgh'[i % 8]} {i} " * 3, "en", "s", 9, "r", "k", 1, 2, 3) for i in range(30)]
+    rows += [(None, "no id but some words here", None, None, None, None, None, None, None, None)] * 2
+    rows += [(40, None, None, None, None, None, None, None, None, None), (41, "", "xx", "t", 0, "", "", 0, 0, 0), rows[3]]
+    rows += [(42, "long words " * 30_000, "en", None, 1, None, None, None, None, None)]
+    docs = spark.createDataFrame(rows, schema)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert stage(spark, docs.limit(0), SF).collect() == [], name
+        made = out.collect()
+        assert made and all(r.row in ("r", None, "") for r in made), name
+        docs = spark.createDataFrame(made, docs.schema)
+    ids = [r.doc_id for r in docs.collect()]
+    assert 40 not in ids and 41 not in ids and 42 not in ids and ids.count(3) <= 4 and None in ids
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, SF).count() >= len(ids)
+    assert corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), SF).collect() == []
