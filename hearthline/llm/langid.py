@@ -28,7 +28,7 @@ SCRIPTS = (
     (0x3130, "hangul"), (0x3190, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"),
     (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "other"), (0x20000, "han"), (0x30000, "other"),
 )
-_BLANK, _BLOCK_CHARS, _STRIDE = 0x20, 2_000_000, 64
+_BLANK, _BLOCK_CHARS, _STRIDE = 0x20, 500_000, 64
 
 
 @lru_cache(maxsize=1)
@@ -124,10 +124,10 @@ def _counts(buckets: int) -> Callable:
 
 
 class Model:
-    """Log-probabilities ``buckets x languages`` of n-grams, and the languages each script allows."""
+    """Log-probabilities of n-grams (a row for each language), and the languages each script allows."""
 
     def __init__(self, langs: list[str], table: np.ndarray, allowed: np.ndarray):
-        self.langs, self.table, self.allowed = langs, table, allowed
+        self.langs, self.table, self.allowed = langs, np.ascontiguousarray(table.T), allowed
 
     def scores(self, words: Words) -> np.ndarray:
         """Each word's log-likelihood in each language, scaled to its letters and relative to the best.
@@ -136,10 +136,9 @@ class Model:
         """
         many, langs = len(words.size), len(self.langs)
         total = np.zeros((many, langs))
-        for bucket, word in words.grams(len(self.table)):
-            values = self.table[bucket]
+        for bucket, word in words.grams(self.table.shape[1]):
             for k in range(langs):
-                total[:, k] += np.bincount(word, values[:, k], many)
+                total[:, k] += np.bincount(word, self.table[k][bucket], many)
         total *= (np.minimum(words.size, 20) / (4 * words.size))[:, None]
         fits = np.ones((many, langs), bool)
         if not self.allowed[np.unique(words.scripts)].all():

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import Work, shuffle_partitions
 
-_GRAM, _CHUNK, _RUN_BYTES = 16, 1 << 17, 24 << 20
+_GRAM, _CHUNK, _RUN_BYTES = 16, 1 << 17, 16 << 20
 _RIGHT, _LEFT = b"\x01", b"\x02"
 _OWNER = "<16sIQHH"  # document, anchor, hash of its first bytes, least and most distance of its starts
 _OWNER_BYTES = struct.calcsize(_OWNER)
@@ -404,9 +404,8 @@ class Repeats:
         parts = max(shuffle_partitions(spark), many // item_parts)
         rate = max(1, many // (parts * 64))
         sample = hits.where(F.pmod(F.xxhash64("key", "pos"), F.lit(rate)) == 0)
-        sample = work.put(
-            self.with_texts(sample, "pos", "h", "low", "high").mapInArrow(_samples(length, window), "suffix binary, owner binary"), "samples"
-        )
+        sample = self.with_texts(sample, "pos", "h", "low", "high").mapInArrow(_samples(length, window), "suffix binary, owner binary")
+        sample = work.put(sample.groupBy("suffix").agg(F.min("owner").alias("owner")), "samples")  # equal ones can't be told apart
         firsts = sample.repartitionByRange(parts, "suffix").groupBy(F.spark_partition_id()).agg(F.min(F.struct("suffix", "owner")).alias("s"))
         picked = sorted((bytes(r[0]["suffix"]), bytes(r[0]["owner"])) for r in firsts.select("s").collect())  # one a range
         splitters, owners = [p[0] for p in picked], [p[1] for p in picked]
