@@ -49,8 +49,21 @@ def shared_folder(spark: SparkSession) -> str:
     return named
 
 
+_MADE: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/hearthline/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/hearthline/{name}-{uuid.uuid4().hex}"
+    _MADE.add(path)
+    return path
+
+
+def remove_scratch(spark: SparkSession) -> None:
+    """Remove every scratch folder this process has made, once no result that reads them is wanted any more."""
+    for made in sorted(_MADE):
+        path, fs = _hadoop_path(spark, made)
+        fs.delete(path, True)
+    _MADE.clear()
 
 
 class Scratch:
@@ -73,6 +86,7 @@ class Scratch:
         """Remove the run's scratch tables once its results are stored."""
         path, fs = _hadoop_path(self.spark, self.root)
         fs.delete(path, True)
+        _MADE.discard(self.root)
 
 
 def _hadoop_path(spark: SparkSession, path: str):

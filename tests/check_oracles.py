@@ -12,6 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 import duckdb  # noqa: E402
 
 import __spark_entry__ as registry  # noqa: E402
+from hearthline.sources import tables  # noqa: E402
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
@@ -89,6 +90,7 @@ def main() -> int:
             ok, line = False, f"{name}: {type(error).__name__}: {str(error)[:700]}"
         bad += not ok
         print(("ok   " if ok else "FAIL ") + line, flush=True)
+    tables.remove_scratch(spark)
     print(f"{len(names) - bad} of {len(names)} agree")
     return bad
 
