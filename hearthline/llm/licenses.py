@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .license_digests import DIGESTS
+
 #: Short licences and the notices that stand for longer ones, under their public identifiers.
 LICENSES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -60,12 +62,14 @@ SAME = (
     ("http://", "https://"),
 )
 COPYRIGHT_LINE = r"^[ \t]*(copyright|\(c\)|©|all rights reserved).*$"
+#: Of lines that start with "copyright", only notices: licences wrap so that "COPYRIGHT HOLDERS" may start a line.
+NOTICE_LINE = r"^[ \t]*(copyright[ \t:,]*(\(c\)|©|&copy;|[\[<({]?([0-9]{4}|yyyy|year))|\(c\)|©|all rights reserved).*$"
 OUTSIDE_WORDS = r"[^\p{L}\p{N}]+"
 
 
 def canonical_line(line: Column) -> Column:
     """Lower case, nothing of a copyright line, one spelling of each variant, words separated by one blank."""
-    out = F.regexp_replace(F.lower(line), f"(?s){COPYRIGHT_LINE}", "")
+    out = F.regexp_replace(F.lower(line), f"(?s){NOTICE_LINE}", "")
     for a, b in SAME:
         out = F.replace(out, F.lit(a), F.lit(b))
     return F.trim(F.regexp_replace(out, OUTSIDE_WORDS, " "))
@@ -87,15 +91,23 @@ def known(spark: SparkSession, licenses: tuple[tuple[str, str], ...] = LICENSES)
     return table.groupBy("digest").agg(F.min("license_id").alias("license_id"))
 
 
+def standard(spark: SparkSession) -> DataFrame:
+    """``digest, license_id`` of the fixed list and of whole licences."""
+    rows = F.explode(F.array(*(F.struct(F.lit(a).alias("license_id"), F.lit(d).alias("digest")) for a, d in DIGESTS)))
+    whole = spark.range(1).select(rows.alias("r")).select("r.digest", "r.license_id")
+    return known(spark).unionByName(whole).groupBy("digest").agg(F.min("license_id").alias("license_id"))
+
+
 def scan(docs: DataFrame, licenses: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, line, license_id``: line 0 for a document that as a whole is a known licence, else the line's number from 1.
 
-    ``licenses``: ``digest, license_id`` with unique digests, by default the fixed list, which is broadcast; a table of the
+    ``licenses``: ``digest, license_id`` with unique digests, by default the fixed list with the
+    whole licences, which is broadcast; a table of the
     caller's is joined as its size allows.  A document of one line that is a licence gives line 0 only.  Null and empty texts,
     and texts that are empty in canonical form, match nothing.  Rows with null or repeated ids give their own matches; other
     columns play no part; an empty table gives no row.
     """
-    table = F.broadcast(known(docs.sparkSession)) if licenses is None else licenses.select("digest", "license_id")
+    table = F.broadcast(standard(docs.sparkSession)) if licenses is None else licenses.select("digest", "license_id")
     table = table.where(F.col("digest") != F.sha2(F.lit(""), 256))
     # Each line is brought to its form once; the whole text's form is made of them.
     rows = docs.select(F.col(id_col).alias("doc_id"), canonical_lines(F.col(text_col).cast("string")).alias("lines"))
