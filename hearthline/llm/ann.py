@@ -143,7 +143,7 @@ def _searcher(k: int, degree: int, beam: int, query_beam: int, alpha: float, blo
         graph = Graph(exact, degree, beam, alpha)
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         for at in range(0, len(asked), block):
-            near, _ = graph.search(asked[at : at + block], min(query_beam, max(len(exact), 1)))
+            near, _ = graph.search(asked[at : at + block], min(max(query_beam, 2 * k), max(len(exact), 1)))
             for q, found in enumerate(near, at):
                 found = found[found >= 0]
                 score = np.sqrt(((exact[found] - asked[q]) ** 2).sum(axis=1))

@@ -102,3 +102,12 @@ def test_graph_reaches_its_points():
     wanted = np.argsort(exact, axis=1)[:, :10]
     assert np.mean([len(set(w) & set(f)) / 10 for w, f in zip(wanted.tolist(), ids.tolist(), strict=True)]) > 0.95
     assert (graph.links != np.arange(2000)[:, None]).all()
+
+
+def test_more_neighbours_than_the_beam(spark):
+    rng = np.random.default_rng(9)
+    vectors = {i: v.astype(np.float32).astype(np.float64) for i, v in enumerate(rng.normal(size=(600, 16)))}
+    rows = ann.nearest(table(spark, vectors), F.col("id") < 3, k=500).collect()
+    for q in range(3):
+        found = {r.vec_id for r in rows if r.query_id == q}
+        assert len(found) == 500 and len(found & {i for _, i in nearest(vectors, q, 500)}) > 490
