@@ -153,14 +153,21 @@ class Model:
 def learn(labelled: DataFrame, sample_docs: int = 20_000, buckets: int = 1 << 17, min_script: float = 0.001) -> Model | None:
     """A model from rows ``lang, text, key``; rows without a label or letter teach nothing; None if no row does.
 
-    ``sample_docs`` bounds how many labelled rows are learnt from (those with the smallest hashes of ``key``, about that
-    many); the counts of those rows are made by Spark, and at most ``buckets`` numbers a language reach the driver.
+    ``sample_docs`` bounds how many labelled rows are learnt from: about that many by the languages' shares (those with the
+    smallest hashes of ``key``), and of a rare language 200, or an equal part of ``sample_docs`` if that is less; the counts of those rows are made by Spark, and at most ``buckets`` numbers a language reach the driver.
     """
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = rows.count()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    n, many = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     share = min(1.0, sample_docs / max(n, 1))
     if share < 1:
-        rows = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+        least = min(200, sample_docs // many)
+        rare = sizes.where(F.col("n") * share < least).orderBy("n", "lang").limit(1000).collect()  # no model has more languages
+        own = F.lit(int(share * (1 << 30)))
+        if rare:
+            shares = F.create_map(*(F.lit(x) for r in rare for x in (r.lang, int(min(1.0, least / r.n) * (1 << 30)))))
+            own = F.coalesce(shares[F.col("lang")], own)
+        rows = rows.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < own)
     counts = rows.select("lang", "text").mapInArrow(_counts(buckets), "lang string, feature long, n long")
     counts = counts.groupBy("lang", "feature").agg(F.sum("n").alias("n")).toPandas()
     if not len(counts):

@@ -106,3 +106,10 @@ def test_words_and_their_grams():
 def test_scripts():
     names = langid.Words(["ab дом 東京 한국 שלום"])
     assert [names.script_names[i] for i in dict.fromkeys(names.scripts.tolist())] == ["latin", "cyrillic", "han", "hangul", "hebrew"]
+
+
+def test_rare_languages_stay_in_the_sample(spark):
+    rows = [("common", f"ordinary words number {i}", i) for i in range(3000)]
+    rows += [(f"rare{k}", f"seldom heard {k} {i}", 10_000 + 10 * k + i) for k in range(20) for i in range(4)]
+    model = langid.learn(spark.createDataFrame(rows, "lang string, text string, key long"), sample_docs=100)
+    assert model.langs == sorted({r[0] for r in rows})
