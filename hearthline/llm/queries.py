@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, embedding_dedup, langid, licenses, mixing, packing, simhash, suffixes, token_output, warc
+from . import ann, embedding_dedup, langid, licenses, mixing, negatives, packing, periodic, simhash, suffixes, token_output, toxicity, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,6 +56,22 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.9)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, label = _table(spark, sf_dir, "embeddings"), F.col("label")
+    moved = F.when(F.col("vec_id") % 7 == 0, (label + 1) % 10).otherwise(label)
+    return negatives.hard_negatives(rows.withColumn("label", moved), F.col("id") % 100 == 0, positives=5, negatives=5)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.planted(_table(spark, sf_dir, "documents"))
+    return periodic.run_digests(periodic.collapse_runs(docs, ["doc_id"], least_words=6, least_roots=4))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.predict_toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "held_out", "score", "predicted")
+
+
 _ALL = (
     op1_vector_search,
     op2_simhash,
@@ -67,6 +83,9 @@ _ALL = (
     op8_language,
     op9_repeated_strings,
     op10_embedding_dedup,
+    op11_hard_negatives,
+    op12_periodic_runs,
+    op13_toxicity,
 )
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _ALL}
