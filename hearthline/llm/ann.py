@@ -173,21 +173,27 @@ def nearest(
     ``score`` is the Euclidean distance in double precision on the vectors as given; ties go to the smaller id; a row is not
     its own neighbour.  ``is_query`` is a condition on the column ``id``.  Equal vectors are one point of a graph, which lists
     its ``k + 1`` smallest ids: of equal distances no more can be among a query's ``k``.  Rows with a null id, or a vector that
-    is null, empty, zero, holds null or non-finite components or has another length than the longest, take no part; an id
-    counts once, at its nearest vector, however often it is there; other columns play no part; an empty table gives no row.
+    is null, empty, zero or holds null or non-finite components, take no part; vectors are compared with those of their length
+    only; an id counts once, at its nearest vector, however often it is there; other columns play no part; an empty table
+    gives no row.
     """
     work = Work(vectors.sparkSession, "ann")
     packed = work.put(usable_vectors(vectors, id_col, vector_col)[0], "vectors")
     ranked = packed.withColumn("nth", F.dense_rank().over(Window.partitionBy("v").orderBy("id"))).where(F.col("nth") <= k + 1)
     points = work.put(ranked.groupBy("v").agg(F.collect_set("id").alias("ids")), "points")
     queries = work.put(packed.where(is_query).distinct(), "queries")
-    shards = max(1, -(-points.count() // shard_rows))
+    # Each length has shards of its own.
+    points = points.withColumn("width", F.length("v"))
+    sizes = work.put(points.groupBy("width").agg(F.ceil(F.count("*") / shard_rows).cast("int").alias("shards")), "sizes")
     blocks = max(1, -(-queries.count() // query_block))
     every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = points.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int")).withColumn("block", every)
-    right = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    right = right.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    found = left.groupBy("shard", "block").cogroup(right.groupBy("shard", "block")).applyInArrow(
+    left = points.join(sizes, "width").withColumn("shard", F.pmod(F.xxhash64("v"), F.col("shards")).cast("int"))
+    left = left.withColumn("block", every).select("width", "shard", "block", "v", "ids")
+    right = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).withColumn("width", F.length("v"))
+    right = right.join(sizes.withColumnRenamed("width", "of"), F.col("width") == F.col("of"))
+    right = right.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))).select("width", "shard", "block", "id", "v")
+    keys = ["width", "shard", "block"]
+    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(
         _searcher(k, degree, beam, query_beam, alpha), "query_id long, vec_id long, score double"
     )
     found = found.groupBy("query_id", "vec_id").agg(F.min("score").alias("score"))

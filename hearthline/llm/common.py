@@ -25,9 +25,16 @@ class Work(Scratch):
         super().__init__(spark, f"llm-{name}")
         self._tables: list[tuple[DataFrame, str]] = []
 
-    def put(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}-{uuid.uuid4().hex}"
-        df.write.option("compression", "zstd").parquet(path)
+    def put(self, df: DataFrame, name: str, batch_rows: int | None = None) -> DataFrame:
+        """``batch_rows``: at most so many rows at a time go to this write's Python workers."""
+        path, limit = f"{self.root}/{name}-{uuid.uuid4().hex}", "spark.sql.execution.arrow.maxRecordsPerBatch"
+        before = self.spark.conf.get(limit)
+        if batch_rows:
+            self.spark.conf.set(limit, str(batch_rows))
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(limit, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self._tables.append((out, path))
         return out
@@ -142,27 +149,22 @@ def write_once(uri: str, name: str, blocks: Iterator[bytes]) -> tuple[str, int]:
 
 # ------------------------------------------------------------------------------------------------ vectors
 def usable_vectors(df: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, DataFrame]:
-    """``id, v`` (float64 bytes) of the vectors that can be compared, and ``id`` of the other rows.
+    """``id, v`` (float64 bytes, 8 a component) of the vectors that can be compared, and ``id`` of the other rows.
 
-    Not comparable: null ids, vectors that are null, empty, zero or hold null or non-finite components, and vectors of
-    another length than the longest usable one.
+    Not comparable: null ids, and vectors that are null, empty, zero or hold null or non-finite components.  Lengths may differ.
     """
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("x"))
     bad = F.exists("x", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     good = F.col("id").isNotNull() & F.col("x").isNotNull() & ~bad & F.exists("x", lambda x: x != 0)
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
-    width = rows.where("good").agg(F.max(F.size("x"))).first()[0] or 0
-    fits = F.col("good") & (F.coalesce(F.size("x"), F.lit(-1)) == width)
-    return rows.where(fits).select("id", "x").mapInArrow(_packed, "id long, v binary"), rows.where(~fits).select("id")
+    return rows.where("good").select("id", "x").mapInArrow(_packed, "id long, v binary"), rows.where("not good").select("id")
 
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        if batch.num_rows == 0:
-            continue
         flat = batch.column(1).flatten().to_numpy(zero_copy_only=False) + 0.0  # -0.0 and 0.0 are the same component
-        rows = flat.reshape(batch.num_rows, -1)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in rows], pa.binary())], ["id", "v"])
+        ends = np.cumsum([len(x) for x in batch.column(1)], dtype=np.int64)[:-1]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in np.split(flat, ends)][: batch.num_rows], pa.binary())], ["id", "v"])
 
 
 def unpacked(values) -> np.ndarray:

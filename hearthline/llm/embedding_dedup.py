@@ -17,6 +17,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -49,41 +50,51 @@ def calibrate(cosine: float, width: int, many: int, spread: float, recall: float
     return half, 1
 
 
-def _ranged(width: int, edges: np.ndarray, reach: float) -> Callable:
-    """Every vector once for each pair of ranges it takes part in."""
-    line = lines(width, 1)[0]
-    starts = np.concatenate([[-np.inf], edges])
-    last = [int(np.searchsorted(starts, (edges[i] if i < len(edges) else np.inf) + reach, "right")) - 1 for i in range(len(starts))]
-    first = [next(j for j in range(i + 1) if last[j] >= i) for i in range(len(starts))]
+def _by_width(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of each number of components."""
+    widths = pc.binary_length(batch.column("v")).to_numpy() // 8
+    for width in np.unique(widths):
+        yield int(width), batch.take(pa.array(np.flatnonzero(widths == width)))
+
+
+def _ranged(cuts: dict[int, np.ndarray], reach: Callable[[int], float]) -> Callable:
+    """Every vector once for each pair of ranges it takes part in; ``cuts`` has the inner bounds of a width's ranges."""
+
+    def met(width: int) -> tuple[np.ndarray, list[int], list[int]]:
+        edges = cuts.get(width, np.zeros(0))
+        starts = np.concatenate([[-np.inf], edges])
+        last = [int(np.searchsorted(starts, (edges[i] if i < len(edges) else np.inf) + reach(width), "right")) - 1 for i in range(len(starts))]
+        return edges, [next(j for j in range(i + 1) if last[j] >= i) for i in range(len(starts))], last
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            unit = unpacked(batch.column("v").to_pylist())
-            own = np.searchsorted(edges, unit @ line, "right")
-            source = np.concatenate([np.full(last[o] - first[o] + 1, i) for i, o in enumerate(own)])
-            other = np.concatenate([np.arange(first[o], last[o] + 1) for o in own])
-            mine = own[source]
-            take = pa.array(source)
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.minimum(mine, other)), pa.array(np.maximum(mine, other)), pa.array(mine),
-                    batch.column("id").take(take), batch.column("copies").take(take), batch.column("v").take(take),
-                ],
-                ["i", "j", "own", "id", "copies", "v"],
-            )
+            for width, part in _by_width(batch):
+                edges, first, last = met(width)
+                unit = unpacked(part.column("v").to_pylist())
+                own = np.searchsorted(edges, unit @ lines(width, 1)[0], "right")
+                source = np.concatenate([np.full(last[o] - first[o] + 1, i) for i, o in enumerate(own)])
+                other = np.concatenate([np.arange(first[o], last[o] + 1) for o in own])
+                mine = own[source]
+                take = pa.array(source)
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(np.full(len(mine), width, np.int32)), pa.array(np.minimum(mine, other)), pa.array(np.maximum(mine, other)), pa.array(mine),
+                        part.column("id").take(take), part.column("copies").take(take), part.column("v").take(take),
+                    ],
+                    ["width", "i", "j", "own", "id", "copies", "v"],
+                )
 
     return run
 
 
-def _counted(width: int, many: int, half: float, least: int, cosine: float) -> Callable:
+def _counted(many: int, spread: float, recall: float, cosine: float) -> Callable:
     """Links between two ranges: rows ``a, b`` of a spanning forest, and ``a, null, n`` with a vector's links here."""
-    directions = lines(width, many)
 
     def run(keys: tuple, table: pa.Table) -> pa.Table:
         own = table.column("own").to_numpy()
-        i, j = keys[0].as_py(), keys[1].as_py()
+        width, i, j = (k.as_py() for k in keys)
+        directions = lines(width, many)
+        half, least = calibrate(cosine, width, many, spread, recall)
         ids, copies = table.column("id").to_numpy(), table.column("copies").to_numpy()
         unit = unpacked(table.column("v").to_pylist())
         left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
@@ -132,9 +143,9 @@ def near_duplicates(
 
     Pairs found with a cosine (double precision) of ``cosine`` or more link; ``component_id`` is the smallest id reachable.
     ``many`` lines, windows of ``spread`` standard deviations of a pair at the threshold, and the count such a pair reaches
-    with probability ``recall``.  Equal vectors are one point that knows its copies.  A vector that is null, empty, zero, holds
-    null or non-finite components or has another length than the longest links with nothing.  Rows that repeat an id are
-    copies of each other where their vectors are equal.  A null id links with nothing and has no component.  Other columns
+    with probability ``recall``.  Equal vectors are one point that knows its copies.  A vector that is null, empty, zero or holds
+    null or non-finite components links with nothing, and others only with vectors of their length.  Rows that repeat an id
+    are copies of each other where their vectors are equal.  A null id links with nothing and has no component.  Other columns
     play no part; an empty table gives no row.
     """
     work = Work(vectors.sparkSession, "embedding-dedup")
@@ -142,31 +153,35 @@ def near_duplicates(
     packed = work.put(packed, "vectors")
     different = work.put(packed.groupBy("v").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "points")
     points = different
-    head = points.select("v").first()
-    if head is None:
-        width, edges = 1, np.zeros(0)
-    else:
-        width = len(head[0]) // 8
-        line = lines(width, 1)[0]
-
-        def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    x = unpacked(batch.column("v").to_pylist())
-                    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-                    v = pa.array([r.tobytes() for r in unit], pa.binary())
-                    yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("copies"), v, pa.array(unit @ line)], ["id", "copies", "v", "at"])
-
-        points = work.put(points.mapInArrow(projected, "id long, copies long, v binary, at double"), "unit")
-        cuts = max(0, math.ceil(points.count() / block) - 1)
-        # One number for each range of `block` points.
-        edges = np.unique(points.approxQuantile("at", [(k + 1) / (cuts + 1) for k in range(cuts)], 0.1 / (cuts + 1))) if cuts else np.zeros(0)
-    half, least = calibrate(cosine, width, many, spread, recall)
-    reach = 4 / spread * half
+
+    def projected(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for width, part in _by_width(batch):
+                x = unpacked(part.column("v").to_pylist())
+                unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+                v = pa.array([r.tobytes() for r in unit], pa.binary())
+                at = pa.array(unit @ lines(width, 1)[0])
+                yield pa.RecordBatch.from_arrays([part.column("id"), part.column("copies"), v, at, pa.array(np.full(len(x), width, np.int32))], ["id", "copies", "v", "at", "width"])
+
+    points = work.put(points.mapInArrow(projected, "id long, copies long, v binary, at double, width int"), "unit")
+    # One number for each range of `block` points; a width of fewer points is one range.
+    wide = points.groupBy("width").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    most = math.ceil((wide.agg(F.max("n")).first()[0] or 0) / block)
+    cuts: dict[int, np.ndarray] = {}
+    if most:
+        tenths = F.array(*(F.lit((k + 1) / most) for k in range(most - 1)))
+        marks = points.groupBy("width").agg(F.count("*").alias("n"), F.percentile_approx("at", tenths, F.lit(10 * most)).alias("marks")).where(F.col("n") > block)
+        for r in marks.collect():
+            own = math.ceil(r.n / block)
+            cuts[r.width] = np.unique([r.marks[round((k + 1) * most / own) - 1] for k in range(own - 1)])
+
+    def reach(width: int) -> float:
+        return 4 / spread * calibrate(cosine, width, many, spread, recall)[0]
+
     ranged = points.select("id", "copies", "v").mapInArrow(
-        _ranged(width, np.asarray(edges), reach), "i long, j long, own long, id long, copies long, v binary"
+        _ranged(cuts, reach), "width int, i long, j long, own long, id long, copies long, v binary"
     )
-    found = ranged.groupBy("i", "j").applyInArrow(_counted(width, many, half, least, cosine), "a long, b long, n long")
+    found = ranged.groupBy("width", "i", "j").applyInArrow(_counted(many, spread, recall, cosine), "a long, b long, n long")
     found = work.put(found, "links")
     degrees = found.where("n is not null").groupBy(F.col("a").alias("id")).agg(F.sum("n").alias("links"))
     roots = components(found.where("n is null").select("a", "b"), work)

@@ -135,11 +135,11 @@ class Model:
         A language that uses none of the word's scripts is far below; a word in scripts that no language uses says nothing.
         """
         many, langs = len(words.size), len(self.langs)
-        total = np.zeros((many, langs))
+        total = np.zeros((many, langs), np.float64 if langs <= 16 else np.float32)
         for bucket, word in words.grams(self.table.shape[1]):
             for k in range(langs):
                 total[:, k] += np.bincount(word, self.table[k][bucket], many)
-        total *= (np.minimum(words.size, 20) / (4 * words.size))[:, None]
+        total *= (np.minimum(words.size, 20) / (4 * words.size))[:, None].astype(total.dtype)
         fits = np.ones((many, langs), bool)
         if not self.allowed[np.unique(words.scripts)].all():
             for k in range(langs):
@@ -187,14 +187,40 @@ def learn(labelled: DataFrame, sample_docs: int = 20_000, buckets: int = 1 << 17
 
 
 # ------------------------------------------------------------------------------------------------ labelling
+def _by_steps(scores: np.ndarray, words: np.ndarray, penalty: float) -> np.ndarray:
+    """The same path, a word of every text at a time; room for words x languages."""
+    order = np.argsort(-words, kind="stable")
+    first = (np.cumsum(words) - words)[order]
+    many = words[order]
+    own = np.arange(scores.shape[1], dtype=np.int16)
+    back = np.zeros(scores.shape, np.int16)
+    value = scores[first].astype(np.float64)
+    for t in range(1, int(many.max())):
+        live = np.searchsorted(-many, -t, "left")  # texts of more than t words
+        top = value[:live].argmax(axis=1)
+        change = value[np.arange(live), top][:, None] - penalty
+        back[first[:live] + t] = np.where(value[:live] >= change, own, top[:, None])
+        value[:live] = np.maximum(value[:live], change) + scores[first[:live] + t]
+    path = np.zeros(len(scores), np.int16)
+    state = value.argmax(axis=1).astype(np.int16)
+    for t in range(int(many.max()) - 1, -1, -1):
+        live = np.searchsorted(-many, -t, "left")
+        path[first[:live] + t] = state[:live]
+        state[:live] = back[first[:live] + t, state[:live]]
+    return path
+
+
 def viterbi(scores: np.ndarray, words: np.ndarray, penalty: float) -> np.ndarray:
     """Best language of each word of several texts, whose words follow one another in ``scores`` (words x languages).
 
     ``words``: how many each text has, at least one.  A change of language between neighbouring words costs ``penalty``.
-    Texts are cut into strides of 64 words.  All strides are solved together, for every language that may stand before
+    With up to 16 languages texts are cut into strides of 64 words.  All strides are solved together, for every language that may stand before
     them; then the strides of each text are joined in order, the same place of all texts at a time; then the paths within
-    are read back.  So a long text takes as many steps as it has strides, not words.
+    are read back.  So a long text takes as many steps as it has strides, not words.  Solving for every language before takes
+    room for the square of the languages: with more of them, the words of all texts are taken step by step instead.
     """
+    if scores.shape[1] > 16:
+        return _by_steps(scores, words, penalty)
     langs, strides = scores.shape[1], -(-words // _STRIDE)
     first = np.cumsum(strides) - strides
     total = int(strides.sum())
@@ -233,12 +259,12 @@ def viterbi(scores: np.ndarray, words: np.ndarray, penalty: float) -> np.ndarray
     return path[row, inside % _STRIDE]
 
 
-def _parts(texts: list[str | None]) -> Iterator[list[int]]:
+def _parts(texts: list[str | None], chars: int = _BLOCK_CHARS) -> Iterator[list[int]]:
     """Indices of the texts that are there, in blocks of a bounded number of characters, or of one longer text."""
     block, size = [], 0
     for i, text in enumerate(texts):
         if text:
-            if block and size + len(text) > _BLOCK_CHARS:
+            if block and size + len(text) > chars:
                 yield block
                 block, size = [], 0
             block.append(i)
@@ -247,34 +273,49 @@ def _parts(texts: list[str | None]) -> Iterator[list[int]]:
         yield block
 
 
+_LABELS = "struct<lang_pred: string, score: double, spans: array<struct<start: int, end: int, lang: string>>>"
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
+
+
+def _labelled(texts: list[str | None], model: Model | None, penalty: float) -> pa.StructArray:
+    """Language, score and spans of some texts."""
+    lang: list[str] = [UNKNOWN] * len(texts)
+    score = np.zeros(len(texts))
+    spans: list[list[dict]] = [[] for _ in texts]
+    langs = len(model.langs) if model is not None else 0
+    # The more languages, the fewer words at a time.
+    for part in _parts(texts, max(10_000, _BLOCK_CHARS * 16 // max(langs, 16))) if langs else ():
+        words = Words([texts[i] for i in part])
+        if not len(words.size):
+            continue
+        have, count = np.unique(words.text, return_counts=True)
+        scores = model.scores(words)
+        path = viterbi(scores, count, penalty).astype(np.int64)
+        silent = ~scores.any(axis=1)  # words that speak for no language: each has an equal part of them
+        share = np.bincount(words.text * langs + path, words.size * ~silent, len(part) * langs).reshape(-1, langs)
+        share += (np.bincount(words.text, words.size * silent, len(part)) / langs)[:, None]
+        for k in have:
+            lang[part[k]] = model.langs[int(share[k].argmax())]
+            score[part[k]] = float(share[k].max() / share[k].sum())
+        edge = np.flatnonzero((np.diff(path, prepend=-1) != 0) | (np.diff(words.text, prepend=-1) != 0))
+        last = np.append(edge[1:], len(path)) - 1
+        for k, a, b, code in zip(words.text[edge], words.start[edge], words.stop[last], path[edge], strict=True):
+            spans[part[k]].append({"start": int(a), "end": int(b), "lang": model.langs[code]})
+    return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score), pa.array(spans, _SPANS)], ["lang_pred", "score", "spans"])
+
+
 def _labeller(model: Model | None, penalty: float) -> Callable:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
+    """A function of a text column; only the texts go to Python, and some hundred at a time are unpacked there."""
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            lang: list[str] = [UNKNOWN] * len(texts)
-            score = np.zeros(len(texts))
-            spans: list[list[dict]] = [[] for _ in texts]
-            for part in _parts(texts) if model is not None else ():
-                words = Words([texts[i] for i in part])
-                if not len(words.size):
-                    continue
-                have, count = np.unique(words.text, return_counts=True)
-                path = viterbi(model.scores(words), count, penalty).astype(np.int64)
-                langs = len(model.langs)
-                share = np.bincount(words.text * langs + path, words.size, len(part) * langs).reshape(-1, langs)
-                for k in have:
-                    lang[part[k]] = model.langs[int(share[k].argmax())]
-                    score[part[k]] = float(share[k].max() / share[k].sum())
-                edge = np.flatnonzero((np.diff(path, prepend=-1) != 0) | (np.diff(words.text, prepend=-1) != 0))
-                last = np.append(edge[1:], len(path)) - 1
-                for k, a, b, code in zip(words.text[edge], words.start[edge], words.stop[last], path[edge], strict=True):
-                    spans[part[k]].append({"start": int(a), "end": int(b), "lang": model.langs[code]})
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(lang), pa.array(score), pa.array(spans, kind)], ["key", "lang_pred", "score", "spans"]
-            )
+            parts = [_labelled(batch.slice(at, 512).to_pylist(), model, penalty) for at in range(0, len(batch), 512)]
+            yield pa.concat_arrays(parts) if parts else _labelled([], model, penalty)
 
-    return run
+    # Annotations decide the kind of function; they are strings in this module.
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    # Not to be run again by a filter on its result.
+    return F.arrow_udf(run, _LABELS).asNondeterministic()
 
 
 def held_out(id_col: Column, folds: int = 5) -> Column:
@@ -286,15 +327,11 @@ def identify(docs: DataFrame, model: Model | None, carry: list[str], text_col: s
     """``carry`` columns with ``lang_pred, score, spans`` for every row.
 
     ``lang_pred``: the language with most letters, ``und`` where the text is null or holds no letter; ``score``: its share
-    of the letters, 0 for ``und``; ``spans``: start, end (characters) and language of stretches, in order.
+    of the letters, 0 for ``und``; ``spans``: start, end (characters) and language of stretches, in order.  Words that no
+    learnt language's script or model tells apart count an equal part for each; of equal shares the first name wins.
     """
-    kinds = ", ".join(f"`{f.name}`: {f.dataType.simpleString()}" for f in docs.select(*carry).schema)
-    rows = docs.select(F.struct(*carry).alias("key"), F.col(text_col).cast("string").alias("text"))
-    out = rows.mapInArrow(
-        _labeller(model, penalty),
-        f"key struct<{kinds}>, lang_pred string, score double, spans array<struct<start: int, end: int, lang: string>>",
-    )
-    return out.select("key.*", "lang_pred", "score", "spans")
+    rows = docs.select(*carry, _labeller(model, penalty)(F.col(text_col).cast("string")).alias("_found"))
+    return rows.select(*carry, *(F.col("_found").getField(c).alias(c) for c in ("lang_pred", "score", "spans")))
 
 
 def learn_documents(

@@ -49,7 +49,7 @@ def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = suffixes.remove_repeats(_table(spark, sf_dir, "documents").select("doc_id", "text"), length=400)
-    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")
 
 
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

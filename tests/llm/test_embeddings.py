@@ -111,3 +111,31 @@ def test_more_neighbours_than_the_beam(spark):
     for q in range(3):
         found = {r.vec_id for r in rows if r.query_id == q}
         assert len(found) == 500 and len(found & {i for _, i in nearest(vectors, q, 500)}) > 490
+
+
+def test_vectors_of_several_lengths(spark):
+    """One longer vector takes no other out; each length is searched and linked by itself."""
+    rng = np.random.default_rng(8)
+    base = {n: rng.normal(size=(many, n)) for n, many in ((8, 300), (3, 250), (64, 1))}
+    found = {}
+    for n, rows in base.items():
+        for k, row in enumerate(rows):
+            found[1000 * n + k] = row if k % 3 else rows[max(k - 1, 0)] * 1.01
+    rows = [(i, [float(x) for x in v], 0, 0, "x") for i, v in found.items()]
+    table_ = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, id int, v string").repartition(3)
+    out = embedding_dedup.near_duplicates(table_, block=100, many=16).collect()
+    near = ann.nearest(table_, F.col("id") % 50 == 0, k=5, shard_rows=80).collect()
+    assert len(out) == len(found)
+    hits = asked = 0
+    for n in base:
+        own = {i: v for i, v in found.items() if len(v) == n}
+        links, low = cosine_links(own, 0.9)
+        got = {r.vec_id: r for r in out if r.vec_id in own}
+        assert all(got[i].n_links <= links[i] for i in own)
+        assert sum(links.values()) - sum(r.n_links for r in got.values()) <= 0.01 * sum(links.values())
+        for q in (i for i in own if i % 50 == 0):
+            wanted = {i for _, i in nearest(own, q, 5)}
+            mine = {r.vec_id for r in near if r.query_id == q}
+            assert mine <= set(own)
+            hits, asked = hits + len(wanted & mine), asked + len(wanted)
+    assert hits >= 0.9 * asked > 0

@@ -113,3 +113,38 @@ def test_rare_languages_stay_in_the_sample(spark):
     rows += [(f"rare{k}", f"seldom heard {k} {i}", 10_000 + 10 * k + i) for k in range(20) for i in range(4)]
     model = langid.learn(spark.createDataFrame(rows, "lang string, text string, key long"), sample_docs=100)
     assert model.langs == sorted({r[0] for r in rows})
+
+
+def test_paths_by_steps_are_those_by_strides():
+    rng = np.random.default_rng(3)
+    words = np.array([1, 64, 65, 300, 2, 1])
+    scores = -rng.exponential(2.0, (words.sum(), 5)).astype(np.float32)
+    assert (langid._by_steps(scores, words, 3.0) == langid.viterbi(scores, words, 3.0)).all()
+
+
+def test_many_languages_in_bounded_memory(spark):
+    """200 languages of invented words: most texts are told, and the worker stays under a gigabyte."""
+    import resource
+
+    rng = random.Random(4)
+    kinds = {f"l{i:03d}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(3, 8))) for _ in range(12)] for i in range(200)}
+    texts = [(k, " ".join(rng.choice(w) for _ in range(40))) for k, w in kinds.items() for _ in range(6)]
+    table = np.full((1 << 14, 200), 0.1)
+    for j, (k, w) in enumerate(kinds.items()):
+        found = langid.Words([" ".join(w)])
+        for bucket, _ in found.grams(1 << 14):
+            np.add.at(table[:, j], bucket, 1)
+    letters = np.ones((len(langid._characters()[2]), 200), bool)
+    model = langid.Model(list(kinds), np.log(table / table.sum(axis=0)).astype(np.float32), letters)
+    before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+    out = langid._labelled([t for _, t in texts] + [" ".join(t for _, t in texts) * 3], model, 6.0).field("lang_pred").to_pylist()
+    assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 1_000_000
+    assert np.mean([a == b for a, (b, _) in zip(out, texts)]) > 0.95
+
+
+def test_a_script_that_no_language_uses_says_nothing(spark, docs):
+    model = langid.learn_documents(docs)
+    rows = spark.createDataFrame([(1, "ελλάδα μόνο"), (2, "the cat ελλάδα")], "doc_id long, text string")
+    alone, mixed = langid.identify(rows, model, ["doc_id"]).orderBy("doc_id").collect()
+    assert alone.lang_pred == "de" and abs(alone.score - 1 / 3) < 1e-9
+    assert mixed.lang_pred == "en" and abs(mixed.score - (6 + 6 / 3) / 12) < 1e-9

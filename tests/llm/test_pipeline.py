@@ -12,7 +12,6 @@ import __spark_entry__ as entry
 import corpus_pipeline
 
 from .brute import groups, repeats
-from .brute import simhash as fingerprint
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,12 +43,18 @@ def test_language(stages):
     assert (both.lang == both.lang_new).mean() > 0.95 and (both.text == both.text_new).all()
 
 
+def shingles(text):
+    words = text.encode().lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
 def test_near_duplicates(stages):
+    """Sets of five-word shingles with a Jaccard similarity of 0.8 or more link; of each group one row stays."""
     before, after = stages[1][1], stages[2][1]
-    prints = [fingerprint(t) for t in before.text]
-    near = [(i, j) for i in range(len(prints)) for j in range(i) if (prints[i] ^ prints[j]).bit_count() <= 4]
+    sets = [shingles(t) for t in before.text]
+    near = [(i, j) for i, a in enumerate(sets) for j, b in enumerate(sets[:i]) if a == b or 5 * len(a & b) >= 4 * len(a | b)]
     best = {}
-    for doc_id, root in zip(before.doc_id, groups(len(prints), near), strict=True):
+    for doc_id, root in zip(before.doc_id, groups(len(sets), near), strict=True):
         best[root] = min(best.get(root, doc_id), doc_id)
     assert sorted(after.doc_id) == sorted(best.values())
 

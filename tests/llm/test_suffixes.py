@@ -99,3 +99,25 @@ def test_merge_is_a_sort_that_knows_prefixes():
         for r in runs:
             shared, rest = suffixes.front_code(r)
             assert suffixes.decode(np.array(shared), np.array([len(x) for x in rest]), b"".join(rest)) == r
+
+
+def test_planted_passages_go_and_clean_texts_stay(spark):
+    """Passages of 400 bytes or more that several texts share are gone from all of them; other texts lose nothing."""
+    import random
+
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(3, 9))) for _ in range(n))
+    passages = [p for p in (words(n) for n in range(55, 120, 3)) if len(p) >= 400]
+    rows, holds = [], {}
+    for i in range(120):
+        text = words(rng.randint(10, 200))
+        if i % 2:
+            holds[i] = passages[i // 2 % len(passages)]
+            text = f"{text} {holds[i]} {words(20)}"
+        rows.append((i, text))
+    out = {r.doc_id: r for r in suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        if i in holds:
+            assert holds[i] not in out[i].kept and len(out[i].kept) < len(text) - 390
+        else:
+            assert out[i].kept == text and out[i].n_removed == 0
