@@ -100,7 +100,12 @@ def changes(records: DataFrame, now: datetime, order: str = "ord") -> DataFrame:
 
 
 def current_state(change_table: DataFrame, version: str = "batch_id") -> DataFrame:
-    """The state as the fold of its change table: what ``upsert_posts`` gives.
+    """The state as the fold of its change table: what ``upsert_posts`` gives."""
+    return fold_changes(change_table, version).select(*[f.name for f in schemas.POSTS.fields])
+
+
+def fold_changes(change_table: DataFrame, version: str = "batch_id") -> DataFrame:
+    """One row per URL: columns and ``version`` of its newest change, attempts summed, the earliest ``first_seen``.
 
     A run changes a URL once, so (url, version) names a row: the newest version of each URL is found on narrow columns by
     a map-side combined hash aggregate, and only then are the rows that won fetched, their texts neither sorted nor folded.
@@ -108,14 +113,15 @@ def current_state(change_table: DataFrame, version: str = "batch_id") -> DataFra
     last = change_table.groupBy("url").agg(
         F.max(version).alias(version), F.sum("attempts").cast("int").alias("attempts"), F.min("first_seen").alias("first_seen")
     )
-    rows = change_table.select("url", version, *REPLACED, "last_processed")
-    return rows.join(last, ["url", version]).select(*[f.name for f in schemas.POSTS.fields])
+    return change_table.drop("attempts", "first_seen").join(last, ["url", version])
 
 
 def narrow_state(change_table: DataFrame, version: str = "batch_id") -> DataFrame:
-    """The three columns of the state that decide what to skip, without reading any payload."""
+    """The columns of the state that decide what to skip, and when a URL was first seen."""
     return change_table.groupBy("url").agg(
-        F.max_by("verdict", version).alias("verdict"), F.sum("attempts").cast("int").alias("attempts")
+        F.max_by("verdict", version).alias("verdict"),
+        F.sum("attempts").cast("int").alias("attempts"),
+        F.min("first_seen").alias("first_seen"),
     )
 
 

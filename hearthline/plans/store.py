@@ -1,20 +1,24 @@
 """Where the jobs keep their tables.
 
-Results of a run are Parquet tables partitioned by ``batch_id``: ``changes`` (what was learnt about each URL), ``listings``
-(what was found worth publishing), ``addresses`` (what was looked up) and ``usage`` (calls made).  Writing a run again
-replaces its own partitions, so a repeated run changes nothing.
-
-``compact`` folds finished runs into a base version of the state and of the address cache; reading then does not grow with
-the number of runs.  The base before the newest stays, and so do the partitions above it: a run that comes after it may be
-repeated, and what was folded from its first attempt is then dropped.  An older run is refused.
-
-``published`` is the deduplicated view.  Each version continues the one before with the listings of later runs.
+A run writes ``addresses`` (what was looked up), ``usage`` (calls made), ``listings`` (what was found worth publishing),
+``changes`` (what was learnt about each URL) and ``payload`` (texts and model answers) into folders of new names, and one entry
+of the commit log then names them all.  A reader takes the newest entry and sees a run whole or not at all.  Writing a run
+again names other folders for it, so a repeated run changes nothing; two writers of one run can't both win.
+
+The history is laid out in buckets of the URL's hash.  A run reads only the buckets its own URLs fall in, and ``compact``
+folds finished runs into a base of the buckets that they touched, the others being carried over by name.  The base before the
+newest stays, and so do the runs above it: such a run may be repeated, and what was folded from its first attempt is then
+dropped.  An older run is refused.
+
+Payload lies in months of the day its URL was first seen.  Old payload is hidden at once and goes by whole months; no other file
+is touched.  ``published`` is the deduplicated view.  Each version continues the one before with the listings of later runs.
 """
 
 from __future__ import annotations
 
-import re
-from datetime import datetime
+import uuid
+from collections.abc import Iterable
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,152 +26,225 @@ from pyspark.sql import types as T
 
 from hearthline import params as P
 from hearthline import schemas
-from hearthline.functions.dates import clock
+from hearthline.functions.dates import clock, month_key
 from hearthline.operators import addresses, dedupe, state as history
 from hearthline.plans import jobs
-from hearthline.sources import tables
+from hearthline.sources import commits, tables
+from hearthline.sources.commits import Conflict
 
 _LAST_BATCH = 9223372036854775807
-_UP_TO = re.compile(r"upto(-?\d+)-")
+_PIECES = 16  # folders of closed runs that a month or the listings gather before they are merged
 # A published row remembers its first position, which decides between rows of one date.
 _PLACE = (("first_batch", T.LongType()), ("first_seen_at", T.TimestampNTZType()), ("first_url", T.StringType()))
 _PUBLISHED = T.StructType([*schemas.LISTINGS.fields, *(T.StructField(n, t) for n, t in _PLACE)])
+_NAMES = [f.name for f in schemas.CHANGES.fields]
+
+
+def _with_batch(schema: T.StructType) -> T.StructType:
+    return T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
+
+
+def _entry(found: dict) -> dict:
+    """An entry with all its parts."""
+    empty = {"batches": {}, "bases": [], "views": [], "replayed": [], "closed": -1, "cutoff": None, "named": {}, "kept": {"listings": [], "payload": {}}}
+    return empty | found
 
 
 class Store:
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, buckets: int = 32):
+        """``buckets``: into how many the URLs are dealt; fixed by the first commit.  Choose some hundred MB of state each."""
         self.spark = spark
         self.root = root.rstrip("/")
+        self.log = commits.CommitLog(spark, self.root)
+        self._buckets = buckets
+
+    # ------------------------------------------------------------------------------------------ entries
+    def _now(self) -> dict:
+        return _entry(self.log.last()[1])
+
+    def _commit(self, change) -> None:
+        def whole(found: dict) -> dict:
+            entry = _entry(found)
+            entry.setdefault("buckets", self._buckets)
+            change(entry)
+            return entry
 
-    # ------------------------------------------------------------------------------------------ versions
-    def _folded(self, table: str, before: int = _LAST_BATCH) -> tuple[int, str | None]:
-        """The newest base of a table that holds nothing from ``before`` on: (last batch in it, version)."""
-        found = [(int(_UP_TO.match(name)[1]), n, name) for n, name in tables.versions(self.spark, f"{self.root}/{table}")]
-        last, _, name = max((f for f in found if f[0] < before), default=(-1, 0, None))
-        return last, name
-
-    def _drop_from(self, table: str, batch_id: int) -> None:
-        """Remove the bases that hold a batch which is about to be written again."""
-        for _, name in tables.versions(self.spark, f"{self.root}/{table}"):
-            if int(_UP_TO.match(name)[1]) >= batch_id:
-                tables.forget(self.spark, f"{self.root}/{table}", name)
-
-    def _fold(self, table: str, rows: DataFrame, up_to: int, keep: int = 2) -> None:
-        """Write a base; only the newest ``keep`` stay."""
-        root = f"{self.root}/{table}"
-        tables.rewrite(rows, root, f"upto{up_to}")
-        for _, name in tables.versions(self.spark, root)[:-keep]:
-            tables.forget(self.spark, root, name)
-
-    def _marks(self, kind: str) -> list[int]:
-        path, fs = tables._hadoop_path(self.spark, f"{self.root}/{kind}")
-        return [int(s.getPath().getName()) for s in fs.listStatus(path)] if fs.exists(path) else []
-
-    def _mark(self, kind: str, batch_id: int) -> None:
-        path, fs = tables._hadoop_path(self.spark, f"{self.root}/{kind}/{batch_id}")
-        fs.createNewFile(path)
+        self.log.commit(whole)
+
+    def bucket(self, entry: dict, url=None):
+        """The bucket of a URL column, or of ``url``."""
+        return F.pmod(F.xxhash64(F.col("url") if url is None else url), F.lit(entry.get("buckets", self._buckets))).cast("int")
+
+    @staticmethod
+    def _base(entry: dict, before: int = _LAST_BATCH) -> dict:
+        """The newest base that holds nothing from ``before`` on."""
+        return max((b for b in entry["bases"] if b["up_to"] < before), key=lambda b: b["up_to"], default={"up_to": -1, "state": {}, "cache": None, "usage": None})
+
+    @staticmethod
+    def _runs(entry: dict, before: int, after: int = -1) -> dict[int, dict]:
+        return {int(b): t for b, t in entry["batches"].items() if after < int(b) < before}
 
     def is_closed(self, batch_id: int) -> bool:
-        """Whether a run is recorded for good: folded, and its own partitions removed."""
-        return batch_id <= max(self._marks("_removed"), default=-1)
-
-    def _remove_batches(self, up_to: int) -> None:
-        """Remove partitions of folded batches, once a mark says that they are no longer to be read or repeated."""
-        self._mark("_removed", up_to)
-        for table in ("changes", "addresses"):
-            folder, fs = tables._hadoop_path(self.spark, f"{self.root}/{table}")
-            for status in fs.listStatus(folder) if fs.exists(folder) else []:
-                name = status.getPath().getName()
-                if name.startswith("batch_id=") and int(name.partition("=")[2]) <= up_to:
-                    fs.delete(status.getPath(), True)
+        """Whether a run is recorded for good: folded, and not to be written again."""
+        return batch_id <= self._now()["closed"]
 
     # ------------------------------------------------------------------------------------------ reading
-    def _batches(self, table: str, schema: T.StructType, before: int, after: int = -1) -> DataFrame:
-        """Rows of the runs between two batches, neither included; other partitions are not listed."""
-        folder = f"{self.root}/{table}"
-        path, fs = tables._hadoop_path(self.spark, folder)
-        if not fs.exists(path):
-            return self.spark.createDataFrame([], schema).withColumn("batch_id", F.lit(0).cast("bigint"))
-        full = T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
-        rows = self.spark.read.schema(full).parquet(folder)
-        return rows.filter((F.col("batch_id") < before) & (F.col("batch_id") > after))
-
-    def changes(self, before: int = _LAST_BATCH) -> DataFrame:
-        """The newest usable base and later changes, one schema."""
-        done, version = self._folded("base", before)
-        later = self._batches("changes", schemas.POSTS, before, done)
-        if version is None:
-            return later
-        base = tables.read(self.spark, f"{self.root}/base", schemas.POSTS, version)
-        return base.withColumn("batch_id", F.lit(done).cast("bigint")).unionByName(later)
+    def _read(self, paths: Iterable[str | None], schema: T.StructType) -> DataFrame:
+        found = [f"{self.root}/{p}" for p in paths if p]
+        return self.spark.read.schema(schema).parquet(*found) if found else self.spark.createDataFrame([], schema)
+
+    def _batches(self, table: str, schema: T.StructType, before: int = _LAST_BATCH, after: int = -1, entry: dict | None = None) -> DataFrame:
+        """Rows of the runs between two batches, neither included; other runs' folders are not opened."""
+        entry = entry or self._now()
+        paths = [t.get(table) for t in self._runs(entry, before, after).values()]
+        if table == "listings":
+            paths += [p for b, p in entry["kept"]["listings"] if b > after]
+            # A merged folder holds several closed runs.
+            return self._read(paths, _with_batch(schema)).where((F.col("batch_id") < before) & (F.col("batch_id") > after))
+        return self._read(paths, _with_batch(schema))
+
+    def _changes(self, entry: dict, before: int = _LAST_BATCH, buckets: list[int] | None = None) -> DataFrame:
+        """The newest usable base and later changes; of the given buckets only, whose files alone are opened."""
+        base = self._base(entry, before)
+        runs = self._runs(entry, before, base["up_to"]).values()
+        if buckets is None:
+            return self._read([*base["state"].values(), *(t["changes"] for t in runs)], schemas.CHANGES)
+        wanted = set(buckets)
+        paths = [p for b, p in base["state"].items() if int(b) in wanted]
+        paths += [t["changes"] for t in runs if wanted & set(t["buckets"])]
+        return self._read(paths, schemas.CHANGES).where(F.col("bucket").isin(sorted(wanted)))
+
+    def _touched(self, entry: dict, urls: DataFrame) -> list[int]:
+        """Buckets of some URLs: no more numbers than there are buckets."""
+        return sorted(r[0] for r in urls.select(self.bucket(entry)).distinct().collect())
+
+    def _payload(self, entry: dict, before: int = _LAST_BATCH) -> DataFrame:
+        """Texts and answers that are not too old, by URL and run."""
+        months = [m for t in self._runs(entry, before).values() for m in t["payload"].values()]
+        return self._read([*months, *(p for parts in entry["kept"]["payload"].values() for _, p in parts)], schemas.PAYLOAD)
 
     def state(self, before: int = _LAST_BATCH) -> DataFrame:
-        return history.current_state(self.changes(before))
+        """The newest row of each URL, with its payload where that is not past its age."""
+        entry = self._now()
+        rows = history.fold_changes(self._changes(entry, before)).join(self._payload(entry, before), ["url", "batch_id"], "left")
+        if entry["cutoff"]:
+            young = F.col("first_seen") >= F.lit(datetime.fromisoformat(entry["cutoff"])).cast("timestamp_ntz")
+            rows = rows.withColumns({c: F.when(young, F.col(c)) for c in schemas.PAYLOAD_COLUMNS})
+        return rows.select(*schemas.POSTS.names)
 
     def narrow_state(self, before: int = _LAST_BATCH, urls: DataFrame | None = None) -> DataFrame:
-        """Verdict and attempts, of all posts or of the given URLs only: the history is cut to them before it is folded."""
-        rows = self.changes(before).select("url", "verdict", "attempts", "batch_id")
-        if urls is not None:
-            rows = rows.join(urls.select("url"), "url", "left_semi")
-        return history.narrow_state(rows)
+        """Verdict, attempts and first sight, of all posts or of the given URLs only: only their buckets are read."""
+        entry = self._now()
+        if urls is None:
+            return history.narrow_state(self._changes(entry, before))
+        rows = self._changes(entry, before, self._touched(entry, urls))
+        return history.narrow_state(rows.join(urls.select("url"), "url", "left_semi"))
 
     def cache(self, before: int = _LAST_BATCH) -> DataFrame:
         """The address cache: the latest row of each address."""
-        done, version = self._folded("cache_base", before)
-        rows = self._batches("addresses", schemas.ADDRESS_CACHE, before, done)
-        if version is None:
-            base = self.spark.createDataFrame([], schemas.ADDRESS_CACHE)
-        else:
-            base = tables.read(self.spark, f"{self.root}/cache_base", schemas.ADDRESS_CACHE, version)
-        return history.upsert_cache(base, rows)
+        entry = self._now()
+        base = self._base(entry, before)
+        rows = self._batches("addresses", schemas.ADDRESS_CACHE, before, base["up_to"], entry)
+        return history.upsert_cache(self._read([base["cache"]], schemas.ADDRESS_CACHE), rows)
 
     def usage(self, before: int = _LAST_BATCH) -> DataFrame:
         """Calls made in each month."""
-        rows = self._batches("usage", schemas.API_USAGE, before)
-        return rows.groupBy("month").agg(F.sum("calls").alias("calls"))
+        entry = self._now()
+        base = self._base(entry, before)
+        rows = self._batches("usage", schemas.API_USAGE, before, base["up_to"], entry).drop("batch_id")
+        return rows.unionByName(self._read([base["usage"]], schemas.API_USAGE)).groupBy("month").agg(F.sum("calls").alias("calls"))
 
     def listings(self, before: int = _LAST_BATCH) -> DataFrame:
         """What runs found worth publishing, whether or not it is still published."""
         return self._batches("listings", schemas.LISTINGS, before)
 
     def published(self, before: int = _LAST_BATCH) -> DataFrame:
-        return self._published(before)[1].select(*schemas.LISTINGS.names)
+        return self._published(self._now(), before)[1].select(*schemas.LISTINGS.names)
+
+    def snapshot(self, name: str) -> DataFrame:
+        """The published view under a name given by ``replay``."""
+        return self._read([self._now()["named"][name]], _PUBLISHED).select(*schemas.LISTINGS.names)
 
-    def _published(self, before: int = _LAST_BATCH) -> tuple[int, DataFrame]:
-        done, version = self._folded("published", before)
-        cleared = max((b - 1 for b in self._marks("_replayed") if b < before), default=-1)
-        if version is None or done <= cleared:  # a replay starts from nothing
+    def _published(self, entry: dict, before: int = _LAST_BATCH) -> tuple[int, DataFrame]:
+        view = max((v for v in entry["views"] if v["up_to"] < before), key=lambda v: v["up_to"], default={"up_to": -1, "path": None})
+        cleared = max((b - 1 for b in entry["replayed"] if b < before), default=-1)
+        if view["up_to"] <= cleared:  # a replay starts from nothing
             return cleared, self.spark.createDataFrame([], _PUBLISHED)
-        return done, tables.read(self.spark, f"{self.root}/published", _PUBLISHED, version)
+        return view["up_to"], self._read([view["path"]], _PUBLISHED)
 
-    def _to_publish(self, before: int = _LAST_BATCH) -> DataFrame:
+    def _to_publish(self, entry: dict, before: int = _LAST_BATCH) -> DataFrame:
         """The published rows and those of later runs, each with its first position."""
-        done, rows = self._published(before)
-        later = self._batches("listings", schemas.LISTINGS, before, done)
+        done, rows = self._published(entry, before)
+        later = self._batches("listings", schemas.LISTINGS, before, done, entry)
         return rows.unionByName(
             later.withColumns({"first_batch": F.col("batch_id"), "first_seen_at": F.col("scanned_at"), "first_url": F.col("url")}).drop("batch_id")
         )
 
     # ------------------------------------------------------------------------------------------ writing
-    def _write(self, df: DataFrame, table: str, batch_id: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.root}/{table}/batch_id={batch_id}")
+    def _write(self, df: DataFrame, table: str, batch_id: int, by: str | None = None) -> str:
+        """Write rows into a folder of a new name; nobody reads it before an entry names it."""
+        folder = f"data/{table}-{batch_id}-{uuid.uuid4().hex}"
+        writer = df.write.partitionBy(by) if by else df.write
+        writer.parquet(f"{self.root}/{folder}")
+        return folder
+
+    def _parts(self, folder: str, by: str) -> dict[str, str]:
+        """The partitions of a folder: value and path."""
+        path, fs = commits.hadoop_path(self.spark, f"{self.root}/{folder}")
+        names = (s.getPath().getName() for s in fs.listStatus(path))
+        return {n.partition("=")[2]: f"{folder}/{n}" for n in names if n.startswith(f"{by}=")}
+
+    def _stored(self, entry: dict, batch_id: int, posts: DataFrame) -> dict:
+        """Write a run's posts (columns of ``POSTS``) as changes by bucket and payload by month."""
+        rows = posts.withColumns({"bucket": self.bucket(entry), "batch_id": F.lit(batch_id).cast("bigint")})
+        changes = self._write(rows.select(*_NAMES).sortWithinPartitions("bucket"), "changes", batch_id)
+        narrow = self._read([changes], schemas.CHANGES)
+        touched = sorted(r[0] for r in narrow.select("bucket").distinct().collect())
+        seen = history.narrow_state(self._changes(entry, batch_id, touched).join(narrow.select("url"), "url", "left_semi"))
+        dated = rows.join(seen.select("url", F.col("first_seen").alias("_seen")), "url", "left")
+        dated = dated.withColumn("month", month_key(F.least("first_seen", "_seen"))).select(*schemas.PAYLOAD.names, "month")
+        payload = self._parts(self._write(dated, "payload", batch_id, "month"), "month")
+        return {"changes": changes, "buckets": touched, "payload": payload}
+
+    def _add(self, batch_id: int, started: dict, run: dict, replayed: bool = False) -> None:
+        """One commit for all that a run wrote."""
+
+        def change(entry: dict) -> None:
+            self._refuse_closed(entry, batch_id)
+            if entry["batches"].get(str(batch_id)) != started["batches"].get(str(batch_id)):
+                raise Conflict(f"another writer has recorded batch {batch_id}")
+            entry["batches"][str(batch_id)] = run
+            for kind in ("bases", "views"):  # what holds the run's first attempt
+                entry[kind] = [x for x in entry[kind] if x["up_to"] < batch_id]
+            entry["replayed"] = sorted({*entry["replayed"], batch_id}) if replayed else [b for b in entry["replayed"] if b != batch_id]
+
+        self._commit(change)
+
+    @staticmethod
+    def _refuse_closed(entry: dict, batch_id: int) -> None:
+        if batch_id <= entry["closed"]:
+            raise ValueError(f"batch {batch_id} has been folded away and can't be written again")
 
-    def record(self, batch_id: int, outcome: jobs.Outcome, at: datetime) -> None:
-        """Keep a run's addresses and calls, its listings, then what it learnt about its posts.
+    def record(self, batch_id: int, outcome: jobs.Outcome, at: datetime, started: dict | None = None, replayed: bool = False) -> None:
+        """Keep a run's addresses and calls, its listings and what it learnt about its posts, in one commit.
 
-        The posts come last: a run that stops before them is still to be done.  Their texts are joined in that one write.
-        The records are read twice and should be written ones.
+        The records are read twice and should be written ones; texts are joined in the write that keeps them.
         """
-        if self.is_closed(batch_id):
-            raise ValueError(f"batch {batch_id} has been folded away and can't be written again")
-        for table in ("base", "cache_base", "published"):
-            self._drop_from(table, batch_id)
-        self._write(addresses.new_cache_rows(outcome.resolved, clock(at)), "addresses", batch_id)
+        started = started or self._now()
+        self._refuse_closed(started, batch_id)
+        number = F.lit(batch_id).cast("bigint")
+        run = {"addresses": self._write(addresses.new_cache_rows(outcome.resolved, clock(at)).withColumn("batch_id", number), "addresses", batch_id)}
         if outcome.calls is not None:
-            self._write(outcome.calls, "usage", batch_id)
-        self._write(jobs.new_listings(outcome.records, at), "listings", batch_id)
+            run["usage"] = self._write(outcome.calls.withColumn("batch_id", number), "usage", batch_id)
+        run["listings"] = self._write(jobs.new_listings(outcome.records, at).withColumn("batch_id", number), "listings", batch_id)
         learnt = history.changes(outcome.records.withColumn("raw_text", F.lit(None).cast("string")), at).drop("raw_text")
-        self._write(learnt.join(outcome.texts, "url").select(*schemas.POSTS.names), "changes", batch_id)
+        run |= self._stored(started, batch_id, learnt.join(outcome.texts, "url").select(*schemas.POSTS.names))
+        self._add(batch_id, started, run, replayed)
+
+    def load(self, batch_id: int, posts: DataFrame) -> None:
+        """Take over a state from elsewhere (columns of ``POSTS``, a row per URL) as a run of its own."""
+        entry = self._now()
+        self._add(batch_id, entry, self._stored(entry, batch_id, tables.check_schema(posts, schemas.POSTS)))
 
     def _lookups(self, lookups: jobs.Lookups, batch_id: int) -> jobs.Lookups:
         """The caller's services with this store's cache and usage as they were before the run."""
@@ -176,13 +253,15 @@ class Store:
             cache = history.upsert_cache(lookups.cache, cache)
         return jobs.Lookups(cache, lookups.geocodes, lookups.routes, self.usage(batch_id))
 
-    def _run(self, name: str, batch_id: int, as_of: datetime, job) -> None:
+    def _run(self, name: str, batch_id: int, as_of: datetime, job, replayed: bool = False) -> None:
         """Record a job's outcome; its scratch tables go in any case."""
+        started = self._now()
+        self._refuse_closed(started, batch_id)
         scratch = tables.Scratch(self.spark, f"{name}-{batch_id}")
         try:
             found = job(scratch)
             records = scratch(found.records, "records")
-            self.record(batch_id, jobs.Outcome(records, found.resolved, found.calls, found.texts), as_of)
+            self.record(batch_id, jobs.Outcome(records, found.resolved, found.calls, found.texts), as_of, started, replayed)
         finally:
             scratch.drop()
 
@@ -199,8 +278,8 @@ class Store:
         """Screen a feed against everything recorded before this run, and record the outcome."""
 
         def job(scratch: tables.Scratch) -> jobs.Outcome:
-            urls = scratch(posts_in.select("url").distinct(), "urls")
-            listed = self._to_publish(batch_id).select("url").join(urls, "url", "left_semi")
+            urls = scratch(posts_in.where("url is not null").select("url").distinct(), "urls")
+            listed = self._to_publish(self._now(), batch_id).select("url").join(urls, "url", "left_semi")
             state = self.narrow_state(batch_id, urls)
             known = self._lookups(lookups, batch_id)
             return jobs.screen(posts_in, state, listed, extractor, known, as_of, scratch, params, carry)
@@ -221,7 +300,7 @@ class Store:
 
         def job(scratch: tables.Scratch) -> jobs.Outcome:
             known = self._lookups(lookups, batch_id)
-            listed = self._to_publish(batch_id).select("url")
+            listed = self._to_publish(self._now(), batch_id).select("url")
             return jobs.reprocess(self.state(batch_id), listed, extractor, known, as_of, scratch, params, verdicts, carry)
 
         self._run("reprocess", batch_id, as_of, job)
@@ -238,72 +317,153 @@ class Store:
     ) -> DataFrame:
         """Run every stored post through the present rules and publish only what passes them.
 
-        The published table is copied to a snapshot first, then cleared of all that earlier runs found, then filled from
-        this run's listings; the state takes the new verdicts.
+        The published table gets the name ``before-<batch>`` first, by which it stays readable; no row is copied.  The commit
+        of the run's listings also clears it of all that earlier runs found; the state takes the new verdicts.
         """
-        root = f"{self.root}/published"
-        path, fs = tables._hadoop_path(self.spark, f"{root}/snapshot=before-{batch_id}")
-        if not fs.exists(path):
-            tables.snapshot(self.spark, root, _PUBLISHED, f"before-{batch_id}")
+
+        def name(entry: dict) -> None:
+            newest = max(entry["views"], key=lambda v: v["up_to"], default={"path": None})
+            entry["named"].setdefault(f"before-{batch_id}", newest["path"])
+
+        self._commit(name)
 
         def job(scratch: tables.Scratch) -> jobs.Outcome:
             known = self._lookups(lookups, batch_id)
             return jobs.replay(self.state(batch_id), extractor, known, as_of, scratch, params, carry)
 
-        self._run("replay", batch_id, as_of, job)
-        self._mark("_replayed", batch_id)
+        self._run("replay", batch_id, as_of, job, replayed=True)
         return self.publish(as_of, params)
 
+    # ------------------------------------------------------------------------------------------ upkeep
     def last_batch(self) -> int:
-        found = self._batches("changes", schemas.POSTS, _LAST_BATCH).agg(F.max("batch_id")).first()[0]
-        return max(self._folded("base")[0], -1 if found is None else found)
+        entry = self._now()
+        return max([self._base(entry)["up_to"], *map(int, entry["batches"])])
+
+    @staticmethod
+    def _same_runs(then: dict, now: dict, up_to: int) -> None:
+        if Store._runs(then, up_to + 1) != Store._runs(now, up_to + 1) or then["closed"] != now["closed"]:
+            raise Conflict(f"runs up to {up_to} have changed meanwhile")
 
     def compact(self, up_to: int, as_of: datetime | None = None, params: P.ScreenParams = P.ScreenParams(), keep: int = 2) -> None:
-        """Fold the runs up to a batch into new bases; nothing if a base holds them already.
+        """Fold the runs up to a batch into a new base; nothing if a base holds them already.
 
-        With ``as_of``, old rows lose their payload.  Of bases, the newest ``keep`` stay, and only partitions above the
-        oldest of them; with ``keep=1`` no run up to here can be repeated.
+        Only buckets that those runs touched are read and written.  With ``as_of``, payload past its age goes.  Of bases, the
+        newest ``keep`` stay, and only runs above the oldest of them; with ``keep=1`` no run up to here can be repeated.
         """
-        done, version = self._folded("base")
-        if up_to < done or (up_to == done and version is not None and as_of is None and keep > 1):
-            return
-        folded = history.current_state(self.changes(up_to + 1))
+        entry = self._now()
+        base = self._base(entry)
+        runs = self._runs(entry, up_to + 1, base["up_to"])
+        if up_to > base["up_to"] and runs:
+            touched = sorted({b for t in runs.values() for b in t["buckets"]})
+            folded = history.fold_changes(self._changes(entry, up_to + 1, touched)).select(*_NAMES)
+            # The bucket stays a column of its own, so a folder is read like any other.
+            folder = self._write(folded.withColumn("part", F.col("bucket")).repartition("part"), "state", up_to, "part")
+            rows = self._batches("addresses", schemas.ADDRESS_CACHE, up_to + 1, base["up_to"], entry)
+            cache = self._write(history.upsert_cache(self._read([base["cache"]], schemas.ADDRESS_CACHE), rows), "cache", up_to)
+            new = {"up_to": up_to, "state": base["state"] | self._parts(folder, "part"), "cache": cache, "usage": self._write(self.usage(up_to + 1), "usage", up_to)}
+
+            def add(now: dict) -> None:
+                self._same_runs(entry, now, up_to)
+                now["bases"] = sorted([*(b for b in now["bases"] if b["up_to"] < up_to), new], key=lambda b: b["up_to"])
+
+            self._commit(add)
+        self._commit(lambda now: self._close(now, keep))
         if as_of is not None:
-            folded = history.retain(folded, as_of, params)
-        cache = self.cache(up_to + 1)
-        self._fold("cache_base", cache, up_to, keep)
-        self._fold("base", folded, up_to, keep)
-        kept = tables.versions(self.spark, f"{self.root}/base")
-        if len(kept) >= keep:
-            self._remove_batches(int(_UP_TO.match(kept[0][1])[1]))
+            self.retain(as_of, params)
+        self._merge()
+
+    @staticmethod
+    def _close(entry: dict, keep: int) -> None:
+        """Drop bases beyond the newest ``keep``, and the runs that can't be repeated any more, but for listings and payload."""
+        entry["bases"] = entry["bases"][-keep:]
+        if len(entry["bases"]) < keep:
+            return
+        entry["closed"] = max(entry["closed"], entry["bases"][0]["up_to"])
+        for b in sorted(map(int, entry["batches"])):
+            if b <= entry["closed"]:
+                run = entry["batches"].pop(str(b))
+                if run.get("listings"):
+                    entry["kept"]["listings"].append([b, run["listings"]])
+                for month, path in run["payload"].items():
+                    entry["kept"]["payload"].setdefault(month, []).append([b, path])
+
+    def _merge(self) -> None:
+        """Make one folder of many small ones of closed runs: of the listings, and of a month's payload its newest rows."""
+        entry = self._now()
+        kept, merged = entry["kept"], {}
+        if len(kept["listings"]) > _PIECES:
+            last = max(b for b, _ in kept["listings"])
+            merged["listings"] = [[last, self._write(self._read((p for _, p in kept["listings"]), _with_batch(schemas.LISTINGS)), "listings", last)]]
+        for month, parts in kept["payload"].items():
+            if len(parts) > _PIECES:
+                last, rows = max(b for b, _ in parts), self._read((p for _, p in parts), schemas.PAYLOAD)
+                newest = rows.groupBy("url").agg(F.max("batch_id").alias("batch_id"))
+                merged.setdefault("payload", {})[month] = [[last, self._write(rows.join(newest, ["url", "batch_id"]).select(*schemas.PAYLOAD.names), "payload", last)]]
+        if not merged:
+            return
+
+        def change(now: dict) -> None:
+            if now["kept"] != kept:
+                raise Conflict("closed runs have changed meanwhile")
+            now["kept"] = {"listings": merged.get("listings", kept["listings"]), "payload": kept["payload"] | merged.get("payload", {})}
+
+        self._commit(change)
+
+    def retain(self, as_of: datetime, params: P.ScreenParams = P.ScreenParams()) -> None:
+        """Hide payload of posts first seen too long ago, and drop the months that hold no other; no data is written."""
+        cutoff = as_of - timedelta(days=params.max_age_days)
+
+        def change(entry: dict) -> None:
+            entry["cutoff"] = max(entry["cutoff"] or "", cutoff.isoformat())
+            month = entry["cutoff"][:7]
+            for run in entry["batches"].values():
+                run["payload"] = {m: p for m, p in run["payload"].items() if m >= month}
+            entry["kept"]["payload"] = {m: p for m, p in entry["kept"]["payload"].items() if m >= month}
+
+        self._commit(change)
+
+    def vacuum(self, keep: int = 10) -> None:
+        """Remove log entries but the newest ``keep``, and the folders that none of those names; readers of older ones end."""
+        for folder in self.log.forget(keep, lambda e: set(commits.folders(e))):
+            path, fs = commits.hadoop_path(self.spark, f"{self.root}/{folder}")
+            fs.delete(path, True)
 
     def publish(self, as_of: datetime, params: P.ScreenParams = P.ScreenParams()) -> DataFrame:
         """Continue the published view with the listings of later runs: deduplicated, without stale rows, newest first."""
-        self._publish(self._to_publish(), as_of, params)
+        entry = self._now()
+        self._publish(entry, self._to_publish(entry), as_of, params)
         return self.published()
 
-    def _publish(self, rows: DataFrame, as_of: datetime, params: P.ScreenParams) -> None:
+    def _publish(self, entry: dict, rows: DataFrame, as_of: datetime, params: P.ScreenParams) -> None:
         place = F.struct(*(n for n, _ in _PLACE))
         view = dedupe.publish(rows.withColumn("ord", place), as_of, params)
         view = view.withColumns({n: F.col("pos")[n] for n, _ in _PLACE}).select(*_PUBLISHED.names)
-        up_to = self._batches("listings", schemas.LISTINGS, _LAST_BATCH).agg(F.max("batch_id")).first()[0]
-        done = self._folded("published")[0]
-        self._fold("published", view, max(done, -1 if up_to is None else up_to))
+        up_to = max([-1, *(v["up_to"] for v in entry["views"]), *map(int, entry["batches"]), *(b for b, _ in entry["kept"]["listings"])])
+        new = {"up_to": up_to, "path": self._write(view, "published", up_to)}
+
+        def change(now: dict) -> None:
+            self._same_runs(entry, now, up_to)
+            now["views"] = [*(v for v in now["views"] if v["up_to"] < up_to), new][-2:]
+
+        self._commit(change)
 
     def maintain(self, as_of: datetime, params: P.ScreenParams = P.ScreenParams()) -> DataFrame:
-        """Publish without duplicates and stale rows, and take the payload of old posts out of the stored history."""
+        """Publish without duplicates and stale rows, fold what is recorded and take old payload out, files included."""
         last = self.last_batch()
         if last >= 0:
             self.compact(last, as_of, params, keep=1)
-        return self.publish(as_of, params)
+        self.publish(as_of, params)
+        self.vacuum(keep=1)
+        return self.published()
 
     def repair(self, lookups: jobs.Lookups, as_of: datetime, params: P.ScreenParams = P.ScreenParams()) -> DataFrame:
         """Mend the addresses of the published table and deduplicate it again; returns the table."""
         scratch = tables.Scratch(self.spark, "repair")
         try:
-            rows = scratch(self._to_publish(), "published")
+            entry = self._now()
+            rows = scratch(self._to_publish(entry), "published")
             planned = addresses.repair_addresses(rows, lookups.geocodes, lookups.routes, params)
-            self._publish(scratch(addresses.apply_repair(planned), "repaired"), as_of, params)
+            self._publish(entry, scratch(addresses.apply_repair(planned), "repaired"), as_of, params)
         finally:
             scratch.drop()
         return self.published()

@@ -36,6 +36,11 @@ POSTS = _struct(
     " model_used string"
 )
 
+# The state is stored without its payload, which is a table of its own.
+PAYLOAD_COLUMNS = ("raw_text", "parsed_json")
+CHANGES = T.StructType([f for f in POSTS.fields if f.name not in PAYLOAD_COLUMNS]).add("batch_id", T.LongType()).add("bucket", T.IntegerType())
+PAYLOAD = _struct("url string, raw_text string, parsed_json string, batch_id bigint")
+
 ADDRESS_CACHE = _struct(
     "address_key string, original_address string, canonical_address string, city string, confidence string,"
     " warning string, distance_text string, distance_meters int, distance_source string, geocode_status string,"

@@ -1,8 +1,8 @@
 """Plain Parquet tables: schema contract, additive change, staged rewrite, snapshots.
 
-A table is a folder of versions.  A rewrite goes to a new version folder, and only when that is complete does an empty
-marker file name it; a reader, or the job's own input, never sees a half-written table, and a lost executor or a failed
-run leaves the old version in place.
+A table is a list of versions, each a numbered marker file that names its folders.  Rows go to a new folder, and only when
+that is complete is the next marker made, if it is not there yet; a reader, or the job's own input, never sees a half-written
+table, a lost executor or a failed run leaves the old version in place, and of two writers one is told.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hearthline.sources import commits
+
 _MARKERS = "_versions"
 
 
@@ -89,79 +91,81 @@ class Scratch:
         _MADE.discard(self.root)
 
 
-def _hadoop_path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
-    return hadoop_path, hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+_hadoop_path = commits.hadoop_path
 
 
 # ---------------------------------------------------------------------------------------------- versions
-def versions(spark: SparkSession, root: str) -> list[tuple[int, str]]:
-    """Complete versions of a table, oldest first, as (number, name).
-
-    A marker file is made in one step once a version is written and says all in its name, so a reader sees it whole or
-    not at all.
-    """
+def versions(spark: SparkSession, root: str) -> list[tuple[int, list[str]]]:
+    """Versions of a table, oldest first: number, and the folders that make it up."""
     path, fs = _hadoop_path(spark, f"{root}/{_MARKERS}")
     if not fs.exists(path):
         return []
-    names = [s.getPath().getName() for s in fs.listStatus(path)]
-    return sorted((int(n.partition("@")[0]), n.partition("@")[2]) for n in names if "@" in n and not n.startswith("."))
+    numbers = sorted(int(n) for n in (s.getPath().getName() for s in fs.listStatus(path)) if n.isdigit())
+    return [(n, commits.read_text(spark, f"{root}/{_MARKERS}/{n:012d}").split()) for n in numbers]
 
 
-def current_version(spark: SparkSession, root: str) -> str | None:
+def _current(spark: SparkSession, root: str) -> tuple[int, list[str]]:
     found = versions(spark, root)
-    return found[-1][1] if found else None
+    return found[-1] if found else (0, [])
 
 
-def rewrite(df: DataFrame, root: str, version: str | None = None) -> str:
+def _next(df: DataFrame, root: str, old: int, kept: list[str]) -> None:
+    """Write rows to a folder of a new name, then name it, and what is kept, in the version after ``old``."""
+    spark, folder = df.sparkSession, f"v-{uuid.uuid4().hex}"
+    df.write.parquet(f"{root}/{folder}")
+    if not commits.put_if_absent(spark, f"{root}/{_MARKERS}/{old + 1:012d}", "\n".join([*kept, folder])):
+        path, fs = _hadoop_path(spark, f"{root}/{folder}")
+        fs.delete(path, True)
+        raise commits.Conflict(f"another writer has made version {old + 1} of {root}")
+
+
+def rewrite(df: DataFrame, root: str) -> None:
     """Write a new version of a table and make it the current one.  ``df`` may read the table itself.
 
-    The folder's name is never one that was used before, so what readers of an older version see stays as it is.
+    What readers of an older version see stays as it is.  Of two writers that start from one version the later one fails.
     """
-    spark = df.sparkSession
-    version = f"{version or 'v'}-{uuid.uuid4().hex}"
-    df.write.parquet(f"{root}/{version}")
-    found = versions(spark, root)
-    path, fs = _hadoop_path(spark, f"{root}/{_MARKERS}/{(found[-1][0] if found else 0) + 1:012d}@{version}")
-    if not fs.createNewFile(path):
-        raise RuntimeError(f"another writer has just made a version of {root}")
-    return version
+    _next(df, root, _current(df.sparkSession, root)[0], [])
 
 
-def forget(spark: SparkSession, root: str, version: str) -> None:
-    """Remove a version: its marker first, so that no reader takes it up, then its files."""
-    for number, name in versions(spark, root):
-        if name == version:
-            for where in (f"{root}/{_MARKERS}/{number:012d}@{name}", f"{root}/{name}"):
-                path, fs = _hadoop_path(spark, where)
-                fs.delete(path, True)
+def append(df: DataFrame, root: str) -> None:
+    """Add rows: a new version of the folders of the current one and one more, so no reader meets half a write."""
+    old, kept = _current(df.sparkSession, root)
+    _next(df, root, old, kept)
 
 
-def read(spark: SparkSession, root: str, schema: T.StructType, version: str | None = None) -> DataFrame:
-    """A version of a table, by default the current one; an empty frame before the first one."""
-    version = version or current_version(spark, root)
-    if version is None:
+def _read(spark: SparkSession, root: str, schema: T.StructType, folders: list[str]) -> DataFrame:
+    if not folders:
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).parquet(f"{root}/{version}")
+    return spark.read.schema(schema).parquet(*(f"{root}/{f}" for f in folders))
 
 
-def append(df: DataFrame, root: str) -> None:
-    """Add rows to the current version in one write."""
-    version = current_version(df.sparkSession, root)
-    if version is None:
-        rewrite(df, root)
-    else:
-        df.write.mode("append").parquet(f"{root}/{version}")
-
-
-def snapshot(spark: SparkSession, root: str, schema: T.StructType, stamp: str) -> str:
-    """Copy the current version to ``snapshot=<stamp>`` next to it; returns the copy's path."""
-    path = f"{root}/snapshot={stamp}"
-    read(spark, root, schema).write.mode("error").parquet(path)
-    return path
+def read(spark: SparkSession, root: str, schema: T.StructType) -> DataFrame:
+    """The current version of a table; an empty frame before the first one."""
+    return _read(spark, root, schema, _current(spark, root)[1])
+
+
+def snapshot(spark: SparkSession, root: str, stamp: str) -> None:
+    """Name the current version, whose folders then stay; no row is copied.  A stamp is taken once."""
+    if not commits.put_if_absent(spark, f"{root}/_snapshots/{stamp}", "\n".join(_current(spark, root)[1])):
+        raise commits.Conflict(f"{root} has a snapshot {stamp} already")
+
+
+def read_snapshot(spark: SparkSession, root: str, schema: T.StructType, stamp: str) -> DataFrame:
+    return _read(spark, root, schema, commits.read_text(spark, f"{root}/_snapshots/{stamp}").split())
+
+
+def forget(spark: SparkSession, root: str, keep: int = 1) -> None:
+    """Remove all but the newest ``keep`` versions; folders that a kept version or a snapshot names stay."""
+    found = versions(spark, root)
+    path, fs = _hadoop_path(spark, f"{root}/_snapshots")
+    stamps = [s.getPath().getName() for s in fs.listStatus(path)] if fs.exists(path) else []
+    named = {f for _, fs_ in found[-keep:] for f in fs_}
+    named |= {f for s in stamps if not s.startswith(".") for f in commits.read_text(spark, f"{root}/_snapshots/{s}").split()}
+    for number, folders in found[:-keep]:
+        for where in (f"{_MARKERS}/{number:012d}", *(f for f in folders if f not in named)):
+            fs.delete(_hadoop_path(spark, f"{root}/{where}")[0], True)
 
 
-def clear(spark: SparkSession, root: str, schema: T.StructType, version: str | None = None) -> None:
+def clear(spark: SparkSession, root: str, schema: T.StructType) -> None:
     """Remove all rows, keep the table and its schema."""
-    rewrite(spark.createDataFrame([], schema), root, version)
+    rewrite(spark.createDataFrame([], schema), root)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import threading
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -15,6 +17,7 @@ from hearthline.operators.addresses import BudgetSpent
 from hearthline.plans import jobs
 from hearthline.plans.store import Store
 from hearthline.sources import tables
+from hearthline.sources.commits import Conflict
 from hearthline.streaming.screening import feed_stream, screen_stream
 
 NOW = datetime(2024, 5, 22, 9, 0)
@@ -192,18 +195,19 @@ def test_a_run_killed_between_its_writes(spark, store, monkeypatch):
     store.publish(NOW)
     whole = contents(store)
     write = Store._write
-    for table in ("addresses", "listings", "changes"):
+    for table in ("addresses", "listings", "changes", "payload"):
         other = Store(spark, f"{store.root}-{table}")
 
-        def broken(self, df, name, batch_id, table=table):
+        def broken(self, df, name, batch_id, by=None, table=table):
             if name == table:
                 raise RuntimeError("killed")
-            write(self, df, name, batch_id)
+            return write(self, df, name, batch_id, by)
 
         monkeypatch.setattr(Store, "_write", broken)
         with pytest.raises(RuntimeError, match="killed"):
             other.screen(0, feed(spark), extractor, lookups(spark), NOW)
         monkeypatch.setattr(Store, "_write", write)
+        assert other.state().count() == other.listings().count() == other.cache().count() == 0
         other.screen(0, feed(spark), extractor, lookups(spark), NOW)
         other.publish(NOW)
         assert contents(other) == whole
@@ -230,8 +234,7 @@ def test_stored_reprocess_and_maintain(spark, store):
     assert store.maintain(later).filter("post_date is not null").count() == 0
     assert store.state().filter("raw_text is not null or parsed_json is not null").count() == 0
     assert verdicts(store.state())["u6"] == P.ADDED
-    path, fs = tables._hadoop_path(spark, f"{store.root}/changes/batch_id=0")
-    assert not fs.exists(path)
+    assert not list(Path(store.root).glob("data/changes-*/*.parquet")) and list(Path(store.root).glob("data/state-*/*/*.parquet"))
 
 
 def test_stored_repair(spark, store):
@@ -294,3 +297,94 @@ def test_doubled_answers_publish_once(spark, store):
 def test_posts_without_url_stay_out(spark, store):
     store.screen(0, feed(spark, [("", *POSTS[0][1:]), ("", *POSTS[5][1:])]), extractor_like(""), lookups(spark), NOW)
     assert store.state().count() == 0 and store.listings().count() == 0
+
+
+def test_two_writers_of_one_batch(spark, store, monkeypatch):
+    """The later one is told and leaves nothing; writers of different batches both win."""
+    store.screen(0, feed(spark, POSTS[:3]), extractor, lookups(spark), NOW)
+    other = Store(spark, store.root)
+    write = Store._write
+
+    def during(batch):
+        def interleaved(self, df, name, batch_id, by=None):
+            if name == "payload":
+                monkeypatch.setattr(Store, "_write", write)
+                other.screen(batch, feed(spark, POSTS[3:6]), extractor, lookups(spark), NOW)
+            return write(self, df, name, batch_id, by)
+
+        monkeypatch.setattr(Store, "_write", interleaved)
+
+    during(1)
+    with pytest.raises(Conflict):
+        store.screen(1, feed(spark, POSTS[5:]), extractor, lookups(spark), NOW)
+    assert set(verdicts(store.state())) == {"u1", "u2", "u3", "u4", "u5", "u6"}
+    during(3)
+    store.screen(2, feed(spark, POSTS[6:]), extractor, lookups(spark), NOW)
+    assert store.last_batch() == 3 and verdicts(store.state()) == EXPECTED | {"u4": "parse_failed"}
+
+
+def test_log_entries_are_made_once(spark, tmp_path):
+    from hearthline.sources.commits import CommitLog
+
+    log, seen = CommitLog(spark, str(tmp_path / "log")), []
+
+    def add(name):
+        for _ in range(5):
+            log.commit(lambda e: seen.append(name) or e | {"n": e.get("n", 0) + 1, name: e.get(name, 0) + 1})
+
+    writers = [threading.Thread(target=add, args=(n,)) for n in "abc"]
+    for w in writers:
+        w.start()
+    for w in writers:
+        w.join()
+    assert log.last() == (15, {"n": 15, "a": 5, "b": 5, "c": 5}) and len(seen) >= 15
+    assert log.forget(2, lambda e: {f"data/{e['n']}"}) == {f"data/{n}" for n in range(1, 14)} and log.numbers() == [14, 15]
+
+
+def test_a_reader_sees_a_run_whole_or_not_at_all(spark, store, monkeypatch):
+    store.screen(0, feed(spark, POSTS[:4]), extractor, lookups(spark), NOW)
+    reader, before, seen = Store(spark, store.root), contents(store), []
+    write = Store._write
+
+    def read_before(self, df, name, batch_id, by=None):
+        folder = write(self, df, name, batch_id, by)
+        seen.append(contents(reader) == before)
+        return folder
+
+    monkeypatch.setattr(Store, "_write", read_before)
+    store.screen(1, feed(spark, POSTS[4:]), extractor, lookups(spark), NOW)
+    assert len(seen) >= 4 and all(seen) and contents(reader) != before
+
+
+def test_old_payload_goes_by_month(spark, store):
+    """No file of a young month is written again, and what is old in a month that stays is hidden."""
+    for batch, day in enumerate((datetime(2024, 3, 20), datetime(2024, 4, 2), datetime(2024, 4, 25), datetime(2024, 5, 20))):
+        store.screen(batch, feed(spark, [(f"p{batch}", *POSTS[0][1:])]), extractor_like(f"p{batch}"), lookups(spark), day)
+    store.compact(1)
+    files = lambda: {str(p.relative_to(store.root)): p.stat().st_mtime_ns for p in Path(store.root).glob("data/payload-*/*/*.parquet")}
+    before = files()
+    texts = lambda: sorted(r.url for r in store.state().filter("raw_text is not null").collect())
+    assert texts() == ["p0", "p1", "p2", "p3"]
+    store.retain(datetime(2024, 5, 10))  # older than 19 April
+    assert texts() == ["p2", "p3"] and store.state().count() == 4
+    store.vacuum(keep=1)
+    after = files()
+    assert set(before) - set(after) == {f for f in before if "month=2024-03" in f} and all(before[f] == t for f, t in after.items())
+    store.maintain(datetime(2024, 6, 30))
+    assert texts() == [] and verdicts(store.state())["p3"] == P.ADDED and not files()
+
+
+def test_merged_pieces_of_closed_runs(spark, store, monkeypatch):
+    from hearthline.plans import store as module
+
+    monkeypatch.setattr(module, "_PIECES", 2)
+    for batch in range(6):
+        store.screen(batch, feed(spark, [(f"p{batch}", *POSTS[0][1:]), POSTS[3]]), extractor_like(f"p{batch}"), lookups(spark), NOW)
+        store.publish(NOW)
+        whole = contents(store)
+        store.compact(batch)
+        assert contents(store) == whole
+    kept = store._now()["kept"]
+    assert len(kept["listings"]) <= 3 and all(len(p) <= 3 for p in kept["payload"].values())
+    store.vacuum(keep=1)
+    assert contents(store) == whole and store.state().filter("raw_text is null").count() == 0

@@ -12,6 +12,7 @@ from hearthline import params as P
 from hearthline import schemas
 from hearthline.operators import addresses, dedupe, screening, state
 from hearthline.plans.store import Store
+from hearthline.sources import tables
 
 PARAMS = P.ScreenParams()
 
@@ -41,9 +42,34 @@ def test_skip_test_reads_three_columns(spark, stored):
 def test_narrow_state_skips_old_batches_and_payload(spark, tmp_path):
     store = Store(spark, str(tmp_path))
     for batch in (0, 1):
-        spark.createDataFrame([], schemas.POSTS).write.parquet(f"{tmp_path}/changes/batch_id={batch}")
-    shown = plan(store.narrow_state(1))
-    assert "raw_text" not in shown and "PartitionFilters: [isnotnull(batch_id" in shown
+        store.load(batch, posts(spark, batch, batch + 1))
+    narrow = store.narrow_state(1)
+    assert "raw_text" not in plan(narrow) and all("/changes-0-" in f for f in narrow.inputFiles())
+
+
+def posts(spark, low, high):
+    rows = spark.range(low, high).selectExpr("concat('u', id) as url", "'added' as verdict", "0 as attempts", "timestamp_ntz'2024-05-01 00:00:00' as first_seen")
+    full = tables.add_missing_columns(rows, schemas.POSTS)
+    return full.select(*(F.col(f.name).cast(f.dataType) for f in schemas.POSTS.fields))
+
+
+def test_a_small_batch_opens_its_own_buckets(spark, tmp_path):
+    """Of a large history, whatever its number of runs, only the buckets that the batch's URLs fall in."""
+    store = Store(spark, str(tmp_path), buckets=64)
+    for batch in range(3):
+        store.load(batch, posts(spark, 1000 * batch, 1000 * batch + 1000))
+        store.compact(batch)
+    urls = spark.createDataFrame([("u5",), ("u1500",), ("new",)], "url string")
+    narrow = store.narrow_state(9, urls)
+    assert sorted(r.url for r in narrow.collect()) == ["u1500", "u5"]
+    every = store._changes(store._now()).inputFiles()
+    assert len(every) >= 64 and len(narrow.inputFiles()) <= 3
+    # A small run rewrites the buckets that it touches; the others are carried over by name.
+    before = store._base(store._now())["state"]
+    store.load(3, posts(spark, 2999, 3001))
+    store.compact(3)
+    after = store._base(store._now())["state"]
+    assert sum(before[b] != after[b] for b in before) <= 2 and store.narrow_state().count() == 3001
 
 
 def test_first_per_url_is_cut_before_the_shuffle(spark):

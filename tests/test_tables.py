@@ -6,6 +6,7 @@ from pyspark.sql import types as T
 
 from hearthline import schemas
 from hearthline.sources import feeds, tables
+from hearthline.sources.commits import Conflict
 
 SCHEMA = T.StructType([T.StructField("id", T.LongType()), T.StructField("v", T.StringType())])
 
@@ -20,12 +21,48 @@ def test_rewrite_from_itself_append_snapshot_clear(spark, tmp_path):
     tables.append(spark.createDataFrame([(1, "a"), (2, "b")], SCHEMA), root)
     tables.append(spark.createDataFrame([(3, "c")], SCHEMA), root)
     assert ids(tables.read(spark, root, SCHEMA)) == [1, 2, 3]
-    copy = tables.snapshot(spark, root, SCHEMA, "20240522_090000")
+    tables.snapshot(spark, root, "20240522_090000")
+    before = sorted(p.name for p in (tmp_path / "t").glob("v-*"))
+    with pytest.raises(Conflict):
+        tables.snapshot(spark, root, "20240522_090000")
+    assert sorted(p.name for p in (tmp_path / "t").glob("v-*")) == before  # a snapshot writes no rows
     tables.rewrite(tables.read(spark, root, SCHEMA).filter("id <> 2"), root)
     assert ids(tables.read(spark, root, SCHEMA)) == [1, 3]
     tables.clear(spark, root, SCHEMA)
     assert tables.read(spark, root, SCHEMA).schema == SCHEMA and ids(tables.read(spark, root, SCHEMA)) == []
-    assert ids(spark.read.parquet(copy)) == [1, 2, 3]
+    tables.forget(spark, root)
+    assert ids(tables.read_snapshot(spark, root, SCHEMA, "20240522_090000")) == [1, 2, 3]
+    assert len(list((tmp_path / "t").glob("v-*"))) == 3  # the two of the snapshot and the empty one
+
+
+def test_of_two_writers_one_is_told(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "t")
+    rows = lambda *n: spark.createDataFrame([(i, "x") for i in n], SCHEMA)
+    tables.append(rows(1), root)
+    first = tables._current
+
+    def meanwhile(spark_, root_):
+        found = first(spark_, root_)
+        monkeypatch.setattr(tables, "_current", first)
+        tables.append(rows(2), root_)  # another writer, between our look and our write
+        return found
+
+    for write in (tables.rewrite, tables.append):
+        monkeypatch.setattr(tables, "_current", meanwhile)
+        with pytest.raises(Conflict):
+            write(rows(3), root)
+    assert ids(tables.read(spark, root, SCHEMA)) == [1, 2, 2]
+    assert len(list((tmp_path / "t").glob("v-*"))) == 3
+
+
+def test_a_reader_never_meets_half_an_append(spark, tmp_path):
+    root = str(tmp_path / "t")
+    tables.append(spark.createDataFrame([(1, "a")], SCHEMA), root)
+    early = tables.read(spark, root, SCHEMA)
+    with pytest.raises(Exception, match="no"):
+        tables.append(spark.createDataFrame([(2, "b")], SCHEMA).withColumn("v", F.raise_error(F.lit("no")).cast("string")), root)
+    tables.append(spark.createDataFrame([(3, "c")], SCHEMA), root)
+    assert ids(early) == [1] and ids(tables.read(spark, root, SCHEMA)) == [1, 3]
 
 
 def test_failed_rewrite_leaves_the_table(spark, tmp_path):

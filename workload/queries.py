@@ -680,9 +680,10 @@ def snapshot_and_clear(spark, sf_dir):
     root = tables.scratch_path(spark, "listings")
     rows = _published(spark, sf_dir)
     tables.rewrite(rows, root)
-    copy = tables.snapshot(spark, root, rows.schema, "20010802_103000")
+    tables.snapshot(spark, root, "20010802_103000")
     tables.clear(spark, root, rows.schema)
-    both = spark.read.parquet(copy).select(F.lit("snapshot").alias("part"), "ord").unionByName(
+    tables.forget(spark, root)
+    both = tables.read_snapshot(spark, root, rows.schema, "20010802_103000").select(F.lit("snapshot").alias("part"), "ord").unionByName(
         tables.read(spark, root, rows.schema).select(F.lit("table").alias("part"), "ord")
     )
     return both.groupBy("part").agg(F.count("*").alias("n"), F.sum("ord").alias("ord_sum"))
@@ -937,8 +938,7 @@ def store_compact(spark, sf_dir):
 def store_replay(spark, sf_dir):
     """The stored state after a replay under the present rules."""
     store = _store(spark, "replay")
-    tables.check_schema(_posts_state(spark, sf_dir).select(*schemas.POSTS.names), schemas.POSTS)
-    store._write(_posts_state(spark, sf_dir).select(*schemas.POSTS.names), "changes", 0)
+    store.load(0, _posts_state(spark, sf_dir).select(*schemas.POSTS.names))
     store.replay(1, _knowing_extractor(spark, sf_dir), _lookups(spark, sf_dir), POSTS_CLOCK, PARAMS)
     return store.state().select("url", "verdict", "attempts")
 
