@@ -377,14 +377,14 @@ def test_old_payload_goes_by_month(spark, store):
 def test_merged_pieces_of_closed_runs(spark, store, monkeypatch):
     from hearthline.plans import store as module
 
-    monkeypatch.setattr(module, "_PIECES", 2)
-    for batch in range(6):
+    monkeypatch.setattr(module, "_PIECES", 1)
+    for batch in range(4):
         store.screen(batch, feed(spark, [(f"p{batch}", *POSTS[0][1:]), POSTS[3]]), extractor_like(f"p{batch}"), lookups(spark), NOW)
         store.publish(NOW)
         whole = contents(store)
         store.compact(batch)
         assert contents(store) == whole
     kept = store._now()["kept"]
-    assert len(kept["listings"]) <= 3 and all(len(p) <= 3 for p in kept["payload"].values())
+    assert len(kept["listings"]) == 1 and all(len(p) == 1 for p in kept["payload"].values())
     store.vacuum(keep=1)
     assert contents(store) == whole and store.state().filter("raw_text is null").count() == 0

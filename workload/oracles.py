@@ -638,6 +638,16 @@ ORACLES["store_replay"] = f"""
 select s.url, coalesce(r.verdict, s.verdict) as verdict, cast(s.post_no % 4 + coalesce(cast(r.verdict = 'parse_failed' as int), 0) as int) as attempts
 from {FULL_STATE.replace(') full_state', ') s')} left join (
  select url, verdict from {job(f"(select * exclude (verdict) from {STORED} st)", True)}) r on r.url = s.url"""
+ORACLES["store_commit"] = ORACLES["stream_screen"]
+ORACLES["state_buckets"] = ORACLES["upsert_posts"]
+ORACLES["store_retention"] = ORACLES["retention"]
+ORACLES["store_maintain"] = f"""
+select count(*) as urls, count(raw_text) as n, cast(sum(length(raw_text)) as bigint) as "check"
+from (select case when {OLD} then null else raw_text end as raw_text from {FULL_STATE}) s"""
+ORACLES["store_reprocess"] = f"""
+select s.url, coalesce(r.verdict, s.verdict) as verdict, cast(s.post_no % 4 + coalesce(cast(r.verdict = 'parse_failed' as int), 0) as int) as attempts
+from {FULL_STATE.replace(') full_state', ') s')} left join (
+ select url, verdict from {job(f"(select * exclude (verdict) from {STORED} st where verdict in {RETRY})", False)}) r on r.url = s.url"""
 ORACLES["lookup_requests"] = f"""
 select address_key, case when regexp_matches(a, 'רמת גן|גבעתיים|תל אביב|רמת-גן|ר"ג') then a else a || ', רמת גן, גבעתיים, ישראל' end as query
 from (select {cache_key('src.address')} as address_key, min(src.address) as a from {ADDRESSED} src where length(src.address) >= 3 group by 1) d

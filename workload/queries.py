@@ -943,6 +943,66 @@ def store_replay(spark, sf_dir):
     return store.state().select("url", "verdict", "attempts")
 
 
+@query
+def store_commit(spark, sf_dir):
+    """The state after a run that stopped before its commit, and two runs of which one ends within the other."""
+    store, feed, look = _store(spark, "commit"), _feed(spark, sf_dir), _lookups(spark, sf_dir)
+    other, half = Store(spark, store.root), F.pmod(F.xxhash64("url"), F.lit(2))
+
+    def stopped(rows):
+        raise InterruptedError
+
+    def within(rows):
+        other.screen(0, feed.filter(half == 0), _extractor, look, POSTS_CLOCK, PARAMS, _CARRIED)
+        return _extractor(rows)
+
+    try:
+        store.screen(0, feed, stopped, look, POSTS_CLOCK, PARAMS, _CARRIED)
+    except InterruptedError:
+        pass
+    store.screen(1, feed.filter(half == 1), within, look, POSTS_CLOCK, PARAMS, _CARRIED)
+    return store.state().select("url", "verdict", "attempts", "price_val", "rooms_val")
+
+
+@query
+def state_buckets(spark, sf_dir):
+    """L1: the rows of ``upsert_posts`` from a store in which each run's buckets are folded into those before."""
+    store, records = _store(spark, "buckets"), _log_records(spark, sf_dir)
+    split = F.lit("2024-01-15").cast("timestamp_ntz")
+    for batch, (part, day) in enumerate(((F.col("ts") < split, 15), (F.col("ts") >= split, 31))):
+        store.load(batch, state.changes(records.filter(part), datetime(2024, 1, day)))
+        store.compact(batch)
+    return store.state().select("url", "group_url", "verdict", "attempts", "first_seen", "last_processed", "price_val")
+
+
+@query
+def store_retention(spark, sf_dir):
+    """L4 on stored tables: the texts that are read back once old ones have gone by their months."""
+    store = _store(spark, "retention")
+    store.load(0, _posts_state(spark, sf_dir).select(*schemas.POSTS.names))
+    store.retain(POSTS_CLOCK, PARAMS)
+    store.vacuum(keep=1)
+    return store.state().select("url", "raw_text", "parsed_json", "verdict")
+
+
+@query
+def store_maintain(spark, sf_dir):
+    """L8 on stored tables: what is left of the state's texts."""
+    store = _store(spark, "maintain")
+    store.load(0, _posts_state(spark, sf_dir).select(*schemas.POSTS.names))
+    store.maintain(POSTS_CLOCK, PARAMS)
+    return store.state().agg(F.count("*").alias("urls"), F.count("raw_text").alias("n"), F.sum(F.length("raw_text")).alias("check"))
+
+
+@query
+def store_reprocess(spark, sf_dir):
+    """L6 on stored tables: the state after rejected and failed posts were judged again."""
+    store = _store(spark, "reprocess")
+    store.load(0, _posts_state(spark, sf_dir).select(*schemas.POSTS.names))
+    store.reprocess(1, _knowing_extractor(spark, sf_dir), _lookups(spark, sf_dir), POSTS_CLOCK, PARAMS)
+    return store.state().select("url", "verdict", "attempts")
+
+
 @query
 def lookup_requests(spark, sf_dir):
     """The addresses that the rest of a month's budget lets a run ask for, as they are asked."""
