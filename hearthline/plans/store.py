@@ -11,7 +11,11 @@ newest stays, and so do the runs above it: such a run may be repeated, and what
 dropped.  An older run is refused.
 
 Payload lies in months of the day its URL was first seen.  Old payload is hidden at once and goes by whole months; no other file
-is touched.  ``published`` is the deduplicated view.  Each version continues the one before with the listings of later runs.
+is touched.
+
+``published`` is the deduplicated view, in parts by the hash of the listing key, with an index of its URLs in parts by the hash of
+the URL.  A version continues the one before: only parts that later listings or rows taken back fall in are merged and written,
+the others are carried over by name.  Rows that have grown stale meanwhile are hidden by their date until their part is written.
 """
 
 from __future__ import annotations
@@ -26,6 +30,7 @@ from pyspark.sql import types as T
 
 from hearthline import params as P
 from hearthline import schemas
+from hearthline.functions import dates
 from hearthline.functions.dates import clock, month_key
 from hearthline.operators import addresses, dedupe, state as history
 from hearthline.plans import jobs
@@ -37,9 +42,15 @@ _PIECES = 16  # folders of closed runs that a month or the listings gather befor
 # A published row remembers its first position, which decides between rows of one date.
 _PLACE = (("first_batch", T.LongType()), ("first_seen_at", T.TimestampNTZType()), ("first_url", T.StringType()))
 _PUBLISHED = T.StructType([*schemas.LISTINGS.fields, *(T.StructField(n, t) for n, t in _PLACE)])
+_INDEX = T.StructType([T.StructField("url", T.StringType()), T.StructField("post_date", T.DateType()), T.StructField("part", T.IntegerType())])
+_NO_VIEW = {"up_to": -1, "cutoff": None, "parts": {}, "urls": {}}
 _NAMES = [f.name for f in schemas.CHANGES.fields]
 
 
+def _place():
+    return F.struct(*(n for n, _ in _PLACE))
+
+
 def _with_batch(schema: T.StructType) -> T.StructType:
     return T.StructType([*schema.fields, T.StructField("batch_id", T.LongType())])
 
@@ -159,26 +170,48 @@ class Store:
         return self._batches("listings", schemas.LISTINGS, before)
 
     def published(self, before: int = _LAST_BATCH) -> DataFrame:
-        return self._published(self._now(), before)[1].select(*schemas.LISTINGS.names)
+        """The published rows, newest first."""
+        return self._shown(self._view(self._now(), before))
 
     def snapshot(self, name: str) -> DataFrame:
         """The published view under a name given by ``replay``."""
-        return self._read([self._now()["named"][name]], _PUBLISHED).select(*schemas.LISTINGS.names)
+        return self._shown(self._now()["named"][name])
+
+    def _shown(self, view: dict) -> DataFrame:
+        return dedupe.newest_first(self._standing(view).withColumn("pos", _place())).select(*schemas.LISTINGS.names)
 
-    def _published(self, entry: dict, before: int = _LAST_BATCH) -> tuple[int, DataFrame]:
-        view = max((v for v in entry["views"] if v["up_to"] < before), key=lambda v: v["up_to"], default={"up_to": -1, "path": None})
+    def _view(self, entry: dict, before: int = _LAST_BATCH) -> dict:
+        view = max((v for v in entry["views"] if v["up_to"] < before), key=lambda v: v["up_to"], default=_NO_VIEW)
         cleared = max((b - 1 for b in entry["replayed"] if b < before), default=-1)
-        if view["up_to"] <= cleared:  # a replay starts from nothing
-            return cleared, self.spark.createDataFrame([], _PUBLISHED)
-        return view["up_to"], self._read([view["path"]], _PUBLISHED)
-
-    def _to_publish(self, entry: dict, before: int = _LAST_BATCH) -> DataFrame:
-        """The published rows and those of later runs, each with its first position."""
-        done, rows = self._published(entry, before)
-        later = self._batches("listings", schemas.LISTINGS, before, done, entry)
-        return rows.unionByName(
-            later.withColumns({"first_batch": F.col("batch_id"), "first_seen_at": F.col("scanned_at"), "first_url": F.col("url")}).drop("batch_id")
-        )
+        return view if view["up_to"] > cleared else _NO_VIEW | {"up_to": cleared}  # a replay starts from nothing
+
+    @staticmethod
+    def _young(view: dict, rows: DataFrame) -> DataFrame:
+        """Without the rows that this version hides for their age."""
+        return rows.where(dates.is_recent(F.col("post_date"), datetime.fromisoformat(view["cutoff"]), 0)) if view["cutoff"] else rows
+
+    def _standing(self, view: dict, parts: Iterable[int] | None = None) -> DataFrame:
+        """Published rows; of the given parts only, whose files alone are opened."""
+        wanted = None if parts is None else {str(p) for p in parts}
+        return self._young(view, self._read((f for p, f in view["parts"].items() if wanted is None or p in wanted), _PUBLISHED))
+
+    def _index(self, view: dict, buckets: Iterable[int] | None = None) -> DataFrame:
+        """URL, date and part of every stored row, hidden ones too; of the given buckets of URLs only."""
+        wanted = None if buckets is None else {str(b) for b in buckets}
+        return self._read((f for b, f in view["urls"].items() if wanted is None or b in wanted), _INDEX)
+
+    def _later(self, entry: dict, before: int = _LAST_BATCH) -> DataFrame:
+        """Listings of the runs after the newest version, each with its first position."""
+        later = self._batches("listings", schemas.LISTINGS, before, self._view(entry, before)["up_to"], entry)
+        return later.withColumns({"first_batch": F.col("batch_id"), "first_seen_at": F.col("scanned_at"), "first_url": F.col("url")}).drop("batch_id")
+
+    def _listed(self, before: int, urls: DataFrame | None = None) -> DataFrame:
+        """URLs that are published or about to be; of the given ones only, by the buckets of the index that they fall in."""
+        entry = self._now()
+        view = self._view(entry, before)
+        found = self._young(view, self._index(view, None if urls is None else self._touched(entry, urls)))
+        rows = found.select("url").unionByName(self._later(entry, before).select("url"))
+        return rows if urls is None else rows.join(urls.select("url"), "url", "left_semi")
 
     # ------------------------------------------------------------------------------------------ writing
     def _write(self, df: DataFrame, table: str, batch_id: int, by: str | None = None) -> str:
@@ -241,10 +274,14 @@ class Store:
         run |= self._stored(started, batch_id, learnt.join(outcome.texts, "url").select(*schemas.POSTS.names))
         self._add(batch_id, started, run, replayed)
 
-    def load(self, batch_id: int, posts: DataFrame) -> None:
-        """Take over a state from elsewhere (columns of ``POSTS``, a row per URL) as a run of its own."""
+    def load(self, batch_id: int, posts: DataFrame, listings: DataFrame | None = None) -> None:
+        """Take over a state from elsewhere (columns of ``POSTS``, a row per URL), and listings, as a run of its own."""
         entry = self._now()
-        self._add(batch_id, entry, self._stored(entry, batch_id, tables.check_schema(posts, schemas.POSTS)))
+        run = self._stored(entry, batch_id, tables.check_schema(posts, schemas.POSTS))
+        if listings is not None:
+            rows = tables.check_schema(listings, schemas.LISTINGS).withColumn("batch_id", F.lit(batch_id).cast("bigint"))
+            run["listings"] = self._write(rows, "listings", batch_id)
+        self._add(batch_id, entry, run)
 
     def _lookups(self, lookups: jobs.Lookups, batch_id: int) -> jobs.Lookups:
         """The caller's services with this store's cache and usage as they were before the run."""
@@ -279,8 +316,7 @@ class Store:
 
         def job(scratch: tables.Scratch) -> jobs.Outcome:
             urls = scratch(posts_in.where("url is not null").select("url").distinct(), "urls")
-            listed = self._to_publish(self._now(), batch_id).select("url").join(urls, "url", "left_semi")
-            state = self.narrow_state(batch_id, urls)
+            listed, state = self._listed(batch_id, urls), self.narrow_state(batch_id, urls)
             known = self._lookups(lookups, batch_id)
             return jobs.screen(posts_in, state, listed, extractor, known, as_of, scratch, params, carry)
 
@@ -300,8 +336,7 @@ class Store:
 
         def job(scratch: tables.Scratch) -> jobs.Outcome:
             known = self._lookups(lookups, batch_id)
-            listed = self._to_publish(self._now(), batch_id).select("url")
-            return jobs.reprocess(self.state(batch_id), listed, extractor, known, as_of, scratch, params, verdicts, carry)
+            return jobs.reprocess(self.state(batch_id), self._listed(batch_id), extractor, known, as_of, scratch, params, verdicts, carry)
 
         self._run("reprocess", batch_id, as_of, job)
         return self.publish(as_of, params)
@@ -322,8 +357,7 @@ class Store:
         """
 
         def name(entry: dict) -> None:
-            newest = max(entry["views"], key=lambda v: v["up_to"], default={"path": None})
-            entry["named"].setdefault(f"before-{batch_id}", newest["path"])
+            entry["named"].setdefault(f"before-{batch_id}", max(entry["views"], key=lambda v: v["up_to"], default=_NO_VIEW))
 
         self._commit(name)
 
@@ -431,22 +465,70 @@ class Store:
     def publish(self, as_of: datetime, params: P.ScreenParams = P.ScreenParams()) -> DataFrame:
         """Continue the published view with the listings of later runs: deduplicated, without stale rows, newest first."""
         entry = self._now()
-        self._publish(entry, self._to_publish(entry), as_of, params)
+        self._publish(entry, self._later(entry), as_of, params)
         return self.published()
 
-    def _publish(self, entry: dict, rows: DataFrame, as_of: datetime, params: P.ScreenParams) -> None:
-        place = F.struct(*(n for n, _ in _PLACE))
-        view = dedupe.publish(rows.withColumn("ord", place), as_of, params)
-        view = view.withColumns({n: F.col("pos")[n] for n, _ in _PLACE}).select(*_PUBLISHED.names)
+    def _publish(self, entry: dict, later: DataFrame, as_of: datetime, params: P.ScreenParams, back: DataFrame | None = None) -> None:
+        """Merge rows into the view, after the standing rows of the URLs in ``back`` have been taken out.
+
+        A part that is merged holds every standing row of a key that a later row has, and every standing row of a later row's
+        URL, so the merged rows are those of the whole view.  A clock that goes back brings no hidden row back: all is written.
+        """
+        view, limit = self._view(entry), (as_of - timedelta(days=params.max_age_days)).isoformat()
         up_to = max([-1, *(v["up_to"] for v in entry["views"]), *map(int, entry["batches"]), *(b for b, _ in entry["kept"]["listings"])])
-        new = {"up_to": up_to, "path": self._write(view, "published", up_to)}
+        scratch = tables.Scratch(self.spark, "publish")
+        try:
+            later = scratch(later.select(*_PUBLISHED.names).withColumn("part", self._part(entry)), "later")
+            urls = later.select("url").union(back.select("url")) if back is not None else later.select("url")
+            urls = scratch(urls.distinct(), "urls")
+            held = self._index(view, self._touched(entry, urls)).join(urls, "url", "left_semi")
+            parts = {r[0] for r in later.select("part").union(held.select("part")).distinct().collect()}
+            if limit < (view["cutoff"] or limit):
+                parts |= {int(p) for p in view["parts"]}
+            new = view | {"up_to": up_to, "cutoff": limit}
+            if parts:
+                new |= self._merged(entry, view, new, later, parts, back, scratch)
+        finally:
+            scratch.drop()
 
         def change(now: dict) -> None:
             self._same_runs(entry, now, up_to)
+            if now["views"] != entry["views"]:
+                raise Conflict("the published table has changed meanwhile")
             now["views"] = [*(v for v in now["views"] if v["up_to"] < up_to), new][-2:]
 
         self._commit(change)
 
+    def _part(self, entry: dict):
+        """The part of the view that a row's listing key falls in."""
+        key = dedupe.listing_key(F.col("address"), F.col("rooms"), F.col("price"), dedupe.url_key(F.col("url"), _place()))
+        return self.bucket(entry, key)
+
+    def _merged(self, entry: dict, view: dict, new: dict, later: DataFrame, parts: set[int], back: DataFrame | None, scratch: tables.Scratch) -> dict:
+        """Write the given parts of the view again and the buckets of the index whose URLs have moved; the new names of all."""
+        standing = self._standing(view, parts)
+        if back is not None:
+            standing = standing.join(back.select("url"), "url", "left_anti")
+        rows = standing.unionByName(later.drop("part")).withColumn("ord", _place())
+        best = self._young(new, dedupe.deduplicated(rows)).withColumns({n: F.col("pos")[n] for n, _ in _PLACE}).select(*_PUBLISHED.names)
+        laid = best.withColumn("part", self._part(entry)).repartition("part")
+        laid = laid.sortWithinPartitions("part", F.col("post_date").desc_nulls_last(), *(n for n, _ in _PLACE))
+        written = self._parts(self._write(laid, "published", new["up_to"], "part"), "part")
+        # What the index is told: the rows that these parts hold now and did not before, or the other way round.
+        old = self._read((f for p, f in view["parts"].items() if int(p) in parts), _PUBLISHED)
+        rows = ((old, -1), (self._read(written.values(), _PUBLISHED), 1))
+        was, now = (r.withColumn("part", self._part(entry)).select(*_INDEX.names, F.lit(n).alias("n")) for r, n in rows)
+        moves = scratch(was.union(now).groupBy(*_INDEX.names).agg(F.sum("n").alias("n")).where("n <> 0"), "moves")
+        come, moved = moves.where("n > 0").select(*_INDEX.names), moves.select("url").distinct()
+        buckets = self._touched(entry, moved)
+        index = self._index(view, buckets).join(moved, "url", "left_anti").unionByName(come)
+        laid = index.withColumn("bucket", self.bucket(entry)).repartition("bucket").sortWithinPartitions("bucket")
+        listed = self._parts(self._write(laid, "urls", new["up_to"], "bucket"), "bucket") if buckets else {}
+        return {
+            "parts": {p: f for p, f in view["parts"].items() if int(p) not in parts} | written,
+            "urls": {b: f for b, f in view["urls"].items() if int(b) not in set(buckets)} | listed,
+        }
+
     def maintain(self, as_of: datetime, params: P.ScreenParams = P.ScreenParams()) -> DataFrame:
         """Publish without duplicates and stale rows, fold what is recorded and take old payload out, files included."""
         last = self.last_batch()
@@ -457,13 +539,16 @@ class Store:
         return self.published()
 
     def repair(self, lookups: jobs.Lookups, as_of: datetime, params: P.ScreenParams = P.ScreenParams()) -> DataFrame:
-        """Mend the addresses of the published table and deduplicate it again; returns the table."""
+        """Mend the addresses of the published table and deduplicate what has changed against the rest; returns the table."""
+        self.publish(as_of, params)
         scratch = tables.Scratch(self.spark, "repair")
         try:
             entry = self._now()
-            rows = scratch(self._to_publish(entry), "published")
-            planned = addresses.repair_addresses(rows, lookups.geocodes, lookups.routes, params)
-            self._publish(entry, scratch(addresses.apply_repair(planned), "repaired"), as_of, params)
+            rows = scratch(self._standing(self._view(entry)), "published")
+            planned = scratch(addresses.repair_addresses(rows, lookups.geocodes, lookups.routes, params), "planned")
+            same = F.col("new_address").eqNullSafe(F.col("address")) & F.col("new_distance_km").eqNullSafe(F.col("distance_km"))
+            changed = planned.where((F.col("action") == "dropped") | ~same)
+            self._publish(entry, addresses.apply_repair(changed), as_of, params, changed.select("url"))
         finally:
             scratch.drop()
         return self.published()

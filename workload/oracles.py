@@ -544,6 +544,26 @@ ORACLES["publish_report"] = f"""
 select cast(sum(copies) - count(*) as bigint) as duplicates_removed, count(*) filter (not {recent('post_date', CLOCK)}) as stale_removed,
  count(*) filter ({recent('post_date', CLOCK)}) as kept from {KEPT}"""
 
+
+def _published_after(standing, batch, number):
+    """The view after one more run: what stands and the run's rows, regrouped; ``place`` is a row's first position."""
+    return f"""(select url, price, rooms, address, post_date, ord, place from (
+ select url, price, rooms, address, post_date, ord, min(first) over (partition by k) as place,
+  row_number() over (partition by k order by post_date desc nulls last, first) as nth
+ from (select *, case when length({address_key('address')}) >= 4 then 'k' || {address_key('address')} || '|' || rooms || '|' || price else 'u' || url end as k
+  from (select url, price, rooms, address, post_date, ord, min(place) over (partition by url) as first,
+   row_number() over (partition by url order by post_date desc nulls last, place) as n
+  from (select * from {standing} union all
+   select case when url = '' then 'none/' || ord else url end, price, rooms, address, post_date, ord, {number}000000000000 + ord
+   from {PUBLISHED} where batch = '{batch}') rows_of) by_url where n = 1) keyed) by_key
+ where nth = 1 and {recent('post_date', CLOCK)}) run{number}"""
+
+
+_NOTHING = "(select '' as url, 0 as price, 0.0 as rooms, '' as address, date '2000-01-01' as post_date, 0 as ord, 0 as place where false) nothing"
+ORACLES["publish_delta"] = f"""
+select url, cast(price as int) as price, cast(rooms as double) as rooms, address, post_date, timestamp '2001-01-01 00:00:00' + to_seconds(ord) as scanned_at
+from {_published_after(_published_after(_published_after(_NOTHING, 'main', 0), 'again', 1), 'copy', 2)}"""
+
 # ------------------------------------------------------------------------------------------ tables
 ORACLES["staged_rewrite"] = f"select ord, url, post_date from {KEPT} where {recent('post_date', CLOCK)}"
 ORACLES["snapshot_and_clear"] = f"""

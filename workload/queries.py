@@ -1003,6 +1003,26 @@ def store_reprocess(spark, sf_dir):
     return store.state().select("url", "verdict", "attempts")
 
 
+@query
+def publish_delta(spark, sf_dir):
+    """The published view after three runs, each merged into the parts that it falls in."""
+    store, rows = _store(spark, "published"), view(spark, sf_dir, V.PUBLISHED)
+    found = rows.select(
+        F.when(F.col("url") == "", F.concat(F.lit("none/"), "ord")).otherwise(F.col("url")).alias("url"),
+        F.col("price").cast("int").alias("price"),
+        F.col("rooms").cast("double").alias("rooms"),
+        *(F.lit(None).cast(schemas.LISTINGS[c].dataType).alias(c) for c in schemas.LISTINGS.names[3:12]),
+        "post_date",
+        "address",
+        F.expr("timestamp_ntz'2001-01-01 00:00:00' + make_dt_interval(0, 0, 0, ord)").alias("scanned_at"),
+        "batch",
+    )
+    for number, batch in enumerate(("main", "again", "copy")):
+        store.load(number, spark.createDataFrame([], schemas.POSTS), found.filter(F.col("batch") == batch).select(*schemas.LISTINGS.names))
+        store.publish(POSTS_CLOCK, PARAMS)
+    return store.published().select("url", "price", "rooms", "address", "post_date", "scanned_at")
+
+
 @query
 def lookup_requests(spark, sf_dir):
     """The addresses that the rest of a month's budget lets a run ask for, as they are asked."""
