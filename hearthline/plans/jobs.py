@@ -111,6 +111,19 @@ def screen(
     """
     feed = screening.first_per_url(screening.prepare_feed(posts_in, params))
     new = history.skip_published(history.skip_processed(feed, state, params), published)
+    return judge(new, extractor, lookups, as_of, stage, params, carry)
+
+
+def judge(
+    new: DataFrame,
+    extractor: Extractor,
+    lookups: Lookups,
+    as_of: datetime,
+    stage: Stage,
+    params: P.ScreenParams = P.ScreenParams(),
+    carry: tuple[str, ...] = (),
+) -> Outcome:
+    """A record per row of a prepared feed that has one new post for each URL."""
     ruled = screening.apply_rules(dates.with_post_date(new, as_of), params, as_of)
     return _settled(ruled, extractor, lookups, params, stage, as_of, carry)
 

@@ -290,14 +290,16 @@ class Store:
             cache = history.upsert_cache(lookups.cache, cache)
         return jobs.Lookups(cache, lookups.geocodes, lookups.routes, self.usage(batch_id))
 
-    def _run(self, name: str, batch_id: int, as_of: datetime, job, replayed: bool = False) -> None:
-        """Record a job's outcome; its scratch tables go in any case."""
+    def _run(self, name: str, batch_id: int, as_of: datetime, job, replayed: bool = False, told=None) -> None:
+        """Record a job's outcome; its scratch tables go in any case.  ``told`` gets the records before they are kept."""
         started = self._now()
         self._refuse_closed(started, batch_id)
         scratch = tables.Scratch(self.spark, f"{name}-{batch_id}")
         try:
             found = job(scratch)
             records = scratch(found.records, "records")
+            if told is not None:
+                told(records)
             self.record(batch_id, jobs.Outcome(records, found.resolved, found.calls, found.texts), as_of, started, replayed)
         finally:
             scratch.drop()
@@ -322,6 +324,24 @@ class Store:
 
         self._run("screen", batch_id, as_of, job)
 
+    def judge(
+        self,
+        batch_id: int,
+        new: DataFrame,
+        extractor: jobs.Extractor,
+        lookups: jobs.Lookups,
+        as_of: datetime,
+        params: P.ScreenParams = P.ScreenParams(),
+        carry: tuple[str, ...] = (),
+        told=None,
+    ) -> None:
+        """Judge a prepared feed of one new post for each URL without a look at the history, and record the outcome."""
+
+        def job(scratch: tables.Scratch) -> jobs.Outcome:
+            return jobs.judge(new, extractor, self._lookups(lookups, batch_id), as_of, scratch, params, carry)
+
+        self._run("judge", batch_id, as_of, job, told=told)
+
     def reprocess(
         self,
         batch_id: int,

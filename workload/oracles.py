@@ -650,6 +650,9 @@ union all select 'state', count(raw_text), cast(sum(length(raw_text)) as bigint)
 ORACLES["stream_screen"] = f"""
 select url, verdict, cast(case when verdict = 'parse_failed' then 1 else 0 end as int) as attempts, price_val, rooms_val
 from {job(FEED, True, with_age=True)}"""
+ORACLES["stream_state"] = f"""
+select url, verdict, cast(case when verdict = 'parse_failed' then 2 else 0 end as int) as attempts, price_val, rooms_val
+from {job(FEED, True, with_age=True)}"""
 
 # ------------------------------------------------------------------------------------------ stored tables after a run
 ORACLES["store_repeat"] = ORACLES["stream_screen"]

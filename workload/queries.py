@@ -14,6 +14,7 @@ from hearthline.operators import addresses, dedupe, extraction, judging, reports
 from hearthline.plans import jobs
 from hearthline.plans.store import Store
 from hearthline.sources import feeds, tables
+from hearthline.streaming.gate import gated_stream
 from hearthline.streaming.screening import feed_stream, screen_stream
 from workload import views as V
 
@@ -900,6 +901,18 @@ def stream_screen(spark, sf_dir):
     return store.state().select("url", "verdict", "attempts", "price_val", "rooms_val")
 
 
+@query
+def stream_state(spark, sf_dir):
+    """M1 I4 L4: the feed through keyed state, then all of it again after a restart: only failed posts are tried again."""
+    root = tables.scratch_path(spark, "gate")
+    feed, store = _feed(spark, sf_dir), Store(spark, f"{root}/store")
+    for _ in range(2):
+        feed.repartition("url").write.mode("append").parquet(f"{root}/feed")
+        posts = feed_stream(spark, f"{root}/feed", feed.schema)
+        gated_stream(posts, store, _extractor, _lookups(spark, sf_dir), lambda _: POSTS_CLOCK, PARAMS, _CARRIED).awaitTermination()
+    return store.state().select("url", "verdict", "attempts", "price_val", "rooms_val")
+
+
 # ------------------------------------------------------------------------------------------ stored tables after a run
 def _knowing_extractor(spark, sf_dir):
     """The same answers for rows that have lost their model columns on the way through a store: found by URL."""
