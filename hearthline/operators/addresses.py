@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from hearthline import params as P
 from hearthline.functions import fields, text
 from hearthline.functions.dates import month_key
+from hearthline.operators import hot
 
 # A table of answers, or a function that gets requests (address_key, query) and returns one.
 Answers = DataFrame | Callable[[DataFrame], DataFrame]
@@ -292,20 +293,15 @@ def with_distance(rows: DataFrame, resolved: DataFrame) -> DataFrame:
     """Add distance_meters, distance_text, distance_source, is_measured, address_confidence and address_warning.
 
     Rows without an address to speak of take no part in the join, so their texts are not shuffled and they do not meet
-    under one empty key.  ``resolved`` has one row per address: give a written table, whose size Spark knows when it
-    plans, and it is broadcast while small; a large one is joined by shuffle, where adaptive execution splits the
-    partition of an address that very many rows share.
+    under one empty key.  ``resolved`` has one row per address.  Addresses that very many rows share are found first, by a
+    sketch over the column, and their rows are dealt to several tasks; give written rows, which are read for it once more.
     """
     known = F.coalesce(F.length("address") >= 3, F.lit(False))
     answers = resolved.select(
         "address_key", "distance_meters", "distance_source", "is_measured", "address_confidence", "address_warning"
     )
-    placed = (
-        rows.filter(known)
-        .withColumn("address_key", F.coalesce(text.cache_key(F.col("address")), F.lit("")))
-        .join(answers, "address_key", "left")
-        .drop("address_key")
-    )
+    keyed = rows.filter(known).withColumn("address_key", text.cache_key(F.col("address")))
+    placed = hot.join_to_few(keyed, answers, "address_key").drop("address_key")
     # Blanks alone have a length but no key.
     unplaced = rows.filter(~known).withColumns(
         {
@@ -349,39 +345,63 @@ def new_cache_rows(resolved: DataFrame, now: Column) -> DataFrame:
 
 
 # ---------------------------------------------------------------------------------------------- call budget
-def last_call_within_cap(calls: DataFrame, cap: int, order=("ts", "call_id")) -> DataFrame:
+def last_call_within_cap(calls: DataFrame, cap: int, order=("ts", "call_id"), ranked: int = 100_000) -> DataFrame:
     """Per month, the position of the call that uses the budget up; no row for a month within its budget.
 
-    Calls are counted by month and minute, the counts are summed up in order, and only the minute in which a month's
-    budget ends is ranked call by call; no task sees a month's calls.
+    Calls are counted in ranges of their order, the counts are summed up, and the range in which a month's budget ends is
+    counted again in finer ranges, until it holds no more than ``ranked`` calls, which are ranked one by one: minutes,
+    milliseconds, then the times themselves, then ranges of 2^48, 2^32 and 2^16 ids and the ids.  Calls alike in all of them
+    share a position.  So no task sees a month's calls, however they bunch.  The end of each month is looked at between
+    the steps, one row a month.
     """
+    spark, left = calls.sparkSession, F.lit(cap)
+    rows = calls.select(month_key(F.col(order[0])).alias("month"), *order)
+    here = F.struct(*order).alias("last_call")
     if cap <= 0:
-        return calls.select(month_key(F.col(order[0])).alias("month"), F.struct(*order).alias("last_call")).limit(0)
-    minute = F.date_trunc("minute", F.col(order[0])).alias("minute")
-    narrow = calls.select(month_key(F.col(order[0])).alias("month"), minute, *order)
-    counts = narrow.groupBy("month", "minute").agg(F.count("*").alias("n"))
-    upto = F.sum("n").over(Window.partitionBy("month").orderBy("minute").rowsBetween(Window.unboundedPreceding, 0))
-    ends = counts.withColumn("upto", upto).filter((F.col("upto") >= cap) & (F.col("upto") - F.col("n") < cap))
-    ends = ends.select("month", "minute", (F.lit(cap) - F.col("upto") + F.col("n")).alias("rest"))
-    last = narrow.join(ends, ["month", "minute"])
-    rank = F.row_number().over(Window.partitionBy("month").orderBy(*order))
-    return last.withColumn("_rank", rank).filter(F.col("_rank") == F.col("rest")).select("month", F.struct(*order).alias("last_call"))
-
-
-def within_budget(calls: DataFrame, cap: int, on_cap: str = "skip", order=("ts", "call_id")) -> DataFrame:
+        return rows.select("month", here).limit(0)
+    for value in _ranges(rows, order):
+        rows = rows.withColumn("_at", value)
+        counts = rows.groupBy("month", "_at").agg(F.count("*").alias("_n"), F.max(left).alias("_left"))
+        upto = F.sum("_n").over(Window.partitionBy("month").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0))
+        ends = counts.withColumn("_upto", upto).filter("_upto >= _left and _upto - _n < _left")
+        ends = ends.select("month", F.col("_at").alias("_end"), "_n", (F.col("_left") - F.col("_upto") + F.col("_n")).alias("_rest"))
+        found = ends.collect()
+        ends = spark.createDataFrame([(r["month"], r["_end"], r["_rest"]) for r in found], ends.drop("_n").schema)
+        ends = F.broadcast(ends.withColumnRenamed("month", "_month"))  # one row a month, which the driver has just seen
+        here_ends = F.col("month").eqNullSafe(F.col("_month")) & F.col("_at").eqNullSafe(F.col("_end"))
+        rows = rows.drop("_rest").join(ends, here_ends)
+        rows, left = rows.select("month", *order, "_rest"), F.col("_rest")
+        if all(r["_n"] <= ranked for r in found):
+            rank = F.row_number().over(Window.partitionBy("month").orderBy(*order))
+            return rows.withColumn("_rank", rank).filter("_rank = _rest").select("month", here)
+    return rows.groupBy("month").agg(F.max(here).alias("last_call"))
+
+
+def _ranges(rows: DataFrame, order) -> list[Column]:
+    """Ever finer ranges of the order, each of so few values within the one before that a task can sum them up."""
+    micros = F.unix_micros(F.col(order[0]).cast("timestamp"))
+    out = [F.floor(micros / F.lit(60_000_000)), F.floor(micros / F.lit(1_000)), micros]
+    for name in order[1:]:
+        if rows.schema[name].dataType.typeName() in ("long", "integer", "short", "byte"):
+            out += [F.shiftright(F.col(name).cast("long"), bits) for bits in (48, 32, 16)]
+        out.append(F.col(name))
+    return out
+
+
+def within_budget(calls: DataFrame, cap: int, on_cap: str = "skip", order=("ts", "call_id"), ranked: int = 100_000) -> DataFrame:
     """Apply the monthly cap to a call log.
 
     'skip' keeps every call and adds ``allowed``; 'halt' drops everything from the first call over any month's cap on.
     The joined side has one row per month.
     """
-    last = last_call_within_cap(calls, cap, order)
+    last = last_call_within_cap(calls, cap, order, ranked)
     dated = calls.withColumn("month", month_key(F.col(order[0])))
     here = F.struct(*order)
     if cap <= 0:
         flagged = dated.withColumn("allowed", F.lit(False))
     else:
         flagged = (
-            dated.join(last, "month", "left")
+            dated.join(F.broadcast(last), "month", "left")
             .withColumn("allowed", F.col("last_call").isNull() | (here <= F.col("last_call")))
             .drop("last_call")
         )
