@@ -35,7 +35,7 @@ class Outcome:
     texts: DataFrame
 
     def with_text(self) -> DataFrame:
-        return self.records.join(self.texts, "url")
+        return self.records.join(history.many(self.texts), "url")
 
 
 @dataclass(frozen=True)

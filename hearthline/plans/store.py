@@ -137,7 +137,7 @@ class Store:
     def state(self, before: int = _LAST_BATCH) -> DataFrame:
         """The newest row of each URL, with its payload where that is not past its age."""
         entry = self._now()
-        rows = history.fold_changes(self._changes(entry, before)).join(self._payload(entry, before), ["url", "batch_id"], "left")
+        rows = history.fold_changes(self._changes(entry, before)).join(history.many(self._payload(entry, before)), ["url", "batch_id"], "left")
         if entry["cutoff"]:
             young = F.col("first_seen") >= F.lit(datetime.fromisoformat(entry["cutoff"])).cast("timestamp_ntz")
             rows = rows.withColumns({c: F.when(young, F.col(c)) for c in schemas.PAYLOAD_COLUMNS})
@@ -149,7 +149,7 @@ class Store:
         if urls is None:
             return history.narrow_state(self._changes(entry, before))
         rows = self._changes(entry, before, self._touched(entry, urls))
-        return history.narrow_state(rows.join(urls.select("url"), "url", "left_semi"))
+        return history.narrow_state(rows.join(history.many(urls.select("url"), urls.count()), "url", "left_semi"))
 
     def cache(self, before: int = _LAST_BATCH) -> DataFrame:
         """The address cache: the latest row of each address."""
@@ -211,7 +211,7 @@ class Store:
         view = self._view(entry, before)
         found = self._young(view, self._index(view, None if urls is None else self._touched(entry, urls)))
         rows = found.select("url").unionByName(self._later(entry, before).select("url"))
-        return rows if urls is None else rows.join(urls.select("url"), "url", "left_semi")
+        return rows if urls is None else rows.join(history.many(urls.select("url"), urls.count()), "url", "left_semi")
 
     # ------------------------------------------------------------------------------------------ writing
     def _write(self, df: DataFrame, table: str, batch_id: int, by: str | None = None) -> str:
@@ -232,9 +232,10 @@ class Store:
         rows = posts.withColumns({"bucket": self.bucket(entry), "batch_id": F.lit(batch_id).cast("bigint")})
         changes = self._write(rows.select(*_NAMES).sortWithinPartitions("bucket"), "changes", batch_id)
         narrow = self._read([changes], schemas.CHANGES)
+        n = narrow.count()
         touched = sorted(r[0] for r in narrow.select("bucket").distinct().collect())
-        seen = history.narrow_state(self._changes(entry, batch_id, touched).join(narrow.select("url"), "url", "left_semi"))
-        dated = rows.join(seen.select("url", F.col("first_seen").alias("_seen")), "url", "left")
+        seen = history.narrow_state(self._changes(entry, batch_id, touched).join(history.many(narrow.select("url"), n), "url", "left_semi"))
+        dated = rows.join(history.many(seen.select("url", F.col("first_seen").alias("_seen")), n), "url", "left")
         dated = dated.withColumn("month", month_key(F.least("first_seen", "_seen"))).select(*schemas.PAYLOAD.names, "month")
         payload = self._parts(self._write(dated, "payload", batch_id, "month"), "month")
         return {"changes": changes, "buckets": touched, "payload": payload}
@@ -271,7 +272,7 @@ class Store:
             run["usage"] = self._write(outcome.calls.withColumn("batch_id", number), "usage", batch_id)
         run["listings"] = self._write(jobs.new_listings(outcome.records, at).withColumn("batch_id", number), "listings", batch_id)
         learnt = history.changes(outcome.records.withColumn("raw_text", F.lit(None).cast("string")), at).drop("raw_text")
-        run |= self._stored(started, batch_id, learnt.join(outcome.texts, "url").select(*schemas.POSTS.names))
+        run |= self._stored(started, batch_id, learnt.join(history.many(outcome.texts), "url").select(*schemas.POSTS.names))
         self._add(batch_id, started, run, replayed)
 
     def load(self, batch_id: int, posts: DataFrame, listings: DataFrame | None = None) -> None:
@@ -452,7 +453,7 @@ class Store:
             if len(parts) > _PIECES:
                 last, rows = max(b for b, _ in parts), self._read((p for _, p in parts), schemas.PAYLOAD)
                 newest = rows.groupBy("url").agg(F.max("batch_id").alias("batch_id"))
-                merged.setdefault("payload", {})[month] = [[last, self._write(rows.join(newest, ["url", "batch_id"]).select(*schemas.PAYLOAD.names), "payload", last)]]
+                merged.setdefault("payload", {})[month] = [[last, self._write(rows.join(history.many(newest), ["url", "batch_id"]).select(*schemas.PAYLOAD.names), "payload", last)]]
         if not merged:
             return
 
@@ -501,7 +502,7 @@ class Store:
             later = scratch(later.select(*_PUBLISHED.names).withColumn("part", self._part(entry)), "later")
             urls = later.select("url").union(back.select("url")) if back is not None else later.select("url")
             urls = scratch(urls.distinct(), "urls")
-            held = self._index(view, self._touched(entry, urls)).join(urls, "url", "left_semi")
+            held = self._index(view, self._touched(entry, urls)).join(history.many(urls, urls.count()), "url", "left_semi")
             parts = {r[0] for r in later.select("part").union(held.select("part")).distinct().collect()}
             if limit < (view["cutoff"] or limit):
                 parts |= {int(p) for p in view["parts"]}
@@ -528,7 +529,7 @@ class Store:
         """Write the given parts of the view again and the buckets of the index whose URLs have moved; the new names of all."""
         standing = self._standing(view, parts)
         if back is not None:
-            standing = standing.join(back.select("url"), "url", "left_anti")
+            standing = standing.join(history.many(back.select("url")), "url", "left_anti")
         rows = standing.unionByName(later.drop("part")).withColumn("ord", _place())
         best = self._young(new, dedupe.deduplicated(rows)).withColumns({n: F.col("pos")[n] for n, _ in _PLACE}).select(*_PUBLISHED.names)
         laid = best.withColumn("part", self._part(entry)).repartition("part")
@@ -541,7 +542,7 @@ class Store:
         moves = scratch(was.union(now).groupBy(*_INDEX.names).agg(F.sum("n").alias("n")).where("n <> 0"), "moves")
         come, moved = moves.where("n > 0").select(*_INDEX.names), moves.select("url").distinct()
         buckets = self._touched(entry, moved)
-        index = self._index(view, buckets).join(moved, "url", "left_anti").unionByName(come)
+        index = self._index(view, buckets).join(history.many(moved, moves.count()), "url", "left_anti").unionByName(come)
         laid = index.withColumn("bucket", self.bucket(entry)).repartition("bucket").sortWithinPartitions("bucket")
         listed = self._parts(self._write(laid, "urls", new["up_to"], "bucket"), "bucket") if buckets else {}
         return {

@@ -47,6 +47,20 @@ def test_narrow_state_skips_old_batches_and_payload(spark, tmp_path):
     assert "raw_text" not in plan(narrow) and all("/changes-0-" in f for f in narrow.inputFiles())
 
 
+def test_a_side_that_grows_with_the_run_is_not_broadcast(spark, stored, tmp_path):
+    """However small its files are for Spark, and though a small one could be: it goes through the driver's memory."""
+    feed = spark.createDataFrame([("u",)], "url string")
+    assert "Broadcast" not in plan(state.skip_published(state.skip_processed(feed, stored, PARAMS), stored))
+    store = Store(spark, str(tmp_path))
+    store.load(0, posts(spark, 0, 5))
+    assert "Broadcast" not in plan(store.state()) and store.state().count() == 5
+    # The URLs of a run are counted: few of them still go to where the history lies.
+    for n, sent in ((3, True), (100_001, False)):
+        spark.range(n).selectExpr("concat('u', id) as url").write.parquet(f"{tmp_path}/urls-{n}")
+        found = store.narrow_state(9, spark.read.parquet(f"{tmp_path}/urls-{n}"))
+        assert ("Broadcast" in plan(found)) == sent and found.count() == min(n, 5)
+
+
 def posts(spark, low, high):
     rows = spark.range(low, high).selectExpr("concat('u', id) as url", "'added' as verdict", "0 as attempts", "timestamp_ntz'2024-05-01 00:00:00' as first_seen")
     full = tables.add_missing_columns(rows, schemas.POSTS)
