@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+from types import SimpleNamespace
+
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from hearthline.plans.store import Store
-from hearthline.streaming.gate import gated_stream
+from hearthline.streaming.gate import Gate, gated_stream
 from hearthline.streaming.screening import feed_stream
 from test_jobs import EXPECTED, NOW, POSTS, extractor, feed, lookups, verdicts
 
@@ -67,3 +71,49 @@ def test_an_empty_feed(spark, tmp_path):
     put(feed(spark).limit(0), folder)
     run(spark, folder, live)
     assert live.state().count() == 0
+
+
+class Kept:
+    """A value or a list of state that counts the calls made to it."""
+
+    def __init__(self):
+        self.value, self.calls = None, 0
+
+    def exists(self):
+        self.calls += 1
+        return self.value is not None
+
+    def get(self):
+        self.calls += 1
+        return self.value
+
+    def update(self, value=None):
+        self.calls, self.value = self.calls + 1, value
+
+    put, clear = update, update
+
+
+def test_the_state_is_called_by_bucket_not_by_post():
+    known, held, timers = Kept(), Kept(), []
+    handle = SimpleNamespace(getValueState=lambda *_: known, getListState=lambda *_: held, registerTimer=timers.append)
+    gate = Gate(T.StructType.fromDDL("url string, ord long"), 3, timedelta(days=1))
+    gate.init(handle)
+    at = SimpleNamespace(getCurrentProcessingTimeInMs=lambda: 1000)
+
+    def send(rows):
+        return [(r.url, r.ord) for r in gate.handleInputRows((0,), iter(rows), at)]
+
+    def post(url, ord):
+        return {"url": url, "post": {"url": url, "ord": ord}, "verdict": None, "batch_id": None}
+
+    def verdict(url, found):
+        return {"url": url, "post": None, "verdict": found, "batch_id": 0}
+
+    assert sorted(send([post(f"u{n}", k) for k in (2, 1) for n in range(1000)])) == sorted((f"u{n}", 1) for n in range(1000))
+    assert send([post("u1", 5), post("u2", 6), post("new", 7)]) == [("new", 7)] and len(held.value) == 2 and len(timers) == 1
+    assert send([verdict("u1", "added"), verdict("u2", "parse_failed"), post("u2", 9)]) == [("u2", 6)] and held.value is None
+    assert send([verdict("u2", "parse_failed"), post("u1", 10), post("u2", 11)]) == [] and [r[0] for r in held.value] == ["u2"]
+    gate.handleExpiredTimer((0,), at, SimpleNamespace(getExpiryTimeInMs=lambda: 999 + 86_400_000))
+    assert len(held.value) == 1
+    gate.handleExpiredTimer((0,), at, SimpleNamespace(getExpiryTimeInMs=lambda: 1000 + 86_400_000))
+    assert held.value is None and known.calls + held.calls < 30
