@@ -37,6 +37,13 @@ def test_marks_and_comment_sections(spark):
     assert _post_text(spark, values) == want
 
 
+def test_marks_are_those_of_the_pattern(spark):
+    values = [None, "", "₪ 5", "\u200f\u2066", *(f"א{chr(i)}ב" for i in range(0x3000))]
+    rows = spark.createDataFrame([(v,) for v in values], "t string")
+    both = rows.select(text.drop_direction_marks(F.col("t")).alias("got"), F.regexp_replace("t", P.DIRECTION_MARKS, "").alias("want"))
+    assert both.where("not (got <=> want)").count() == 0 and both.where("got = 'אב'").count() > 10
+
+
 def test_model_input(apply):
     values = ["see https://a.b/c?d=1 and www.x.y now", "a\n\n\nb", "a \t  b", "\n x \n", "http://a b"]
     assert apply(text.model_input, values) == ["see and now", "a\nb", "a b", "x", "b"]
