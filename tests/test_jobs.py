@@ -117,6 +117,16 @@ def test_stopped_posts_go_straight_into_the_records(spark):
     scratch.drop()
 
 
+def test_texts_and_answers_are_kept_without_a_join(spark):
+    """The payload of a run is read from the rows that were written, in two pieces; it is that of the records."""
+    none = spark.createDataFrame([], schemas.POSTS)
+    done = jobs.screen(feed(spark), none, none, extractor, lookups(spark), NOW, tables.Scratch(spark, "test"), PARAMS)
+    shown = done.texts._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in shown and "Exchange" not in shown and done.texts.columns == ["url", "raw_text", "parsed_json"]
+    whole = sorted((r.url, r.raw_text, r.parsed_json or "") for r in done.with_text().collect())
+    assert whole == sorted((r.url, r.raw_text, r.parsed_json or "") for r in done.texts.collect()) and len(whole) == len(EXPECTED)
+
+
 def test_a_repeated_batch_changes_nothing(spark, store):
     store.screen(0, feed(spark), extractor, lookups(spark), NOW)
     before = sorted(store.state().collect()), sorted(map(str, store.listings().collect()))

@@ -67,6 +67,27 @@ def posts(spark, low, high):
     return full.select(*(F.col(f.name).cast(f.dataType) for f in schemas.POSTS.fields))
 
 
+def test_what_a_run_learns_is_stored_where_it_lies(spark, tmp_path, monkeypatch):
+    """Nothing is shuffled for URLs that are new; the payload of one that is known goes to the month of its first sight."""
+    plans, write = {}, Store._write
+
+    def told(self, df, name, batch_id, by=None):
+        plans[name, batch_id] = plan(df)
+        return write(self, df, name, batch_id, by)
+
+    monkeypatch.setattr(Store, "_write", told)
+    store = Store(spark, str(tmp_path))
+    store.load(0, posts(spark, 0, 5))
+    assert "Exchange" not in plan(store._folded(store._now())) and "Exchange" not in plan(store.narrow_state())
+    later = lambda rows: rows.withColumn("first_seen", F.expr("timestamp_ntz'2024-07-01 00:00:00'"))
+    store.load(1, later(posts(spark, 5, 9)))
+    assert not any("Exchange" in plans[name, batch] for name in ("changes", "payload") for batch in (0, 1))
+    store.load(2, later(posts(spark, 4, 6)).withColumn("raw_text", F.col("url")))
+    assert "Exchange" not in plans["changes", 2] and sorted(store._now()["batches"]["2"]["payload"]) == ["2024-05", "2024-07"]
+    found = {r.url: (str(r.first_seen)[:7], r.raw_text) for r in store.state().collect()}
+    assert len(found) == 9 and found["u4"] == ("2024-05", "u4") and found["u5"] == ("2024-07", "u5") and found["u6"] == ("2024-07", None)
+
+
 def test_a_small_batch_opens_its_own_buckets(spark, tmp_path):
     """Of a large history, whatever its number of runs, only the buckets that the batch's URLs fall in."""
     store = Store(spark, str(tmp_path), buckets=64)
