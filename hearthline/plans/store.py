@@ -532,10 +532,12 @@ class Store:
         scratch = tables.Scratch(self.spark, "publish")
         try:
             later = scratch(later.select(*_PUBLISHED.names).withColumn("part", self._part(entry)), "later")
-            urls = later.select("url").union(back.select("url")) if back is not None else later.select("url")
-            urls = scratch(urls.distinct(), "urls")
-            held = self._index(view, self._touched(entry, urls)).join(history.many(urls, urls.count()), "url", "left_semi")
-            parts = {r[0] for r in later.select("part").union(held.select("part")).distinct().collect()}
+            parts = {r[0] for r in later.select("part").distinct().collect()}
+            if {int(p) for p in view["parts"]} - parts:  # a large run falls in all parts by itself
+                urls = later.select("url").union(back.select("url")) if back is not None else later.select("url")
+                urls = scratch(urls.distinct(), "urls")
+                held = self._index(view, self._touched(entry, urls)).join(history.many(urls, urls.count()), "url", "left_semi")
+                parts |= {r[0] for r in held.select("part").distinct().collect()}
             if limit < (view["cutoff"] or limit):
                 parts |= {int(p) for p in view["parts"]}
             new = view | {"up_to": up_to, "cutoff": limit}
@@ -566,7 +568,11 @@ class Store:
         best = self._young(new, dedupe.deduplicated(rows)).withColumns({n: F.col("pos")[n] for n, _ in _PLACE}).select(*_PUBLISHED.names)
         laid = best.withColumn("part", self._part(entry)).repartition("part")
         laid = laid.sortWithinPartitions("part", F.col("post_date").desc_nulls_last(), *(n for n, _ in _PLACE))
-        written = self._parts(self._write(laid, "published", new["up_to"], "part"), "part")
+        folder = self._write(laid, "published", new["up_to"], "part")
+        written = self._parts(folder, "part")
+        if {int(p) for p in view["parts"]} <= parts:  # nothing is carried over, so the index is that of the rows written
+            rows = self._read([folder] if written else [], T.StructType([*_PUBLISHED.fields, _INDEX["part"]]))
+            return {"parts": written, "urls": self._indexed(entry, rows.select(*_INDEX.names), new)}
         # What the index is told: the rows that these parts hold now and did not before, or the other way round.
         old = self._read((f for p, f in view["parts"].items() if int(p) in parts), _PUBLISHED)
         rows = ((old, -1), (self._read(written.values(), _PUBLISHED), 1))
@@ -575,13 +581,17 @@ class Store:
         come, moved = moves.where("n > 0").select(*_INDEX.names), moves.select("url").distinct()
         buckets = self._touched(entry, moved)
         index = self._index(view, buckets).join(history.many(moved, moves.count()), "url", "left_anti").unionByName(come)
-        laid = index.withColumn("bucket", self.bucket(entry)).repartition("bucket").sortWithinPartitions("bucket")
-        listed = self._parts(self._write(laid, "urls", new["up_to"], "bucket"), "bucket") if buckets else {}
+        listed = self._indexed(entry, index, new) if buckets else {}
         return {
             "parts": {p: f for p, f in view["parts"].items() if int(p) not in parts} | written,
             "urls": {b: f for b, f in view["urls"].items() if int(b) not in set(buckets)} | listed,
         }
 
+    def _indexed(self, entry: dict, index: DataFrame, new: dict) -> dict:
+        """Write rows of the index by bucket of the URL."""
+        laid = index.withColumn("bucket", self.bucket(entry)).repartition("bucket").sortWithinPartitions("bucket")
+        return self._parts(self._write(laid, "urls", new["up_to"], "bucket"), "bucket")
+
     def maintain(self, as_of: datetime, params: P.ScreenParams = P.ScreenParams()) -> DataFrame:
         """Publish without duplicates and stale rows, fold what is recorded and take old payload out, files included."""
         last = self.last_batch()

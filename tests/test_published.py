@@ -11,6 +11,7 @@ from hearthline import params as P
 from hearthline import schemas
 from hearthline.plans import jobs
 from hearthline.plans.store import Store
+from hearthline.sources import tables
 from hearthline.sources.commits import Conflict
 
 NOW = datetime(2024, 5, 22, 9, 0)
@@ -99,6 +100,21 @@ def test_a_small_run_writes_few_parts(spark, tmp_path):
     assert sorted(r.url for r in store._listed(9).collect()) == ["new", "u5"]
 
 
+def test_a_run_that_falls_in_all_parts_compares_no_rows(spark, tmp_path, monkeypatch):
+    """Its index is written from the rows of the view: no difference to the version before is worked out, no URL looked up."""
+    store, staged, call = Store(spark, str(tmp_path / "store"), buckets=4), [], tables.Scratch.__call__
+    monkeypatch.setattr(tables.Scratch, "__call__", lambda self, df, name: staged.append(name) or call(self, df, name))
+    for batch in (0, 1):
+        load(spark, store, batch, [(f"u{n}", 6000, 3.0, f"רחוב ארוך {n + batch}", date(2024, 5, 20 + batch)) for n in range(40 + batch)])
+        staged.clear()
+        store.publish(NOW)
+        assert staged == ["later"]
+        index = {r.url: r.part for r in store._index(store._view(store._now())).collect()}
+        assert sorted(index) == sorted(r.url for r in store.published().collect()) and len(index) == 40 + batch
+        rows = store._standing(store._view(store._now()))
+        assert index == {r.url: r.part for r in rows.withColumn("part", store._part(store._now())).collect()}
+
+
 def test_repair_moves_a_row_into_the_listing_it_equals(spark, tmp_path):
     store = Store(spark, str(tmp_path / "store"), buckets=16)
     old, new = date(2024, 5, 18), date(2024, 5, 20)
