@@ -67,6 +67,18 @@ def posts(spark, low, high):
     return full.select(*(F.col(f.name).cast(f.dataType) for f in schemas.POSTS.fields))
 
 
+def test_an_empty_history_costs_nothing(spark, tmp_path):
+    """What is not there is neither scanned by Python workers nor joined with."""
+    store, urls = Store(spark, str(tmp_path)), spark.range(3).selectExpr("concat('u', id) as url")
+    listed, narrow = store._listed(0, urls), store.narrow_state(0, urls)
+    assert listed.columns == ["url"] and narrow.columns == ["url", "verdict", "attempts", "first_seen"] and listed.count() == 0
+    new = state.skip_published(state.skip_processed(urls, narrow, PARAMS), listed)
+    for rows in (new, store.cache(), store.state(), store.published()):
+        shown = rows._jdf.queryExecution().optimizedPlan().toString()
+        assert "RDD" not in shown and "Join" not in shown
+    assert new.count() == 3 and store.state().schema == schemas.POSTS and store.published().schema == schemas.LISTINGS
+
+
 def test_what_a_run_learns_is_stored_where_it_lies(spark, tmp_path, monkeypatch):
     """Nothing is shuffled for URLs that are new; the payload of one that is known goes to the month of its first sight."""
     plans, write = {}, Store._write
