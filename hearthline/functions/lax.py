@@ -20,8 +20,9 @@ _REAL_TEXT = (
 )
 
 
-def member(document: Column, name: str) -> Column:
-    return F.try_variant_get(document, f"$.{name}", "variant")
+def members(document: Column, names: list[str]) -> Column:
+    """The named members as a struct of variants, found in one pass; NULL if the document is no object."""
+    return F.try_variant_get(document, "$", f"struct<{', '.join(f'`{n}`: variant' for n in names)}>")
 
 
 def _is_number(kind: Column) -> Column:
@@ -54,7 +55,8 @@ def flag(value: Column, kind: Column) -> Column:
 def whole(value: Column, kind: Column) -> Column:
     number = _as(value, "double")
     return (
-        F.when(kind == "BOOLEAN", _as(value, "boolean").cast("bigint"))
+        F.when(kind == "BIGINT", _as(value, "bigint"))
+        .when(kind == "BOOLEAN", _as(value, "boolean").cast("bigint"))
         .when(_is_number(kind) & (number == F.floor(number)), _as(value, "bigint"))
         .when(
             (kind == "STRING") & _as(value, "string").rlike(_WHOLE_TEXT),
@@ -65,7 +67,8 @@ def whole(value: Column, kind: Column) -> Column:
 
 def real(value: Column, kind: Column) -> Column:
     return (
-        F.when(kind == "BOOLEAN", _as(value, "boolean").cast("double"))
+        F.when(kind == "BIGINT", _as(value, "bigint").cast("double"))
+        .when(kind == "BOOLEAN", _as(value, "boolean").cast("double"))
         .when(_is_number(kind), _as(value, "double"))
         .when((kind == "STRING") & _as(value, "string").rlike(_REAL_TEXT), _compact(value).try_cast("double"))
     )

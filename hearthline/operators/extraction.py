@@ -21,29 +21,24 @@ def validated(
     """Add ``answered`` (readable JSON at all) and ``record`` (NULL if one field is invalid).
 
     The record is strict as a whole and lax per field: unknown keys are ignored, a missing key is NULL.  Each step is
-    a projection of its own, so that the text is parsed once and every member is read once.
+    a projection of its own, so that the text is parsed once, its members are found in one pass and each is read once.
     """
     fields = schemas.RECORD.fields
     kept = rows.columns
     parsed = rows.withColumn("_document", F.try_parse_json(response))
-    shape = F.schema_of_variant(F.col("_document"))
-    members = parsed.withColumns(
-        {"_shape": shape, **{f"_at_{f.name}": lax.member(F.col("_document"), f.name) for f in fields}}
-    )
-    kinds = members.withColumns({f"_kind_{f.name}": F.schema_of_variant(F.col(f"_at_{f.name}")) for f in fields})
+    opened = parsed.withColumn("_members", lax.members(F.col("_document"), [f.name for f in fields]))
+    at = {f.name: F.col("_members").getField(f.name) for f in fields}
+    kinds = opened.withColumns({f"_kind_{f.name}": F.schema_of_variant(at[f.name]) for f in fields})
     read = kinds.withColumns(
-        {
-            f"_is_{f.name}": lax.READERS[f.dataType](F.col(f"_at_{f.name}"), F.col(f"_kind_{f.name}"))
-            for f in fields
-        }
+        {f"_is_{f.name}": lax.READERS[f.dataType](at[f.name], F.col(f"_kind_{f.name}")) for f in fields}
     )
-    valid = F.col("_shape").startswith("OBJECT")
+    valid = F.col("_members").isNotNull()
     for f in fields:
         absent = F.coalesce(F.col(f"_kind_{f.name}") == "VOID", F.lit(True))
         valid = valid & (absent | F.col(f"_is_{f.name}").isNotNull())
     return read.select(
         *kept,
-        F.coalesce(F.col("_shape") != "VOID", F.lit(False)).alias(answered),
+        (F.col("_document").isNotNull() & ~F.is_variant_null("_document")).alias(answered),
         F.when(valid, F.struct(*[F.col(f"_is_{f.name}").alias(f.name) for f in fields])).alias(record),
     )
 

@@ -82,3 +82,16 @@ def test_attempts(spark):
     assert {u: (r.attempts, r.gave_up, r.gave_up_at) for u, r in got.items()} == {
         "a": (5, True, 2), "b": (1, False, None), "c": (0, False, None),
     }
+
+
+def test_members_are_found_in_one_pass(spark):
+    """One read of the parsed answer for all members, and no type of the whole of it."""
+    df = spark.createDataFrame([(0, "{}")], "i int, response_json string")
+    shown = extraction.validated(df.repartition(2))._jdf.queryExecution().optimizedPlan().toString()
+    assert shown.count("try_variant_get(_document") == 1 and "schemaOfVariant(_document" not in shown
+
+
+@pytest.mark.parametrize("number, price, rooms", [("9007199254740993", 9007199254740993, 9007199254740992.0), ("1e3", 1000, 1000.0), ("1.0", 1, 1.0)])
+def test_numbers_by_their_kind(spark, number, price, rooms):
+    [row] = _read(spark, [f'{{"price": {number}, "rooms": {number}}}'])
+    assert (row.record.price, row.record.rooms) == (price, rooms)
