@@ -139,3 +139,39 @@ def test_vectors_of_several_lengths(spark):
             assert mine <= set(own)
             hits, asked = hits + len(wanted & mine), asked + len(wanted)
     assert hits >= 0.9 * asked > 0
+
+
+def test_vectors_are_written_once_however_many_ranges_meet(spark, monkeypatch):
+    """No table has a row for each range that a vector meets, no block grows, and a group keeps fewer links than it has vectors."""
+    written, put = {}, embedding_dedup.Work.put
+
+    def counted(self, df, name, *more):
+        done = put(self, df, name, *more)
+        written[name] = [r.n for r in done.select("n").collect()] if name == "written" else done.count()
+        return done
+
+    monkeypatch.setattr(embedding_dedup.Work, "put", counted)
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=16)
+    near = {i: v for i, v in enumerate(base + 0.05 * rng.normal(size=(300, 16)))}
+    far = {1000 + i: v for i, v in enumerate(rng.normal(size=(100, 16)))}
+    long = {2000 + i: (i + 2) * far[1000] for i in range(100)}  # one place on the line
+    vectors = {i: v.astype(np.float32).astype(np.float64) for i, v in (near | far | long).items()}
+    df = spark.createDataFrame([(i, [float(x) for x in v], 0, 0, "") for i, v in vectors.items()], SCHEMA)
+    got = {r.vec_id: r for r in embedding_dedup.near_duplicates(df, block=20).collect()}
+    links, low = cosine_links(vectors, 0.9)
+    assert sum(written["written"]) == written["ranged"] == 500 and max(written["written"]) <= 80 and len(written["written"]) > 15
+    assert written["links"] <= 500 * len(written["written"])
+    assert {i: r.n_links for i, r in got.items()} == links and {i: r.component_id for i, r in got.items()} == low
+
+
+def test_a_dense_block_gives_fewer_pairs_than_vectors():
+    rng = np.random.default_rng(6)
+    unit = rng.normal(size=8) + 0.02 * rng.normal(size=(400, 8))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    whole = np.arange(400), np.ones(400, np.int64), unit
+    halves = [tuple(x[part] for x in whole) for part in (slice(0, 150), slice(150, 400))]
+    pairs, mine, theirs = embedding_dedup._linked(whole, None, 24, 1.5, 0.999, 0.9)
+    assert len(pairs) == 399 and (mine == 399).all() and not len(theirs)
+    pairs, mine, theirs = embedding_dedup._linked(*halves, 24, 1.5, 0.999, 0.9)
+    assert len(pairs) == 399 and (mine == 250).all() and (theirs == 150).all()
