@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from urllib.parse import quote
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +27,39 @@ def read_text_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def write_text_files(posts: DataFrame, folder: str, key: Column, text: Column, folders: int = 256) -> int:
+    """Each key's texts as the lines of a file of its own; the number of files.  ``read_text_files`` takes ``folder/*/``.
+
+    Tasks write straight into ``folders`` folders, by the key's hash: a folder, a checksum and two renames for each
+    file, as Spark's writer makes them for a partition, cost more than small texts do.  A repeated task writes the same
+    files again.  A null text is an empty line.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        files, root = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+        made, last, out, n = set(), None, None, 0
+        for batch in batches:
+            for place, name, value in zip(*(batch.column(c).to_pylist() for c in ("place", "key", "text")), strict=True):
+                if out is None or (place, name) != last:
+                    if out is not None:
+                        out.close()
+                    if place not in made:
+                        files.create_dir(f"{root}/{place:04d}", recursive=True)
+                        made.add(place)
+                    file = "null%" if name is None else quote(name, safe="")  # no key is quoted so
+                    out, last, n = files.open_output_stream(f"{root}/{place:04d}/{file}.txt"), (place, name), n + 1
+                out.write((value or b"") + b"\n")
+        if out is not None:
+            out.close()
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    rows = posts.select(F.pmod(F.xxhash64(key), F.lit(folders)).cast("int").alias("place"), key.cast("string").alias("key"), text.cast("binary").alias("text"))
+    rows = rows.repartition("place", "key").sortWithinPartitions("place", "key")
+    return rows.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def canonical_url(href: Column, base_url: str) -> Column:
     """A link without its query, made absolute."""
     bare = F.split_part(href, F.lit("?"), F.lit(1))

@@ -103,6 +103,17 @@ def test_text_files(spark, tmp_path):
     assert got == {"post_a.txt": "3 חדרים\nקומה 2", "post_b.txt": "סאבלט"}
 
 
+def test_text_files_written(spark, tmp_path):
+    """A file for each key, whatever its name, in no more folders than asked for."""
+    rows = [(str(i), f"post {i}\nחדרים") for i in range(60)] + [("a/b", "x"), ("a%2Fb", "y"), ("twice", "z"), ("twice", "z"), (None, "none"), ("empty", ""), ("null", None)]
+    posts = spark.createDataFrame(rows, "k string, t string").repartition(5)
+    assert feeds.write_text_files(posts, str(tmp_path), F.col("k"), F.col("t"), folders=4) == 66
+    assert sum(f.is_dir() for f in tmp_path.rglob("*")) <= 4 and sum(f.is_file() for f in tmp_path.rglob("*")) == 66
+    texts = sorted(r.text for r in feeds.read_text_files(spark, f"{tmp_path}/*/").collect())
+    assert texts == sorted([*(f"{t}\n" for k, t in rows[:62]), "z\nz\n", "none\n", "\n", "\n"])
+    assert feeds.write_text_files(posts.limit(0), f"file://{tmp_path}/none", F.col("k"), F.col("t")) == 0
+
+
 def test_page_links(spark):
     pages = [
         '<a role="link" href="/groups/1/posts/2?comment_id=5">x</a><a href="/posts/3">no role</a>'

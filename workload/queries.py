@@ -1050,6 +1050,6 @@ def text_files(spark, sf_dir):
     """Every document as a file of its own, read back."""
     root = tables.scratch_path(spark, "texts")
     docs = view(spark, sf_dir, "select doc_id, text from documents")
-    docs.repartition("doc_id").write.partitionBy("doc_id").text(root)
+    feeds.write_text_files(docs, root, F.col("doc_id"), F.col("text"))
     found = feeds.read_text_files(spark, f"{root}/*/")
     return found.groupBy(F.md5(F.regexp_replace("text", r"\n\z", "")).alias("digest")).agg(F.count("*").alias("n"))
